@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -166,8 +167,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _list_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return pa.compute.fill_null(pa.compute.list_flatten(column), -1).to_numpy(zero_copy_only=False), sizes
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.fill_null(pc.list_flatten(column), -1).to_numpy(zero_copy_only=False), sizes
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

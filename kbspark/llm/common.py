@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
     n = batch.num_rows
     if n == 0:
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes + 16) // most
     cuts = np.flatnonzero(np.diff(part)) + 1
     begin = 0
@@ -80,8 +81,8 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column one after the other, and the length of each row; null is empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
-    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     data = column.buffers()[2]
     bounds = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
