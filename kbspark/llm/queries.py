@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe
-from kbspark.llm.common import read
+from kbspark.llm import bpe, gif, langid
+from kbspark.llm.common import held_out, learned_from, read
 
 
 def tokenizer_path() -> str:
@@ -28,8 +28,30 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = gif.decode(gif.encode(docs))
+    total = F.expr("transform(sequence(0, 63), i -> aggregate(frames, 0L, (s, f) -> s + f.histogram[i]))")
+    return done.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(",", total.cast("array<string>")).alias("feature"),
+    )
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = langid.profiles(docs.where(learned_from(F.col("doc_id"))))
+    return langid.predict(docs.select("doc_id", "text"), known).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe,)}
+    return {f.__name__: f for f in (op3_bpe, op5_gif, op6_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
