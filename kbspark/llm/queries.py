@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, gif, langid
+from kbspark.llm import bpe, gif, langid, toxicity
 from kbspark.llm.common import held_out, learned_from, read
 
 
@@ -50,8 +50,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), known).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(learned_from(F.col("doc_id"))))
+    done = toxicity.score(docs, model)
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op5_gif, op6_langid)}
+    return {f.__name__: f for f in (op3_bpe, op5_gif, op6_langid, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
