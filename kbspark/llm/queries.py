@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, gif, langid, toxicity
+from kbspark.llm import bpe, gif, langid, simhash, toxicity
 from kbspark.llm.common import held_out, learned_from, read
 
 
@@ -57,8 +57,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op5_gif, op6_langid, op8_toxicity)}
+    return {f.__name__: f for f in (op3_bpe, op5_gif, op6_langid, op8_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
