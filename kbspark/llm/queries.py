@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, gif, langid, simhash, toxicity
+from kbspark.llm import bpe, epsilon_grid, gif, langid, simhash, toxicity
 from kbspark.llm.common import held_out, learned_from, read
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_grid.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.round_trip(docs, tokenizer_path()).drop("text")
@@ -63,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op5_gif, op6_langid, op8_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op2_epsilon_grid, op3_bpe, op5_gif, op6_langid, op8_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
