@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, epsilon_grid, gif, langid, simhash, toxicity
+from kbspark.llm import bpe, epsilon_grid, gif, langid, simhash, suffix_dedup, toxicity
 from kbspark.llm.common import held_out, learned_from, read
 
 
@@ -17,6 +17,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_grid.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -67,7 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_epsilon_grid, op3_bpe, op5_gif, op6_langid, op8_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op5_gif, op6_langid, op8_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
