@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, epsilon_grid, gif, langid, simhash, suffix_dedup, toxicity
+from kbspark.llm import bpe, epsilon_grid, gif, html_extract, langid, simhash, suffix_dedup, toxicity
 from kbspark.llm.common import held_out, learned_from, read
 
 
@@ -43,6 +43,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     done = gif.decode(gif.encode(docs))
@@ -78,7 +83,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op5_gif, op6_langid, op8_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op4_html, op5_gif, op6_langid, op8_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
