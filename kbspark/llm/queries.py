@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, epsilon_grid, gif, html_extract, langid, simhash, suffix_dedup, toxicity
+from kbspark.llm import bpe, epsilon_grid, gif, html_extract, langid, licenses, mixing, simhash, suffix_dedup, toxicity
 from kbspark.llm.common import held_out, learned_from, read
 
 
@@ -70,6 +70,32 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), known).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+#: Weights of the tree of op7: domains, languages; sources weigh the same.
+DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
+LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
+LEVELS = ["domain", "lang", "source"]
+
+
+def domain(source) -> F.Column:
+    """The domain of a source, here from the digits that end its name."""
+    return F.concat(F.lit("d"), (F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]{1,9})$", 1), F.lit("")), F.lit("999999999")).cast("long"), F.lit(0)) % 4).cast("string"))
+
+
+def tree_weights() -> dict:
+    def of(column: str, table: dict) -> F.Column:
+        out = F.lit(1)
+        for name, weight in table.items():
+            out = F.when(F.col(column) == name, weight).otherwise(out)
+        return out
+
+    return {"domain": of("domain", DOMAIN_WEIGHTS), "lang": of("lang", LANG_WEIGHTS)}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", mixing.token_count(F.col("text")).alias("n_tokens")).withColumn("domain", domain(F.col("source")))
+    return mixing.select(docs, LEVELS, tree_weights(), F.floor(F.col("total") * 3 / 5))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(learned_from(F.col("doc_id"))))
@@ -77,14 +103,61 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op4_html, op5_gif, op6_langid, op8_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op4_html, op5_gif, op6_langid, op7_mixing, op8_toxicity, op9_licenses, op10_simhash)}
+
+
+def weight_sql(column: str, table: dict) -> str:
+    return "case " + " ".join(f"when {column} = '{k}' then {w}" for k, w in table.items()) + " else 1 end"
+
+
+def share_sql(name: str, parent: str, key: str) -> str:
+    """The children's parts of their parents' budgets, for the table ``name`` (weight, room, budget)."""
+    by = f"partition by {parent}" if parent else ""
+    cols = f"{parent}, {key}" if parent else key
+    return f"""
+    {name}_left as (
+      select *, sum(w) over ({by}) - coalesce(sum(w) over ({by} order by room / w, {key} rows between unbounded preceding and 1 preceding), 0) as w_left,
+             budget - coalesce(sum(room) over ({by} order by room / w, {key} rows between unbounded preceding and 1 preceding), 0) as b_left
+      from {name}
+    ), {name}_used as (select *, cast(room as double) * w_left <= w * cast(b_left as double) as used_up from {name}_left),
+    {name}_rest as (
+      select *, budget - sum(case when used_up then room else 0 end) over ({by}) as rest_b, sum(case when used_up then 0 else w end) over ({by}) as rest_w from {name}_used
+    ), {name}_given as (
+      select {cols}, cast(case when used_up then room else least(room, cast(floor(cast(rest_b as double) * w / rest_w) as bigint)) end as bigint) as budget from {name}_rest
+    )"""
+
+
+def op7_sql() -> str:
+    leaf = "domain, lang, source"
+    return f"""
+    with docs as (
+      select doc_id, coalesce(lang, 'null') as lang, coalesce(source, 'null') as source,
+             cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\f\\r]+'), lambda x: x <> '')) as bigint) as n_tokens,
+             'd' || cast(coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') as bigint), 0) % 4 as varchar) as domain
+      from documents
+    ), leaves as (select {leaf}, cast(sum(n_tokens) as bigint) * 2 as room from docs group by {leaf}),
+    whole as (select cast(floor(cast(sum(n_tokens) * 3 as double) / 5) as bigint) as budget from docs),
+    one as (select domain, cast(sum(room) as bigint) as room, cast({weight_sql("domain", DOMAIN_WEIGHTS)} as double) as w, any_value(budget) as budget from leaves, whole group by domain),
+    {share_sql("one", "", "domain")},
+    two as (select l.domain, lang, cast(sum(room) as bigint) as room, cast({weight_sql("lang", LANG_WEIGHTS)} as double) as w, any_value(budget) as budget from leaves l join one_given g on l.domain = g.domain group by l.domain, lang),
+    {share_sql("two", "domain", "lang")},
+    three as (select l.domain, l.lang, source, room, cast(1 as double) as w, budget from leaves l join two_given g on l.domain = g.domain and l.lang = g.lang),
+    {share_sql("three", "domain, lang", "source")},
+    drawn as (select docs.*, epoch, cast('0x' || substr(md5('7-' || epoch || '-' || coalesce(cast(doc_id as varchar), 'null')), 1, 15) as bigint) as place from docs, (values (1), (2)) e(epoch)),
+    placed as (select *, cast(sum(n_tokens) over (partition by {leaf} order by epoch, place, doc_id, n_tokens rows unbounded preceding) as bigint) as upto from drawn)
+    select doc_id, p.domain, p.lang, p.source, epoch, n_tokens, upto
+    from placed p join three_given g on p.domain = g.domain and p.lang = g.lang and p.source = g.source where upto <= budget"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": op7_sql(), "op9_licenses": licenses.scan_sql()}

@@ -1,0 +1,35 @@
+import random
+import re
+
+from kbspark.llm import licenses
+
+
+def plain(text):
+    lines = re.sub(r"([.!?;:])[ \t\f\r]+", "\\1\n", "".join(c.lower() if c.isascii() else c for c in text or "")).split("\n")
+    names = {s: n for n, s in licenses.SENTENCES.items()}
+    found = [(i, names[s]) for i, line in enumerate(lines) if (s := re.sub("[^a-z0-9+]+", " ", line).strip()) in names]
+    out = []
+    for rule, license_, ids in licenses.RULES:
+        at, hits = 0, []
+        while at + len(ids) <= len(found):
+            if [x for _, x in found[at : at + len(ids)]] == ids:
+                hits.append(found[at][0])
+                at += len(ids)
+            else:
+                at += 1
+        if hits:
+            out.append((rule, license_, hits[0], len(hits)))
+    return out
+
+
+def test_rules_against_a_loop(spark):
+    rnd = random.Random(4)
+    pieces = [*licenses.SENTENCES.values(), "other words", "x", "", "Released under the MIT License", "All Rights  Reserved!"]
+    rows = [(i, "".join(rnd.choice(pieces).capitalize() + rnd.choice([".\n", ". ", "\n", ": ", ".", "; "]) for _ in range(rnd.randrange(12))), "z") for i in range(150)]
+    text = "SPDX-License-Identifier: MIT\nfoo\nYou may not.\nSPDX-License-Identifier:\tApache-2.0"
+    rows += [(500, text, None), (501, None, None), (502, "", "r"), (502, "", "r"), (503, "This work is licensed under the GNU General Public License, version 3.", "q"), (None, "Released under the MIT License.", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rule string")
+    got = sorted(((r.doc_id, r.rule, r.license, r.sentence, r.matches) for r in licenses.scan(df).collect()), key=str)
+    assert got == sorted(((i, *m) for i, t, _ in rows for m in plain(t)), key=str)
+    assert [m[0] for m in plain(text)] == ["mit-spdx", "apache2-spdx"]
+    assert licenses.scan(df.limit(0)).count() == 0
