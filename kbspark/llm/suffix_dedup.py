@@ -40,7 +40,7 @@ LENGTH = 50
 #: Bytes of the q-gram at an anchor. A window has length - GRAM + 1 of them.
 GRAM = 24
 #: Bytes of text in a block, and distinct q-grams that a bucket of the exchange shall hold.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PART_GRAMS = 1 << 20
 #: Bits of the low part of a packed hash, besides those that name its part of the exchange.
 LOW = 40
