@@ -52,12 +52,12 @@ def _exists(spark, path: str) -> bool:
 class TurnState(StatefulProcessor):
     """The page and intent of a conversation, turn by turn."""
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "page string, intent string, turn long", ttlDurationMs=self.ttl_ms)
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
     def handleInputRows(self, key, rows, timerValues):
         turns = pd.concat(list(rows)).sort_values("turn")
         page, intent = self.state.get()[:2] if self.state.exists() else (None, None)
@@ -78,11 +78,14 @@ class TurnState(StatefulProcessor):
         pass
 
 
-def stream_conversation_state(turns: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """(conversation_id, turn, target, last_page, last_intent) of a stream of turns; a state without turns for the time given is dropped."""
+def stream_conversation_state(turns: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
+    """(conversation_id, turn, target, last_page, last_intent) of a stream of turns.
+
+    A state without turns for ``ttl_ms`` is dropped; None keeps all, as a run over what is available needs.
+    """
     out = StructType(_parse_datatype_string("conversation_id string, turn long, target string, last_page string, last_intent string").fields)
     rows = turns.select("conversation_id", F.col("turn").cast("long").alias("turn"), "intent", "entities", "needs_full_page", "is_follow_up")
-    return rows.groupBy("conversation_id").transformWithStateInPandas(TurnState(ttl_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+    return rows.groupBy("conversation_id").transformWithStateInPandas(TurnState(ttl_ms), outputStructType=out, outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
 
 
 def stream_conversations(messages: DataFrame) -> DataFrame:
