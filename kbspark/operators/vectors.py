@@ -17,9 +17,15 @@ RESOLVE_LEAST, RESOLVE_GAP, RESOLVE_SURE = 0.45, 0.03, 0.65
 FIT_ROWS = 50_000
 
 
-def _unit(rows) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _rows(column) -> np.ndarray:
+    """A list column whose rows are equally long, as a matrix of unit rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
 def usable(df: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -33,13 +39,13 @@ def _packed(df: DataFrame, key: str, size: int, number: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        x = _unit(table.column("v").to_pylist())
+        x = _rows(table.column("v"))
         keys = pa.array([table.column("k").to_pylist()], pa.list_(table.schema.field("k").type))
         return pa.table({number: table.column("b")[:1], "keys": keys, "data": pa.array([x.tobytes()], pa.binary()), "dim": pa.array([x.shape[1]], pa.int32())})
 
     n = df.count()
-    dealt = df.select(F.col(key).alias("k"), F.col("embedding").alias("v"), F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size)))).alias("b"))
-    return dealt.groupBy("b").applyInArrow(run, f"{number} long, keys array<{kind}>, data binary, dim int")
+    dealt = df.select(F.col(key).alias("k"), F.col("embedding").alias("v"), F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size)))).alias("b"), F.size("embedding").alias("d"))
+    return dealt.groupBy("b", "d").applyInArrow(run, f"{number} long, keys array<{kind}>, data binary, dim int")
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, min_score: float | None = MIN_SCORE, query_key: str = "query_id") -> DataFrame:
@@ -85,7 +91,7 @@ def fit_cells(chunks: DataFrame, n_cells: int, fit_rows: int = FIT_ROWS, seed: i
 
     some = usable(chunks).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(fit_rows).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=15).fit(some)
-    return _unit([c.tolist() for c in model.clusterCenters()])
+    return _unit(np.array(model.clusterCenters(), dtype=np.float64))
 
 
 def approx_vector_topk(queries: DataFrame, chunks: DataFrame, k: int, n_cells: int = 16, n_probe: int = 12, min_score: float | None = MIN_SCORE, query_key: str = "query_id", centres: np.ndarray | None = None) -> DataFrame:
@@ -98,12 +104,12 @@ def approx_vector_topk(queries: DataFrame, chunks: DataFrame, k: int, n_cells: i
         def run(batches):
             for b in batches:
                 if b.num_rows:
-                    x = _unit(b.column("embedding").to_pylist())
+                    x = _rows(b.column("embedding"))
                     near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :many]
                     take = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
                     yield pa.RecordBatch.from_arrays([b.column(key).take(take), pa.array(list(np.repeat(x, near.shape[1], axis=0)), pa.list_(pa.float64())), pa.array(near.ravel().astype(np.int64))], names=[key, name, "cell"])
 
-        return usable(rows).select(key, "embedding").mapInArrow(run, f"{key} {kind}, {name} array<double>, cell long")
+        return usable(rows).where(F.size("embedding") == centres.shape[1]).select(key, "embedding").mapInArrow(run, f"{key} {kind}, {name} array<double>, cell long")
 
     pairs = cells(queries, query_key, n_probe, "q").join(cells(chunks, "chunk_id", 1, "c"), "cell")
     score = F.round(F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 12)

@@ -659,3 +659,38 @@ def retrieve(s, d):
 
     targets = i.queries(s, d).select("question_id").distinct().select("question_id", F.when(F.col("question_id") % 2 == 0, F.concat(F.lit("SRC"), (F.col("question_id") % 20).cast("string"))).alias("target"))
     return retrieve(i.queries(s, d), targets, i.chunks(s, d), rs.parse_scores(i.score_responses(s, d)))["citations"]
+
+
+# streams: the same results as in batch
+
+
+@query(SQL["build_conversations"])
+def stream_conversations(s, d):
+    from kbspark.streaming import jobs
+
+    return jobs.run_available(jobs.stream_conversations(i.messages(s, d, i.stream)), "complete")
+
+
+@query(SQL["weekly_positive_rate"])
+def stream_weekly_feedback(s, d):
+    from kbspark.streaming import jobs
+
+    return jobs.run_available(jobs.stream_weekly_feedback(i.feedback(s, d, i.stream), "60 days"), "complete")
+
+
+@query(SQL["conversation_state"])
+def stream_conversation_state(s, d):
+    from kbspark.streaming import jobs
+
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return jobs.run_available(jobs.stream_conversation_state(i.turns(s, d, i.stream), None), "append")
+
+
+@query(sql(f"select {ORDER} from ({L1}) union all select {ORDER} from ({L2}) union all select {ORDER} from ({L3})", "plain_docs", docs="select * from plain_docs", **STEPS, **FACTS))
+def stream_page_sync(s, d):
+    from kbspark.sources.tables import read_chunks
+    from kbspark.streaming import jobs
+
+    root = jobs.new_folder(s)
+    jobs.stream_page_sync(i.plain_docs(s, d, i.stream), f"{root}/store", ch.chunk_pages, f"{root}/sync").trigger(availableNow=True).start().awaitTermination()
+    return read_chunks(s, f"{root}/store").select(ch.COLUMNS)

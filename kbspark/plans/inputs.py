@@ -15,9 +15,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def plain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The same table, a file or a folder, as a stream of its files."""
+    return spark.readStream.schema(read(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parque[t]")
+
+
+def plain_docs(spark: SparkSession, sf_dir: str, rows=read) -> DataFrame:
     """Documents whose lines are made into headings, table rows, lists and paragraphs by their number."""
-    d = read(spark, sf_dir, "documents")
+    d = rows(spark, sf_dir, "documents")
 
     def line(x, i):
         m = i % 7
@@ -69,21 +74,21 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.upper("source").alias("key")).distinct()
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations")
+def messages(spark: SparkSession, sf_dir: str, rows=read) -> DataFrame:
+    c = rows(spark, sf_dir, "conversations")
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").cast("string").alias("conversation_id"), "role", F.col("text").alias("content"), at.alias("created_at"), "turn")
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turns(spark: SparkSession, sf_dir: str, rows=read) -> DataFrame:
     """A plan for each user turn, by the length of its text."""
     n = F.length("content")
     first = F.split_part(F.split_part(F.col("content"), F.lit("\n"), F.lit(1)), F.lit(" "), F.lit(1))
-    return messages(spark, sf_dir).where("role = 'user'").select("conversation_id", "turn", F.concat(F.lit("i"), (n % 4).cast("string")).alias("intent"), F.when(n % 3 != 0, F.array(first)).otherwise(F.array().cast("array<string>")).alias("entities"), (n % 2 == 0).alias("needs_full_page"), (n % 5 < 3).alias("is_follow_up"))
+    return messages(spark, sf_dir, rows).where("role = 'user'").select("conversation_id", "turn", F.concat(F.lit("i"), (n % 4).cast("string")).alias("intent"), F.when(n % 3 != 0, F.array(first)).otherwise(F.array().cast("array<string>")).alias("entities"), (n % 2 == 0).alias("needs_full_page"), (n % 5 < 3).alias("is_follow_up"))
 
 
-def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+def feedback(spark: SparkSession, sf_dir: str, rows=read) -> DataFrame:
+    e = rows(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     answer = F.concat(F.lit("See [page "), (F.col("user_id") % 7).cast("string"), F.lit(f"]({BASE}/a) and [page "), (F.col("event_id") % 5).cast("string"), F.lit(f"]({BASE}/b)"))
     confidence = F.when(F.col("value") > 20, "HIGH").when(F.col("value") > 5, "MEDIUM").otherwise("LOW")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,15 +30,16 @@ def stream_page_sync(changes: DataFrame, store: str, build: Callable[[DataFrame]
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         pages = newest(rows)
-        known = spark.read.parquet(store) if _exists(spark, store) else None
-        if known is not None:
+        known = None
+        if _exists(spark, store):
+            # at most as many values as there are buckets; only their folders of the store are read
+            touched = [r.bucket for r in pages.select(bucket(F.col("page_id")).alias("bucket")).distinct().collect()]
+            known = spark.read.parquet(store).where(F.col("bucket").isin(touched)).drop("bucket")
             old = known.groupBy("page_id").agg(F.max("version").alias("stored"))
             pages = pages.join(old, "page_id", "left").where("stored is null or version > stored").drop("stored")
         fresh = build(pages)
         if known is not None:
-            touched = pages.select(bucket(F.col("page_id")).alias("bucket")).distinct()
-            kept = known.join(touched, "bucket", "left_semi").drop("bucket").join(pages.select("page_id"), "page_id", "left_anti")
-            fresh = fresh.unionByName(kept)
+            fresh = fresh.unionByName(known.join(pages.select("page_id"), "page_id", "left_anti"))
         staging = os.path.join(checkpoint, "staging", str(number))
         fresh.write.mode("overwrite").parquet(staging)
         write_chunks(spark.read.parquet(staging), store, "touched")
@@ -49,6 +52,27 @@ def _exists(spark, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def new_folder(spark) -> str:
+    """A new folder in the shared one, or where none is configured a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+
+
+def run_available(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over the input that is there, and gives its result as a table in the shared folder."""
+    spark = stream.sparkSession
+    root = new_folder(spark)
+    out = os.path.join(root, "out")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    spark.createDataFrame([], stream.schema).write.parquet(out)
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", os.path.join(root, "offsets")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 class TurnState(StatefulProcessor):
     """The page and intent of a conversation, turn by turn."""
 
