@@ -21,12 +21,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from kbspark.llm.common import list_array, offsets_of, replace_columns, schema_with, slices, spread
+from kbspark.llm.common import batch_rows, list_array, offsets_of, release, replace_columns, schema_with, slices, spread
 
 #: Fixed value: the word pattern of the public byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose encoding a task remembers before it starts over.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 NO_RANK = np.int64(1) << 40
 
 
@@ -180,7 +180,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             for batch in slices(whole, text):
                 flat, sizes = v.encode(batch.column(text).to_pylist())
                 yield replace_columns(batch, {ids: list_array(flat, sizes, pa.int32())})
+        v.forget()
+        release()
 
+    batch_rows(df.sparkSession)
     return df.mapInArrow(run, schema_with(df, **{ids: "array<int>"}))
 
 
@@ -194,6 +197,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 part = batch.slice(begin, 512)
                 yield replace_columns(part, {text: pa.array(v.decode(*_list_values(part.column(ids))), type=pa.string())})
 
+    batch_rows(df.sparkSession)
     return df.mapInArrow(run, schema_with(df, **{text: "string"}))
 
 
@@ -207,5 +211,8 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
                 flat, sizes = v.encode(batch.column(text).to_pylist())
                 back = v.decode(flat, sizes)
                 yield replace_columns(batch, {ids: list_array(flat, sizes, pa.int32()), decoded: pa.array(back, type=pa.string())})
+        v.forget()
+        release()
 
+    batch_rows(df.sparkSession)
     return df.mapInArrow(run, schema_with(df, **{ids: "array<int>", decoded: "string"}))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kbspark.llm.common import offsets_of, replace_columns, schema_with, slices, spread
+from kbspark.llm.common import batch_rows, offsets_of, replace_columns, schema_with, slices, spread
 
 WIDTH = 64
 MOST_ROWS = 65_535
@@ -254,6 +254,7 @@ def encode(df: DataFrame, column: str = "text", media: str = "media") -> DataFra
                 values = batch.column(column).cast(pa.large_binary()).to_pylist()
                 yield replace_columns(batch, {media: pa.array([encode_bytes(v or b"") for v in values], type=pa.binary())})
 
+    batch_rows(df.sparkSession)
     return df.mapInArrow(run, schema_with(df, **{media: "binary"}))
 
 
@@ -266,4 +267,5 @@ def decode(df: DataFrame, media: str = "media", payload: str = "payload", frames
                 done = [read_back(v) for v in batch.column(media).to_pylist()]
                 yield replace_columns(batch, {payload: pa.array([p for p, _ in done], type=pa.binary()), frames: pa.array([f for _, f in done], type=FRAME_ARROW)})
 
+    batch_rows(df.sparkSession)
     return df.mapInArrow(run, schema_with(df, **{payload: "binary", frames: f"array<{FRAME}>"}))

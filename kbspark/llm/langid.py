@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import replace_columns, schema_with, slices
+from kbspark.llm.common import batch_rows, replace_columns, schema_with, slices
 
 DIMENSIONS = 512
 #: Bytes of text bundled at once: few enough that the trigrams of a pass stay a small table.
@@ -90,6 +90,7 @@ def profiles(df: DataFrame, text: str = "text", lang: str = "lang", dimensions:
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[n].tolist() for n in names], pa.list_(pa.float64()))], names=["lang", "vector"])
 
+    batch_rows(df.sparkSession)
     parts = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     text, lang = "t", "l"
     sums = parts.mapInArrow(run, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
@@ -117,4 +118,5 @@ def predict(df: DataFrame, known: dict[str, np.ndarray], text: str = "text", lan
                     best = [names[w] if n > 0 else "und" for w, n in zip(winner, length, strict=True)]
                 yield replace_columns(batch, {lang: pa.array(best, pa.string()), score: pa.array(value, pa.float64())})
 
+    batch_rows(df.sparkSession)
     return df.mapInArrow(run, schema_with(df, **{lang: "string", score: "double"}))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import offsets_of, slices, spread, text_bytes, written
+from kbspark.llm.common import NUMBER_ROWS, batch_rows, offsets_of, release, slices, spread, text_bytes, written
 from kbspark.llm.components import connected_components
 
 BITS, BLOCKS, RADIUS, SHINGLE, SEED = 64, 4, 3, 3, 42
@@ -140,7 +140,9 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             for batch in slices(whole, "text"):
                 raw, sizes = text_bytes(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(raw, sizes).view(np.int64))], names=["doc_id", "fingerprint"])
+        release()
 
+    batch_rows(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fingerprint long")
 
@@ -237,6 +239,7 @@ def links(prints: DataFrame) -> DataFrame:
         x, y = spanning(np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]))
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
+    batch_rows(prints.sparkSession, NUMBER_ROWS)
     return variants(prints).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 

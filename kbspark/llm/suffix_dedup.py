@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from kbspark.llm.common import offsets_of, spread, text_bytes
+from kbspark.llm.common import batch_rows, offsets_of, release, spread, text_bytes
 
 LENGTH = 50
 #: Bytes of the q-gram at an anchor. A window has length - GRAM + 1 of them.
 GRAM = 24
 #: Bytes of text in a block, and distinct q-grams that a bucket of the exchange shall hold.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 PART_GRAMS = 1 << 20
 #: Bits of the low part of a packed hash, besides those that name its part of the exchange.
 LOW = 40
@@ -357,6 +357,7 @@ def _answered(kind: int, answer):
 
     def run(table: pa.Table) -> pa.Table:
         found = answer(table.column("data").to_pylist())
+        release()
         return table.set_column(table.schema.get_field_index("data"), "data", pa.array(found, pa.binary()))
 
     return run
@@ -364,6 +365,7 @@ def _answered(kind: int, answer):
 
 def _replayed(rows: pa.Table, answers: pa.Table, length: int, bits: int, upto: int) -> tuple[dict, Block]:
     """The block with the answers it has got so far."""
+    release()
     row = rows.to_pylist()[0]
     got: dict[int, list] = {1: [], 2: [], 3: []}
     for a in answers.to_pylist():
@@ -382,6 +384,7 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     """All rows with ``kept`` (the remaining bytes) and ``spans`` (start and stop of each removed run of bytes)."""
     if length <= GRAM + 8:
         raise ValueError(f"length must be over {GRAM + 8}")
+    batch_rows(df.sparkSession)
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     grams = total * 2 // (length - GRAM + 2)
     bits = min(20, max(0, int(grams // PART_GRAMS).bit_length()))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import list_array, offsets_of, replace_columns, schema_with, slices
+from kbspark.llm.common import batch_rows, list_array, offsets_of, release, replace_columns, schema_with, slices
 
 #: Labelled documents of each class from which the lexicon and the logistic function are learned.
 SAMPLE_DOCS = 8_000
@@ -40,6 +40,7 @@ BEGINNINGS = (4, 5, 6)
 LEVELS = len(STRENGTHS) + 1
 BLOCK = 64
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+KEPT: dict[int, np.ndarray] = {}
 SPANS = "array<struct<start:int,stop:int,marginal:double>>"
 
 
@@ -56,11 +57,13 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, letter
 
 
-@lru_cache(maxsize=4)
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first powers of a number modulo 2**64; the longest list asked for is kept."""
+    if base not in KEPT or len(KEPT[base]) < n:
+        out = np.full(n, base, dtype=np.uint64)
+        out[0] = 1
+        KEPT[base] = np.multiply.accumulate(out)
+    return KEPT[base]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ class Tokens:
         self.start = self.begin - text_start[self.text] if len(texts) else self.begin
         self.stop = self.start + self.end - self.begin
         self.sizes = np.bincount(self.text, minlength=len(texts)).astype(np.int64)
-        size = 1 << max(16, int(len(code) + 1).bit_length())
+        size = max(1, len(code))
         total = np.zeros(len(code) + 1, dtype=np.uint64)
         np.cumsum((lower[code].astype(np.uint64) + np.uint64(7)) * powers(ODD, size)[: len(code)], out=total[1:])
         back = powers(INVERSE, size)[self.begin] if len(self.begin) else np.zeros(0, np.uint64)
@@ -247,6 +250,7 @@ def sample(labels: DataFrame, doc_id: str, toxic: str, most: int = SAMPLE_DOCS)
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learns from at most ``sample_docs`` labelled documents of each class; give only rows to learn from."""
     spark = docs.sparkSession
+    batch_rows(spark)
     chosen = {r.doc_id: r.toxic for r in sample(labels, doc_id, toxic, sample_docs).collect()}
     ids = spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")  # at most 2 * sample_docs ids
@@ -340,6 +344,8 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score",
                     last = i
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("marginal", pa.float64())]))
                 yield replace_columns(batch, {"__score": pa.array(value), "__spans": pa.array(found, kind)})
+        release()
 
+    batch_rows(df.sparkSession)
     done = df.mapInArrow(run, schema_with(df, __score="double", __spans=SPANS))
     return done.drop(score, spans).withColumnsRenamed({"__score": score, "__spans": spans})
