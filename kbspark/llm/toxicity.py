@@ -4,7 +4,7 @@ Tokens are runs of letters, lower-cased. The labels are those of documents, so t
 derived: from a bounded sample of labelled documents (one of each group of near copies), words and word beginnings
 that occur in far more toxic than clean documents (by the likelihood-ratio statistic) make a lexicon; a lexicon
 token of a toxic document is labelled toxic, every other token clean. The field sees how strong a
-token's word and its beginning are in the lexicon, and learns from these labels how far to trust each
+token's word and its beginning are in the lexicon (how many times more frequent they are), and learns from these labels how far to trust each
 strength and how toxic tokens follow each other. Forward-backward marginals give the spans (tokens with
 a marginal of one half or more, joined if they follow each other), and two sums of them, through a
 logistic function fitted on the sample, the document score.
@@ -32,12 +32,12 @@ SAMPLE_DOCS = 8_000
 FIELD_DOCS, FIELD_TOKENS = 1_000, 4_000
 #: Entries of the lexicon at most; the strongest stay.
 LEXICON = 20_000
-#: Likelihood-ratio statistics at which a lexicon entry gets stronger; below the first it is none.
-STRENGTHS = np.array([16.0, 24.0, 40.0, 80.0])
-#: How many times more frequent in toxic documents an entry is, at least.
-RATIO = 8.0
+#: Likelihood-ratio statistic that an entry of the lexicon has at least.
+SIGNIFICANT = 16.0
+#: How many times more frequent in toxic documents an entry is, at which it gets stronger; below the first it is none.
+RATIOS = np.array([3.0, 8.0, 30.0, 100.0])
 BEGINNINGS = (4, 5, 6)
-LEVELS = len(STRENGTHS) + 1
+LEVELS = len(RATIOS) + 1
 BLOCK = 64
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 KEPT: dict[int, np.ndarray] = {}
@@ -287,10 +287,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     t, c, every = F.col("t"), F.col("c"), float(n.sum())
     want_t, want_c = (t + c) * (n[1] / every), (t + c) * (n[0] / every)
     statistic = 2 * (t * F.log(t / want_t) + F.when(c > 0, c * F.log(c / want_c)).otherwise(0.0))
-    entries = counts.where((t / n[1] > RATIO * (c + 0.5) / n[0]) & (t > 0)).withColumn("g", statistic).where(F.col("g") >= float(STRENGTHS[0])).orderBy(F.desc("g"), "h").limit(LEXICON).select("h", "g").toPandas()
+    ratio = (t / n[1]) / ((c + 0.5) / n[0])
+    entries = counts.where((ratio >= float(RATIOS[0])) & (t > 0)).withColumns({"g": statistic, "ratio": ratio}).where(F.col("g") >= SIGNIFICANT).orderBy(F.desc("g"), "h").limit(LEXICON).select("h", "ratio").toPandas()
     keys = entries["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
-    strength = np.searchsorted(STRENGTHS, entries["g"].to_numpy(dtype=float), side="right")
+    strength = np.searchsorted(RATIOS, entries["ratio"].to_numpy(dtype=float), side="right")
     model = Model(keys[order], strength[order].astype(np.int64), Field(), None)
 
     def observed(batches):
