@@ -661,6 +661,70 @@ def retrieve(s, d):
     return retrieve(i.queries(s, d), targets, i.chunks(s, d), rs.parse_scores(i.score_responses(s, d)))["citations"]
 
 
+# sources, sinks, user functions
+
+
+@query("select cast(page_id as varchar) as page_id, url as title, html, '/p/' || page_id as webui, cast(page_id % 5 as integer) as version, 'Root' as root from pages")
+def read_pages(s, d):
+    from kbspark.sources.tables import read_pages
+    from kbspark.streaming.jobs import new_folder
+
+    text = F.col("page_id").cast("string")
+    root = F.array(F.struct(F.lit("0").alias("id"), F.lit("Root").alias("title")))
+    page = F.struct(
+        text.alias("id"), F.col("url").alias("title"), F.struct(F.struct(F.col("html").alias("value")).alias("storage")).alias("body"), F.struct(F.concat(F.lit("/p/"), text).alias("webui")).alias("_links"),
+        F.struct((F.col("page_id") % 5).cast("int").alias("number"), F.lit("2024-01-01").alias("when")).alias("version"), root.alias("ancestors"), F.lit(1).alias("unknown"),
+    )
+    folder = new_folder(s) + "/dump"
+    envelopes = i.read(s, d, "pages").groupBy(F.floor(F.col("page_id") / 25).alias("no")).agg(F.collect_list(page).alias("results")).select("results", F.size("results").alias("size"))
+    envelopes.write.json(folder)
+    return read_pages(s, folder).select("page_id", "title", "html", "webui", "version", F.col("ancestors")[0]["title"].alias("root"))
+
+
+@query(SQL["chunk_pages"])
+def write_chunks(s, d):
+    from kbspark.sources.tables import read_chunks, write_chunks
+    from kbspark.streaming.jobs import new_folder
+
+    folder = new_folder(s) + "/chunks"
+    write_chunks(ch.chunk_pages(i.docs(s, d)), folder)
+    return read_chunks(s, folder).select(ch.COLUMNS)
+
+
+@query("select doc_id, list_transform([length(text), length(text) - length(replace(text, ' ', ''))], lambda x: cast(x as float)) as v from documents")
+def embed(s, d):
+    from kbspark.functions.models import embed
+
+    return embed(i.read(s, d, "documents").select("doc_id", "text"), "text", lambda texts: [[len(t), t.count(" ")] for t in texts], "v").drop("text")
+
+
+@query("select doc_id, cast(length(text) as double) / (1 + length(source)) as pair_score from documents")
+def score_pairs(s, d):
+    from kbspark.functions.models import score_pairs
+
+    return score_pairs(i.read(s, d, "documents").select("doc_id", "source", "text"), "source", "text", lambda pairs: [len(b) / (1 + len(a)) for a, b in pairs]).select("doc_id", "pair_score")
+
+
+@query(sql("select chunk_id, term, positions from (select chunk_id, regexp_replace(term, '(ing|ed|s)$', '') as term, list_sort(flatten(list(positions))) as positions from postings group by 1, 2)", "chunks", postings=POSTINGS))
+def stem(s, d):
+    import re
+
+    return ft.stem(ft.tokenize(i.chunks(s, d)), lambda t: re.sub("(ing|ed|s)$", "", t))
+
+
+@query(sql("select question_id, chunk_id, cast(row_number() over (partition by question_id order by p) as integer) as pos from (select question_id, chunk_id, min(rank) as p from (select question_id, chunk_id, rank from list_page union all select question_id, chunk_id, 100 + rank from list_hybrid) group by all)", "list_page", "list_hybrid"))
+def dedupe_chunks(s, d):
+    both = i.candidates(s, d, "page").unionByName(i.candidates(s, d, "hybrid").withColumn("rank", F.col("rank") + 100))
+    return asm.dedupe_chunks(both.withColumnRenamed("rank", "pos"))
+
+
+@query(sql("select 'top' as report, question as item, n from (select question, count(*) as n from feedback group by question order by n desc, question limit 20) union all select 'failing', question, n from (select question, count(*) as n from feedback where rating = 'negative' and question not in (select question from feedback where rating = 'positive') group by question order by n desc, question limit 20)", "feedback"))
+def dashboard(s, d):
+    parts = fb.dashboard(i.feedback(s, d))
+    top = parts["top_questions"].select(F.lit("top").alias("report"), F.col("question").alias("item"), "n")
+    return top.unionByName(parts["failing_questions"].select(F.lit("failing").alias("report"), F.col("question").alias("item"), F.col("attempts").alias("n")))
+
+
 # streams: the same results as in batch
 
 
