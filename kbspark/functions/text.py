@@ -75,12 +75,18 @@ def decode_gaps(c: Column) -> Column:
     return F.coalesce(F.split(c, r"\|\|"), F.array().cast("array<string>"))
 
 
+#: How lines start that only cite, the address they contain, and the parts of a Markdown link.
+CITES, WIKI_HOST, LINK = ["📄", "Source:", "Sources:"], "atlassian.net", ("[", "](http")
+
+
 def strip_citation_lines(c: Column) -> Column:
     """Without lines that only cite: a page sign or 'Source' in front, a wiki address, or a Markdown link."""
-    lines = F.filter(
-        F.split(c, "\n"),
-        lambda line: ~(
-            F.startswith(trimmed(line), F.lit("📄")) | F.startswith(trimmed(line), F.lit("Source:")) | F.startswith(trimmed(line), F.lit("Sources:")) | F.contains(trimmed(line), F.lit("atlassian.net")) | (F.startswith(trimmed(line), F.lit("[")) & F.contains(trimmed(line), F.lit("](http")))
-        ),
-    )
-    return trimmed(F.array_join(lines, "\n"))
+
+    def cites(line: Column) -> Column:
+        text = trimmed(line)
+        hit = F.contains(text, F.lit(WIKI_HOST)) | (F.startswith(text, F.lit(LINK[0])) & F.contains(text, F.lit(LINK[1])))
+        for mark in CITES:
+            hit = hit | F.startswith(text, F.lit(mark))
+        return hit
+
+    return trimmed(F.array_join(F.filter(F.split(c, "\n"), lambda line: ~cites(line)), "\n"))
