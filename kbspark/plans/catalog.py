@@ -667,7 +667,7 @@ def retrieve(s, d):
 @query("select cast(page_id as varchar) as page_id, url as title, html, '/p/' || page_id as webui, cast(page_id % 5 as integer) as version, 'Root' as root from pages")
 def read_pages(s, d):
     from kbspark.sources.tables import read_pages
-    from kbspark.streaming.jobs import new_folder
+    from kbspark.functions.shared import new_folder
 
     text = F.col("page_id").cast("string")
     root = F.array(F.struct(F.lit("0").alias("id"), F.lit("Root").alias("title")))
@@ -684,7 +684,7 @@ def read_pages(s, d):
 @query(SQL["chunk_pages"])
 def write_chunks(s, d):
     from kbspark.sources.tables import read_chunks, write_chunks
-    from kbspark.streaming.jobs import new_folder
+    from kbspark.functions.shared import new_folder
 
     folder = new_folder(s) + "/chunks"
     write_chunks(ch.chunk_pages(i.docs(s, d)), folder)
@@ -752,9 +752,10 @@ def stream_conversation_state(s, d):
 
 @query(sql(f"select {ORDER} from ({L1}) union all select {ORDER} from ({L2}) union all select {ORDER} from ({L3})", "plain_docs", docs="select * from plain_docs", **STEPS, **FACTS))
 def stream_page_sync(s, d):
+    from kbspark.functions.shared import new_folder
     from kbspark.sources.tables import read_chunks
     from kbspark.streaming import jobs
 
-    root = jobs.new_folder(s)
+    root = new_folder(s, "stream")
     jobs.stream_page_sync(i.plain_docs(s, d, i.stream), f"{root}/store", ch.chunk_pages, f"{root}/sync").trigger(availableNow=True).start().awaitTermination()
     return read_chunks(s, f"{root}/store").select(ch.COLUMNS)

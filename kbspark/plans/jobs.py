@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions.models import embed
+from kbspark.functions.shared import written
 from kbspark.operators.assembly import add_title_fallback, build_context, citations, expand_parents, merge_candidates, rerank, select_final
 from kbspark.operators.chunking import chunk_pages
 from kbspark.operators.fulltext import tokenize
@@ -34,20 +35,21 @@ def retrieve(queries: DataFrame, targets: DataFrame, chunks: DataFrame, scores:
     """Search, assemble and cite for a table of questions.
 
     ``queries`` is (query_id, question_id, query_no, query, embedding), ``targets`` (question_id, target page or null), ``scores``
-    what a reranker said (question_id, batch_no, scores). Gives candidates, final, context, citations.
+    what a reranker said (question_id, batch_no, scores). Gives candidates, final, context, citations. The search hits,
+    the candidates and the final chunks, k rows a question, are written once, as several results use them.
     """
     hits = hybrid_search(queries, chunks, tokenize(chunks), k)
-    searched = multi_query_search(queries, hits, k)
+    searched = written(multi_query_search(queries, hits, k))
     wanted = targets.where("target is not null").select("question_id", F.col("target").alias("key"))
     names = wanted.select("key").distinct()
     pages = page_chunks(names, chunks, "L2").join(wanted, "key").select("question_id", "chunk_id", "rank")
     tables = table_chunks(names, chunks).join(wanted, "key").select("question_id", "chunk_id", "rank")
     merged = merge_candidates(pages, tables, searched.select("question_id", "chunk_id", "rank"))
     filled = add_title_fallback(merged, targets, chunks_by_title(names, chunks))
-    whole = expand_parents(filled, chunks)
+    whole = written(expand_parents(filled, chunks))
     scored = whole.join(searched.select("question_id", "chunk_id", "score"), ["question_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
     ranked = rerank(scored, scores, final_k)
-    final = select_final(ranked.select("question_id", "chunk_id", "pos"), chunks, targets, final_k)
+    final = written(select_final(ranked.select("question_id", "chunk_id", "pos"), chunks, targets, final_k))
     return {"candidates": whole, "final": final, "context": build_context(final, chunks), "citations": citations(final, chunks)}
 
 

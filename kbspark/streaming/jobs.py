@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from kbspark.functions.shared import new_folder
 from kbspark.operators.conversation import TITLE_CHARS
 from kbspark.operators.feedback import POSITIVE, percent
 from kbspark.operators.sync import newest
@@ -52,16 +51,10 @@ def _exists(spark, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def new_folder(spark) -> str:
-    """A new folder in the shared one, or where none is configured a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return os.path.join(shared, f"stream-{uuid.uuid4().hex}")
-
-
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over the input that is there, and gives its result as a table in the shared folder."""
     spark = stream.sparkSession
-    root = new_folder(spark)
+    root = new_folder(spark, "stream")
     out = os.path.join(root, "out")
 
     def keep(rows: DataFrame, number: int) -> None:
