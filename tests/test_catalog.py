@@ -46,3 +46,14 @@ def test_approximate_search_recall(spark):
     exact = {tuple(r)[:2] for r in catalog.QUERIES["vector_topk"](spark, TABLES).collect()}
     near = {tuple(r)[:2] for r in catalog.QUERIES["approx_vector_topk"](spark, TABLES).collect()}
     assert len(exact & near) / len(exact) >= 0.9
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "chunk_pages", "merge_candidates", "conversation_state"])
+def test_results_do_not_depend_on_partitions(spark, name):
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(collections.Counter(map(str, catalog.QUERIES[name](spark, TABLES).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
