@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.functions.shared import shared_dir, written
+
+__all__ = ["batch_rows", "held_out", "learned_from", "list_array", "offsets_of", "read", "release", "replace_columns", "schema_with", "shared_dir", "slices", "spread", "text_bytes", "written"]
+
 #: Bytes of text that one numpy pass takes at once; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
 #: Rows with texts that Spark hands to Python at once, and rows of numbers.
@@ -23,23 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"cut-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def batch_rows(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Sets how many rows the next Arrow batches have, which bounds the memory that they take on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
