@@ -55,12 +55,12 @@ def share(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column], budget: Column, epochs: int) -> DataFrame:
     """The leaves (levels, tokens) with ``quota``, their part of ``budget``, an expression of ``total`` tokens."""
-    whole = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).select(budget.cast("long").alias("budget"))
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
     given = None
     for depth in range(1, len(levels) + 1):
         path, parent = levels[:depth], levels[: depth - 1]
         nodes = leaves.groupBy(*path).agg((F.sum("tokens") * epochs).alias("room")).withColumn("weight", weights.get(path[-1], F.lit(1)))
-        nodes = nodes.join(F.broadcast(whole)) if given is None else nodes.join(given, parent)  # one row
+        nodes = nodes.withColumn("total", F.lit(total).cast("long")).withColumn("budget", budget.cast("long")) if given is None else nodes.join(given, parent)
         shared = share(nodes, parent or [F.lit(0)], path[-1])
         given = shared.select(*path, F.col("given").alias("budget"))
     return given.withColumnRenamed("budget", "quota")
@@ -80,9 +80,12 @@ def select(docs: DataFrame, levels: list[str], weights: dict[str, Column], budge
     quotas = written(budgets(leaves, levels, weights, budget, epochs))
     drawn = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
     drawn = drawn.withColumn("at", draw_order(seed, F.col("epoch"), F.col("doc_id"))).withColumn("bin", F.shiftright("at", ORDER_BITS - BIN_BITS))
-    stream = Window.partitionBy(*levels).orderBy("epoch", "bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = drawn.groupBy(*levels, "epoch", "bin").agg(F.sum("n_tokens").alias("own"))
-    bins = bins.withColumn("before", F.coalesce(F.sum("own").over(stream), F.lit(0))).join(quotas, levels).where("before <= quota").select(*levels, "epoch", "bin", "before", "quota")
+    before = lambda *keys: Window.partitionBy(*levels, *keys).rowsBetween(Window.unboundedPreceding, -1)
+    # sums over the bins in two steps, so that the bins of a leaf are no single group either
+    bins = drawn.groupBy(*levels, "epoch", "bin").agg(F.sum("n_tokens").alias("own")).withColumn("range", F.shiftright("bin", BIN_BITS // 2))
+    ranges = bins.groupBy(*levels, "epoch", "range").agg(F.sum("own").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before().orderBy("epoch", "range")), F.lit(0))).drop("all")
+    bins = bins.withColumn("inner", F.coalesce(F.sum("own").over(before("epoch", "range").orderBy("bin")), F.lit(0))).join(ranges, [*levels, "epoch", "range"]).withColumn("before", F.col("base") + F.col("inner"))
+    bins = bins.join(quotas, levels).where("before <= quota").select(*levels, "epoch", "bin", "before", "quota")
     here = Window.partitionBy(*levels, "epoch", "bin").orderBy("at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = drawn.join(bins, [*levels, "epoch", "bin"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(here))
     return placed.where("upto <= quota").select("doc_id", *levels, "epoch", "n_tokens", "upto")
