@@ -196,9 +196,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     # equal vectors are one class; its number is fixed when the table is written
     classes = written(fit.groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("size")).withColumn("class", F.monotonically_increasing_id()))
     n = classes.count()
-    alone = every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
-        return alone
+        return _alone(every)
     axes = directions(classes, dimension)
     cells = written(_cells(classes.select("class", "size", "v"), axes, eps))
     parts = max(1, n // (4 * block))
@@ -222,7 +221,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     known = written(known.join(least_of, "root").select("v", "n_links", "component_id"))
     linked = fit.join(known, fit.v.eqNullSafe(known.v)).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     other = every.join(classes.select(F.col("v").alias("w")), F.col("v") == F.col("w"), "left_anti")
-    return linked.unionByName(other.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
+    return linked.unionByName(_alone(other))
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """Rows that link with nothing."""
+    return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
 
 def _compare(dimension: int, axes: np.ndarray, least: float, eps: float):
