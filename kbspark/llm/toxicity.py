@@ -128,47 +128,59 @@ def chain(obs: np.ndarray, sizes: np.ndarray, emit: np.ndarray, trans: np.ndarra
     row, slot = np.repeat(first[:-1], sizes) + place // BLOCK, place % BLOCK
     grid = np.full((BLOCK, total), k, dtype=np.int64)
     grid[slot, row] = obs
-    step = np.concatenate([trans[None] * emit[:, None, :], np.eye(2)[None]])
-    p = np.tile(np.eye(2), (total, 1, 1))
+    # step matrices by observation, entry by entry; the last one, of padding, is the identity
+    step = [[np.append(trans[i, j] * emit[:, j], float(i == j)) for j in (0, 1)] for i in (0, 1)]
+
+    def entries(t):
+        return [[step[i][j][grid[t]] for j in (0, 1)] for i in (0, 1)]
+
+    p = [[np.full(total, float(i == j)) for j in (0, 1)] for i in (0, 1)]
     for t in range(BLOCK):
-        p = p @ step[grid[t]]
+        m = entries(t)
+        p = [[p[i][0] * m[0][j] + p[i][1] * m[1][j] for j in (0, 1)] for i in (0, 1)]
         if t % 8 == 7:
-            p /= p.sum(axis=(1, 2), keepdims=True)
+            scale = 1 / (p[0][0] + p[0][1] + p[1][0] + p[1][1])
+            p = [[x * scale for x in line] for line in p]
     order = np.argsort(-blocks, kind="stable")
     start, many = first[:-1][order], blocks[order]
-    ahead, behind = np.zeros((total, 2)), np.zeros((total, 2))
-    a = np.tile([1.0, 0.0], (len(order), 1))
+    ahead, behind = np.zeros((2, total)), np.zeros((2, total))
+    a = [np.ones(len(order)), np.zeros(len(order))]
     deepest = int(many[0]) if len(many) else 0
     active = [int(np.searchsorted(-many, -i, side="left")) for i in range(deepest)]
     for i in range(deepest):
         n = active[i]
         at = start[:n] + i
-        ahead[at] = a[:n]
-        a[:n] = np.einsum("ni,nij->nj", a[:n], p[at])
-        a[:n] /= a[:n].sum(axis=1, keepdims=True)
-    b = np.ones((len(order), 2))
+        x, y = a[0][:n].copy(), a[1][:n].copy()
+        ahead[0, at], ahead[1, at] = x, y
+        u, v = x * p[0][0][at] + y * p[1][0][at], x * p[0][1][at] + y * p[1][1][at]
+        a[0][:n], a[1][:n] = u / (u + v), v / (u + v)
+    b = [np.ones(len(order)), np.ones(len(order))]
     for i in reversed(range(deepest)):
         n = active[i]
         at = start[:n] + i
-        behind[at] = b[:n]
-        b[:n] = np.einsum("nij,nj->ni", p[at], b[:n])
-        b[:n] /= b[:n].sum(axis=1, keepdims=True)
-    alpha = np.empty((BLOCK + 1, total, 2))
+        x, y = b[0][:n].copy(), b[1][:n].copy()
+        behind[0, at], behind[1, at] = x, y
+        u, v = p[0][0][at] * x + p[0][1][at] * y, p[1][0][at] * x + p[1][1][at] * y
+        b[0][:n], b[1][:n] = u / (u + v), v / (u + v)
+    alpha = np.empty((BLOCK + 1, 2, total))
     alpha[0] = ahead
     for t in range(BLOCK):
-        x = (alpha[t][:, :, None] * step[grid[t]]).sum(axis=1)
-        alpha[t + 1] = x / x.sum(axis=1, keepdims=True)
-    marginal, moves, z = np.empty((BLOCK, total)), np.zeros((2, 2)), behind
+        m = entries(t)
+        u, v = alpha[t, 0] * m[0][0] + alpha[t, 1] * m[1][0], alpha[t, 0] * m[0][1] + alpha[t, 1] * m[1][1]
+        scale = 1 / (u + v)
+        alpha[t + 1, 0], alpha[t + 1, 1] = u * scale, v * scale
+    marginal, moves, z = np.empty((BLOCK, total)), np.zeros((2, 2)), [behind[0], behind[1]]
     for t in reversed(range(BLOCK)):
-        both = alpha[t + 1] * z
-        marginal[t] = both[:, 1] / both.sum(axis=1)
-        m = step[grid[t]]
+        clean, toxic = alpha[t + 1, 0] * z[0], alpha[t + 1, 1] * z[1]
+        marginal[t] = toxic / (clean + toxic)
+        m = entries(t)
         if pairs:
-            xi = alpha[t][:, :, None] * m * z[:, None, :]
-            xi /= xi.sum(axis=(1, 2), keepdims=True)
-            moves += xi[grid[t] < k].sum(axis=0)
-        z = (m * z[:, None, :]).sum(axis=2)
-        z /= z.sum(axis=1, keepdims=True)
+            xi = [[alpha[t, i] * m[i][j] * z[j] for j in (0, 1)] for i in (0, 1)]
+            scale = (grid[t] < k) / (xi[0][0] + xi[0][1] + xi[1][0] + xi[1][1])
+            moves += np.array([[(x * scale).sum() for x in line] for line in xi])
+        u, v = m[0][0] * z[0] + m[0][1] * z[1], m[1][0] * z[0] + m[1][1] * z[1]
+        scale = 1 / (u + v)
+        z = [u * scale, v * scale]
     return (marginal[slot, row], moves) if pairs else marginal[slot, row]
 
 
