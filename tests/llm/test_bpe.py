@@ -1,5 +1,5 @@
 import random
-
+import time
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +32,18 @@ def test_as_the_library(library):
         assert v.decode(ids, n) == [library.decode(want, skip_special_tokens=False)] == [text]
 
 
+def test_long_words_as_the_library(library):
+    rnd = random.Random(2)
+    v = bpe.Vocabulary(PATH)
+    letters = ["".join(rnd.choice("etaoinshrdlu") for _ in range(n)) for n in (bpe.LONG_WORD - 1, bpe.LONG_WORD, bpe.LONG_WORD + 1, 5_000, 60_000)]
+    for text in [*letters, " ".join(letters), "a" * 30_001, "ab" * 9_000, "中文字符" * 3_000, "x" + " " * 3_000 + "y"]:
+        ids, _ = v.encode([text])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    began = time.time()
+    v.encode(["".join(rnd.choice("etaoinshrdlu") for _ in range(1_000_000))])
+    assert time.time() - began < 30
+
+
 def test_table_with_nulls_repeats_and_clashing_columns(spark, library):
     rows = [(1, "some text", "old"), (1, "some text", None), (None, None, None), (3, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
