@@ -1,19 +1,19 @@
 """Embedding near-dedup by the epsilon grid order.
 
 Vectors are scaled to length one, so a cosine of at least ``least`` is a Euclidean distance of at most
-``eps`` = sqrt(2 - 2 least). They are projected on the leading principal directions of all vectors,
+``eps`` = sqrt(2 - 2 least). They are projected on the leading principal directions of all vectors of their dimension,
 put into grid cells ``eps`` wide, and sorted by the cells of the leading directions in turn: the
 epsilon grid order. The sorted sequence is cut into intervals of equal size (blocks of many vectors with
-their bounding box). Pairs of intervals are joined recursively: a pair whose boxes are more than ``eps``
-apart in the projected space is skipped with all that is in it, any other is halved, until
-intervals are blocks, whose vectors are compared by matrix products in the tasks. There the halving goes on
-down to small runs of vectors. What the products find within a margin of the threshold is decided by the cosine
-in double precision.
-
-Null vectors, vectors with a null or non-finite component, zero vectors, and vectors whose dimension
-is not the most frequent one link with nothing: ``n_links`` 0, their own component, kept. Equal vectors are
-compared once and all counted. Rows with a null id count as links of others, take the component of
-their links, and are not kept. Repeated rows of one id are vectors of their own in the counts. An empty table gives an empty table.
+their bounding box, which the length of what the projection leaves out is a side of). Pairs of intervals are joined recursively: a pair
+whose boxes are more than ``eps`` apart is skipped with all that is in it, any other is halved, until
+intervals are blocks, whose pairs are joined in tasks. There the halving goes on
+down to short runs of vectors, which are compared by a matrix product. What the products find within a margin of the threshold is decided by the cosine
+in double precision. Vectors of different dimensions never link; each dimension is joined by itself, one after the other.
+
+Null and empty vectors, vectors with a null or non-finite component and zero vectors link with nothing: ``n_links`` 0, their own component,
+kept. Equal vectors, told by 128 bits of hash, are compared once and all counted. Rows with a null id count as links of others, take the component of
+their links, and are not kept. Repeated rows of one id are vectors of their own in the counts. An empty table gives an empty table. Other columns are
+not looked at, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,19 +29,17 @@ from kbspark.llm.simhash import spanning
 
 #: Principal directions that order the grid and bound the boxes.
 DIRECTIONS = 16
-#: Vectors of a block, of a run below which pairs are compared directly, and blocks in one side of a task.
-BLOCK, RUN, SIDE = 1024, 256, 4
+#: Bytes of the vectors of a block, and vectors of a run below which pairs are compared directly.
+BLOCK_BYTES, RUN = 4 << 20, 256
 #: Distance by which single precision may be wrong.
 MARGIN = 1e-4
 #: Bits of the sequence number that each step of the recursion settles.
 STEP = 2
 
 
-def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v) of the vectors that can link."""
-    v = F.col("v")
-    fine = F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<float>").alias("v")).where(fine)
+def usable(v) -> F.Column:
+    """Whether a vector can link."""
+    return F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -69,16 +67,26 @@ def directions(vectors: DataFrame, dimension: int, many: int = DIRECTIONS) -> np
             yield pa.RecordBatch.from_arrays([pa.array([n] * dimension, pa.int64()), pa.array(np.arange(dimension), pa.int32()), list_array(total.ravel(), np.full(dimension, dimension + 1), pa.float64())], names=["n", "i", "row"])
 
     parts = vectors.select("v").mapInArrow(run, "n long, i int, row array<double>")
-    rows = parts.select("n", "i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
-    moments = np.zeros((dimension, dimension + 1))
-    for r in rows:
-        moments[r.i, r.j] = r.x
-    n = rows[0].n if rows else 1
+    sums = F.array(*[F.sum(F.col("row")[j]) for j in range(dimension + 1)]) if dimension < 128 else None
+    if sums is None:  # too many sums for one expression: by components
+        each = parts.select("n", "i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        rows = each.groupBy("i").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda p: p["x"]).alias("row"))
+    else:
+        rows = parts.groupBy("i").agg(F.sum("n").alias("n"), sums.alias("row"))
+    table = rows.toArrow().sort_by("i")
+    moments = _matrix(table.column("row").combine_chunks(), dimension + 1)
+    n = table.column("n")[0].as_py()
     mean = moments[:, dimension] / n
     _, axes = np.linalg.eigh(moments[:, :dimension] / n - np.outer(mean, mean))
     return np.ascontiguousarray(axes[:, ::-1][:, : min(many, dimension)])
 
 
+def _projected(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates along the axes and the length of the rest; distances are at most those of the vectors."""
+    y = unit @ axes
+    return np.column_stack([y, np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", y, y), 0))])
+
+
 def _cells(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
     """Adds the cells of the grid along the leading directions as one text that sorts like them."""
     dimension = len(axes)
@@ -88,11 +96,11 @@ def _cells(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
             cell = np.floor(_unit(_matrix(b.column("v"), dimension)) @ axes / eps).astype(np.int64) + 5_000
             yield pa.RecordBatch.from_arrays([b.column("class"), b.column("size"), b.column("v"), pa.array(["".join(f"{c:04d}" for c in row) for row in np.clip(cell, 0, 9_999).tolist()], pa.string())], names=["class", "size", "v", "cell"])
 
-    return vectors.mapInArrow(run, "class long, size long, v array<float>, cell string")
+    return vectors.mapInArrow(run, "class long, size long, v array<double>, cell string")
 
 
-def _blocks(ordered: DataFrame, axes: np.ndarray, size: int) -> DataFrame:
-    """Blocks of consecutive vectors: (part, no, class ids, class sizes, vectors as bytes, box)."""
+def _blocks(ordered: DataFrame, axes: np.ndarray, size: int, kind: str) -> DataFrame:
+    """Blocks of consecutive vectors: (part, no, class ids, class sizes, vectors as bytes of ``kind``, box)."""
     dimension = len(axes)
 
     def run(batches):
@@ -101,8 +109,8 @@ def _blocks(ordered: DataFrame, axes: np.ndarray, size: int) -> DataFrame:
 
         def block(i, n, x):
             nonlocal no
-            y = _unit(x) @ axes
-            row = [pa.array([part]), pa.array([no]), list_array(i, [len(i)], pa.int64()), list_array(n, [len(n)], pa.int64()), pa.array([x.astype("<f4").tobytes()], pa.binary())]
+            y = _projected(_unit(x), axes)
+            row = [pa.array([part]), pa.array([no]), list_array(i, [len(i)], pa.int64()), list_array(n, [len(n)], pa.int64()), pa.array([x.astype(kind).tobytes()], pa.binary())]
             row += [list_array(y.min(axis=0), [y.shape[1]], pa.float64()), list_array(y.max(axis=0), [y.shape[1]], pa.float64())]
             no += 1
             return pa.RecordBatch.from_arrays(row, names=["part", "no", "ids", "sizes", "data", "low", "high"])
@@ -156,102 +164,102 @@ def interval_pairs(boxes: DataFrame, eps: float) -> DataFrame:
     return pairs
 
 
-def _near(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, least: float, eps: float, same: bool):
-    """Places (i, j) of near vectors of two runs, by halving until the runs are short or far apart."""
+class Side:
+    """A block in a task: classes, their sizes, unit vectors, and the boxes of its runs in order."""
+
+    def __init__(self, block: dict, dimension: int, axes: np.ndarray, kind: str, run: int = RUN):
+        self.ids, self.sizes = np.array(block["ids"], dtype=np.int64), np.array(block["sizes"], dtype=np.int64)
+        self.x = _unit(np.frombuffer(block["data"], dtype=kind).reshape(-1, dimension))
+        self.single = self.x.astype(np.float32)
+        y = _projected(self.x, axes)
+        self.cut = np.append(np.arange(0, len(y), run), len(y))
+        self.low, self.high = np.minimum.reduceat(y, self.cut[:-1], axis=0), np.maximum.reduceat(y, self.cut[:-1], axis=0)
+
+
+def _near(a: Side, b: Side, least: float, eps: float, same: bool):
+    """Places (i, j) of near vectors of two blocks, by halving intervals of runs until they are single or far apart; and how many pairs of runs were compared."""
     limit = (eps + MARGIN) ** 2
-    todo = [(0, len(x), 0, len(y))]
-    x4, y4 = x.astype(np.float32), y.astype(np.float32)
-    found_i, found_j = [], []
+    todo = [(0, len(a.low), 0, len(b.low))]
+    found_i, found_j, compared = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while todo:
-        a, b, c, d = todo.pop()
-        if same and d <= a:
+        p, q, r, s = todo.pop()
+        if same and s <= p:
             continue
-        gap = np.maximum(np.maximum(px[a:b].min(axis=0) - py[c:d].max(axis=0), py[c:d].min(axis=0) - px[a:b].max(axis=0)), 0)
+        gap = np.maximum(np.maximum(a.low[p:q].min(axis=0) - b.high[r:s].max(axis=0), b.low[r:s].min(axis=0) - a.high[p:q].max(axis=0)), 0)
         if gap @ gap > limit:
             continue
-        if max(b - a, d - c) > RUN:
-            e, f = (a + b + 1) // 2, (c + d + 1) // 2
-            todo += [(s, t, u, v) for s, t in ((a, e), (e, b)) for u, v in ((c, f), (f, d)) if s < t and u < v]
+        if max(q - p, s - r) > 1:
+            e, f = (p + q + 1) // 2, (r + s + 1) // 2
+            todo += [(t, u, v, w) for t, u in ((p, e), (e, q)) for v, w in ((r, f), (f, s)) if t < u and v < w]
             continue
-        i, j = np.nonzero(x4[a:b] @ y4[c:d].T >= np.float32(least - MARGIN))
-        i, j = i + a, j + c
+        compared += 1
+        at, to = a.cut[p], b.cut[r]
+        i, j = np.nonzero(a.single[at : a.cut[p + 1]] @ b.single[to : b.cut[r + 1]].T >= np.float32(least - MARGIN))
+        i, j = i + at, j + to
         if same:
             i, j = i[i < j], j[i < j]
         if len(i):
-            sure = np.einsum("ij,ij->i", x[i], y[j]) >= least
+            sure = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= least
             found_i.append(i[sure])
             found_j.append(j[sure])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+    return np.concatenate(found_i), np.concatenate(found_j), compared
 
 
-def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
-    eps = float(np.sqrt(2 - 2 * least))
-    every = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v"))
-    good = usable(every, "vec_id", "v")
-    common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = common.d if common else 0
-    fit = good.where(F.size("v") == dimension)
-    # equal vectors are one class; its number is fixed when the table is written
-    classes = written(fit.groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("size")).withColumn("class", F.monotonically_increasing_id()))
+def _links(classes: DataFrame, dimension: int, kind: str, least: float, eps: float, block: int | None) -> DataFrame:
+    """(a, b, links) of the classes (class, size, v) of one dimension: rows (class, 0, its links) and (class, class, 0) that connect."""
     n = classes.count()
-    if not n:
-        return _alone(every)
     axes = directions(classes, dimension)
+    size = block or max(RUN, BLOCK_BYTES // (dimension * np.dtype(kind).itemsize))
     cells = written(_cells(classes.select("class", "size", "v"), axes, eps))
-    parts = max(1, n // (4 * block))
+    parts = max(1, n // (4 * size))
     ordered = cells.repartitionByRange(parts, "cell", "class").sortWithinPartitions("cell", "class").withColumn("part", F.spark_partition_id().cast("long"))
-    cut = written(_blocks(ordered.select("class", "size", "v", "part"), axes, block))
+    cut = written(_blocks(ordered.select("class", "size", "v", "part"), axes, size, kind))
     many = cut.groupBy("part").agg(F.max("no").alias("last"))
     base = many.select("part", F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each partition
     placed = written(cut.join(base, "part").select((F.col("base") + F.col("no")).alias("seq"), "ids", "sizes", "data", "low", "high"))
     pairs = interval_pairs(placed.select("seq", "low", "high"), eps)
-    tiles = pairs.select(F.floor(F.col("a") / SIDE).alias("ta"), F.floor(F.col("b") / SIDE).alias("tb"), "a", "b")
-    sides = tiles.select("ta", "tb", F.explode(F.array("a", "b")).alias("seq")).distinct()
-    wanted = tiles.groupBy("ta", "tb").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))  # at most SIDE * SIDE
-    loads = sides.join(placed.select("seq", F.struct("seq", "ids", "sizes", "data").alias("block")), "seq")
-    tasks = loads.groupBy("ta", "tb").agg(F.collect_list("block").alias("blocks")).join(wanted, ["ta", "tb"]).select("blocks", "pairs")  # at most 2 * SIDE blocks
-    found = written(tasks.mapInArrow(_compare(dimension, axes, least, eps), "a long, b long, links long"))
-    counts = found.where("links > 0").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    roots = written(connected_components(found.where("links = 0").select("a", "b")))
-    known = classes.select("class", "v", "least_id", "size")
-    known = written(known.join(counts, "class", "left").join(roots, known["class"] == roots.id, "left").select("class", "v", "least_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")))
-    least_of = written(known.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    known = written(known.join(least_of, "root").select("v", "n_links", "component_id"))
-    linked = fit.join(known, fit.v.eqNullSafe(known.v)).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    other = every.join(classes.select(F.col("v").alias("w")), F.col("v") == F.col("w"), "left_anti")
-    return linked.unionByName(_alone(other))
+    whole = placed.select("seq", F.struct("ids", "sizes", "data").alias("block"))
+    one = pairs.join(whole.withColumnsRenamed({"seq": "a", "block": "left"}), "a")
+    tasks = one.join(whole.withColumnsRenamed({"seq": "b", "block": "right"}), "b").select((F.col("a") == F.col("b")).alias("same"), "left", "right")
 
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                a = Side(row["left"], dimension, axes, kind)
+                b = a if row["same"] else Side(row["right"], dimension, axes, kind)
+                m, n, _ = _near(a, b, least, eps, row["same"])
+                links = np.r_[np.bincount(m, b.sizes[n], len(a.ids)), np.bincount(n, a.sizes[m], len(b.ids))].astype(np.int64)
+                ids, some = np.r_[a.ids, b.ids], links > 0
+                x, y = spanning(a.ids[m], b.ids[n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[some], x]), pa.array(np.r_[np.zeros(some.sum(), np.int64), y]), pa.array(np.r_[links[some], np.zeros(len(x), np.int64)])], names=["a", "b", "links"])
 
-def _alone(rows: DataFrame) -> DataFrame:
-    """Rows that link with nothing."""
-    return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-
+    return written(tasks.mapInArrow(run, "a long, b long, links long"))
 
-def _compare(dimension: int, axes: np.ndarray, least: float, eps: float):
-    """Compares the block pairs of a task: (class, 0, links of the class) and (class, class, 0) that connect."""
 
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                blocks = {}
-                for s in batch.column("blocks")[row].as_py():
-                    x = _unit(np.frombuffer(s["data"], dtype="<f4").reshape(-1, dimension))
-                    blocks[s["seq"]] = (np.array(s["ids"], dtype=np.int64), np.array(s["sizes"], dtype=np.int64), x, x @ axes)
-                links: dict[int, np.ndarray] = {q: np.zeros(len(blocks[q][0]), dtype=np.int64) for q in blocks}
-                tree_a, tree_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for p in batch.column("pairs")[row].as_py():
-                    (i, si, x, px), (j, sj, y, py) = blocks[p["a"]], blocks[p["b"]]
-                    m, n = _near(x, y, px, py, least, eps, p["a"] == p["b"])
-                    np.add.at(links[p["a"]], m, sj[n])
-                    np.add.at(links[p["b"]], n, si[m])
-                    a, b = spanning(i[m], j[n])
-                    tree_a.append(a)
-                    tree_b.append(b)
-                a, b = spanning(np.concatenate(tree_a), np.concatenate(tree_b))
-                ids, many = np.concatenate([blocks[q][0] for q in blocks]), np.concatenate([links[q] for q in blocks])
-                ids, many = ids[many > 0], many[many > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids, a]), pa.array(np.r_[np.zeros(len(ids), np.int64), b]), pa.array(np.r_[many, np.zeros(len(a), np.int64)])], names=["a", "b", "links"])
-
-    return run
+def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95, block: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row; ``block`` is a number of vectors, by default BLOCK_BYTES of them."""
+    eps = float(np.sqrt(2 - 2 * least))
+    kind = "<f4" if df.schema[embedding].dataType.elementType.simpleString() == "float" else "<f8"
+    v = F.col("v")
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    # equal vectors share a key; no vector that can link has none. Zeros with a minus sign are zeros
+    plain = F.transform(v, lambda x: x + F.lit(0.0))
+    good = rows.where(usable(v)).select("vec_id", plain.alias("v")).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), F.reverse("v"))})
+    # the number of a class is fixed when the table is written
+    classes = written(good.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("size")).withColumn("class", F.monotonically_increasing_id()))
+    found = None
+    for r in classes.groupBy(F.size("v").alias("d")).agg(F.lit(1)).orderBy("d").collect():  # a row for each dimension
+        some = _links(classes.where(F.size("v") == r.d), r.d, kind, least, eps, block)
+        found = some if found is None else found.unionByName(some)
+    alone = rows.where(~usable(v)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if found is None:
+        return alone
+    counts = found.where("links > 0").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    roots = written(connected_components(found.where("links = 0").select("a", "b")))
+    known = classes.select("class", "h1", "h2", "least_id", "size")
+    known = written(known.join(counts, "class", "left").join(roots, known["class"] == roots.id, "left").select("h1", "h2", "least_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")))
+    least_of = written(known.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    known = written(known.join(least_of, "root").select("h1", "h2", "n_links", "component_id"))
+    linked = good.select("vec_id", "h1", "h2").join(known, ["h1", "h2"]).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return linked.unionByName(alone)
