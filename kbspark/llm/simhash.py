@@ -12,10 +12,11 @@ of the 48 bits and at most one of the block share a variant. The remaining case,
 inside one block, is found where the other 48 bits are equal. Fingerprints that meet are compared through
 their block's value, by looking up the values one (or three) bits away: no pairs of a bucket are
 listed, and every link found is verified. Each bucket's links are given as a spanning set, which
-leaves the groups as they are.
+leaves the groups as they are. So these block tables stand in for the ball of radius two that the plain scheme has on one side.
 
 Repeated rows and equal texts share a fingerprint. Rows with a null id belong to the group of their
-fingerprint but name none. An empty table gives an empty table; other columns are not looked at.
+fingerprint but name none. An empty table gives an empty table; other columns are not looked at, so their names cannot clash. A
+very long text is a pass of its own, with some 100 bytes a word and 10 a byte.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from kbspark.llm.components import connected_components
 BITS, BLOCKS, RADIUS, SHINGLE, SEED = 64, 4, 3, 3, 42
 WIDTH = BITS // BLOCKS
 REST = BITS - WIDTH
+#: Shingles whose bits are counted at once.
+PASS = 1 << 18
 #: The five primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -123,10 +126,14 @@ def fingerprints_of(raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     foot = head + np.repeat(np.minimum(words, SHINGLE), shingles) - 1
     h = xxh64(joined, place[head], place[foot] + length[foot] - place[head])
     out = np.zeros(n, dtype=np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(h) else np.zeros((0, 64), np.uint8)
     some = np.flatnonzero(shingles)
     if len(some):
-        ones = np.add.reduceat(bits, offsets_of(shingles)[:-1][some], axis=0, dtype=np.int64)
+        ones = np.zeros((len(some), BITS), dtype=np.int64)
+        edge = offsets_of(shingles[some])
+        for at in range(0, len(h), PASS):  # a shingle takes 64 bytes as bits
+            bits = np.unpackbits(h[at : at + PASS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            first, last = np.searchsorted(edge, [at, at + len(bits) - 1], side="right") - 1
+            ones[first : last + 1] += np.add.reduceat(bits, np.maximum(edge[first : last + 1] - at, 0), axis=0, dtype=np.int64)
         over = (2 * ones > shingles[some][:, None]).astype(np.uint8)
         out[some] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
@@ -240,7 +247,9 @@ def links(prints: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     batch_rows(prints.sparkSession, NUMBER_ROWS)
-    return variants(prints).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    # distinct fingerprints are a few megabytes, their variants 196 times as many: a number of partitions keeps them from being merged
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    return variants(dealt).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -46,6 +46,14 @@ def test_fingerprints():
     assert [int(x) for x in got] == [plain(t) for t in texts]
 
 
+def test_long_texts_in_passes(monkeypatch):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abcdefg") for _ in range(rnd.choice([0, 1, 2, 3, 40, 500]))) for _ in range(60)]
+    for size in (1, 7, 64, 1 << 18):
+        monkeypatch.setattr(simhash, "PASS", size)
+        assert simhash.fingerprints_of(*text_bytes(pa.array(texts))).tolist() == [plain(x) for x in texts]
+
+
 def test_links_of_crowded_fingerprints(spark):
     rnd = random.Random(6)
     prints = {0, (1 << 64) - 1}
