@@ -1,31 +1,35 @@
 """GIF columns: bytes stored as 8-bit samples, and GIF bytes decoded to timed frames.
 
-``encode`` writes each byte string as a grey GIF 64 samples wide: the bytes are padded with zeros to a
-positive multiple of 64 and split into frames of at most 65,535 rows. Its code streams hold literal
-codes with a clear code before the table would need wider ones, so every reader restores them exactly.
+``encode`` writes each byte string as an animation 64 pixels wide: the bytes are padded with zeros to a
+positive multiple of 64 and shown in frames of up to 64 rows, one over the other, a tenth of a second each. Sample 0brrrgggbb has the colour of
+these bits, so colours give the samples back. A frame is laid over the one before and leaves it; where it would not change a pixel, and
+sample 255 is free (it always is in UTF-8), it is transparent. Its LZW codes grow from nine to twelve bits, and a full table is cleared.
 ``decode`` reads any GIF: LZW code streams, global and local palettes, interlacing, disposal and
-transparency. It resolves a code stream without a loop over codes: the entry that a code adds is a
-piece of the output, so lengths and output bytes follow pointers that are doubled until they rest.
+transparency, and makes a row of each frame: its time, its area, and a histogram of the canvas in 64 colours.
 
 Null bytes or text encode as the empty string (64 zero samples). Null or malformed media decode to a
-null payload and no frames. Columns that exist already are replaced; the others pass through.
+null payload and no frames. Columns that exist already are replaced; the others pass through. Repeated rows are stored each, an empty
+table gives an empty table. Long texts have as many frames as they need; a task holds one such text and its pixels at a time, beside a batch of short ones.
 """
 
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kbspark.llm.common import batch_rows, offsets_of, replace_columns, schema_with, slices, spread
+from kbspark.llm.common import batch_rows, offsets_of, replace_columns, schema_with, slices
 
-WIDTH = 64
-MOST_ROWS = 65_535
-#: Literal codes after a clear code while codes keep nine bits.
-LITERALS = 254
-CLEAR, END = 256, 257
+WIDTH, ROWS = 64, 64
+CLEAR, END, FREE, FULL = 256, 257, 258, 4096
+#: Codes that are read at once.
+MOST_CODES = 8192
+BITS = np.arange(12)
+#: A sample that no UTF-8 text has, and hundredths of a second for which a frame stands.
+UNUSED, DELAY = 255, 10
 FRAME = "struct<no:int,start_ms:long,delay_ms:long,left:int,top:int,width:int,height:int,histogram:array<long>>"
 FRAME_ARROW = pa.list_(
     pa.struct([("no", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
@@ -36,132 +40,125 @@ def padded(data: bytes) -> bytes:
     return data + bytes(max(WIDTH - len(data), -len(data) % WIDTH))
 
 
-def literal_stream(samples: np.ndarray) -> bytes:
-    """Nine-bit codes, the lowest bit first, in sub-blocks of at most 255 bytes."""
-    n = len(samples)
-    runs = -(-n // LITERALS)
-    codes = np.full(runs * (LITERALS + 1), END, dtype=np.uint32)
-    table = codes.reshape(runs, LITERALS + 1)
-    table[:, 0] = CLEAR
-    body = np.full(runs * LITERALS, END, dtype=np.uint32)
-    body[:n] = samples
-    table[:, 1:] = body.reshape(runs, LITERALS)
-    codes = np.append(codes[: n + runs], END)
-    bits = 9 * len(codes)
-    codes = np.append(codes, np.zeros(-len(codes) % 8, np.uint32)).reshape(-1, 8)
-    out = np.empty((len(codes), 9), dtype=np.uint8)
-    out[:, 0] = codes[:, 0]
-    for k in range(1, 8):
-        out[:, k] = (codes[:, k - 1] >> (9 - k)) | (codes[:, k] << k)
-    out[:, 8] = codes[:, 7] >> 1
-    data = out.ravel()[: -(-bits // 8)].tobytes()
+def codes_of(samples: bytes) -> list[int]:
+    """The LZW codes of at least one sample, with clear and end codes."""
+    out, known, free, last = [CLEAR], {}, FREE, samples[0]
+    put = out.append
+    for b in samples[1:]:
+        pair = last << 8 | b
+        if pair in known:
+            last = known[pair]
+            continue
+        put(last)
+        known[pair] = free
+        free += 1
+        last = b
+        if free == FULL:
+            put(CLEAR)
+            known, free = {}, FREE
+    return [*out, last, END]
+
+
+@lru_cache(maxsize=16)
+def widths(least: int) -> np.ndarray:
+    """Bits of the first, second, ... code after a clear code; all but the first code add an entry."""
+    grown = (1 << least) + 2 + np.maximum(np.arange(MOST_CODES) - 1, 0)
+    return np.clip(np.frexp(grown)[1], least + 1, 12).astype(np.int64)
+
+
+def code_stream(samples: bytes) -> bytes:
+    """The codes of some samples, the lowest bit first, in sub-blocks of at most 255 bytes."""
+    codes = np.array(codes_of(samples), dtype=np.uint16)
+    clear = np.flatnonzero(codes == CLEAR)
+    since = np.arange(-1, len(codes) - 1)
+    if len(clear) > 1:  # a clear code still counts with those before it
+        since = since - np.repeat(np.r_[0, clear], np.diff(np.r_[0, clear + 1, len(codes)]))
+    since[0] = 0
+    bits = (codes[:, None] >> BITS & 1).astype(np.uint8)[BITS < widths(8)[since][:, None]]
+    data = np.packbits(bits, bitorder="little").tobytes()
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
-def encode_bytes(data: bytes) -> bytes:
-    samples = np.frombuffer(padded(data), dtype=np.uint8)
-    rows = len(samples) // WIDTH
-    grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MOST_ROWS), 0xF7, 0, 0), grey]
-    for begin in range(0, rows, MOST_ROWS):
-        part = samples[begin * WIDTH : (begin + MOST_ROWS) * WIDTH]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, 10, 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08" + literal_stream(part))
-    return b"".join(out) + b"\x3b"
+def palette() -> bytes:
+    """Three bits of red, three of green, two of blue: every sample has a colour of its own."""
+    i = np.arange(256)
+    return np.stack([(i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85], axis=1).astype(np.uint8).tobytes()
 
 
-def _codes(data: np.ndarray, bit: int, width: int, count: int) -> np.ndarray:
-    at = bit + width * np.arange(count, dtype=np.int64)
-    byte = at >> 3
-    word = data[byte].astype(np.uint32) | data[byte + 1].astype(np.uint32) << 8 | data[byte + 2].astype(np.uint32) << 16
-    return ((word >> (at & 7).astype(np.uint32)) & ((1 << width) - 1)).astype(np.int64)
+def samples_of(colours: np.ndarray) -> np.ndarray:
+    """The samples of colours of the palette."""
+    return colours[..., 0] & 0xE0 | colours[..., 1] >> 5 << 2 | colours[..., 2] >> 6
+
+
+def encode_bytes(data: bytes) -> bytes:
+    data, size = padded(data), WIDTH * ROWS
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(len(data) // WIDTH, ROWS), 0xF7, 0, 0), palette()]
+    for begin in range(0, len(data), size):
+        part, clear = data[begin : begin + size], begin > 0 and UNUSED not in data[begin : begin + size]
+        if clear:
+            new = np.frombuffer(part, dtype=np.uint8)
+            drawn = np.where(new == np.frombuffer(data, dtype=np.uint8, count=len(part), offset=begin - size), UNUSED, new).astype(np.uint8).tobytes()
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2 | clear, DELAY, UNUSED if clear else 0) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08" + code_stream(drawn if clear else part))
+    return b"".join(out) + b"\x3b"
 
 
-def _segments(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of a stream without clear and end codes, and each code's first code after its clear."""
-    data = np.frombuffer(raw + b"\0\0\0\0", dtype=np.uint8)
-    bits, bit = 8 * len(raw), 0
-    clear, end, base = 1 << least, (1 << least) + 1, (1 << least) + 2
-    codes, firsts, total = [], [], 0
-    narrow = (1 << (least + 1)) - base  # codes of the first width after a clear, less one
+def _codes(raw: bytes, least: int):
+    """Yields the codes after each clear code, up to the end code."""
+    data = np.frombuffer(raw + b"\0\0\0", dtype=np.uint8).astype(np.uint32)
+    word = data[:-2] | data[1:-1] << 8 | data[2:] << 16
+    clear, bit, total, table = 1 << least, 0, 8 * len(raw), widths(least)
+    offset = offsets_of(table)
+    found: list[np.ndarray] = []
+    done = 0
     while True:
-        # many short segments at once: all codes have the first width as long as clear codes are near
-        here = _codes(data, bit, least + 1, min((bits - bit) // (least + 1), 1 << 20))
-        if not len(here):
-            break
-        marks = np.flatnonzero((here == clear) | (here == end))
-        stop = marks[here[marks] == end][:1]
-        marks = marks[: np.searchsorted(marks, stop[0]) + 1] if len(stop) else marks
-        gap = np.diff(np.r_[-1, marks]) - 1
-        wide = np.flatnonzero(gap > narrow + 1)
-        good = marks[: wide[0]] if len(wide) else marks
-        used = int(good[-1]) + 1 if len(good) else 0
-        if used:
-            body = here[:used]
-            plain = (body != clear) & (body != end)
-            index = np.cumsum(plain) - plain
-            first = np.maximum.accumulate(np.where(~plain, np.r_[index[1:], plain.sum()], 0))
-            codes.append(body[plain])
-            firsts.append(total + first[plain])
-            total += len(codes[-1])
-            bit += used * (least + 1)
-            if here[used - 1] == end:
+        many = (total - bit) // (least + 1) + 1
+        ends = bit + offset[done + 1 : done + 1 + many] - offset[done] if done < MOST_CODES else bit + 12 * np.arange(1, min(many, MOST_CODES) + 1)
+        ends = ends[: np.searchsorted(ends, total, side="right")]
+        size = table[done : done + len(ends)] if done < MOST_CODES else np.full(len(ends), 12)
+        at = ends - size
+        codes = word[at >> 3] >> (at & 7).astype(np.uint32) & ((1 << size) - 1).astype(np.uint32)
+        mark = np.flatnonzero((codes == clear) | (codes == clear + 1))[:1]
+        if not len(mark):
+            found.append(codes)
+            if not len(codes):
                 break
+            done, bit = done + len(codes), int(ends[-1])
             continue
-        # one segment whose codes grow wider
-        read, width, ended = 0, least + 1, False
-        while True:
-            top = (1 << width) - base + 1 if width < 12 else 1 << 20
-            count = min(max(top - read, 1), (bits - bit) // width)
-            if count <= 0:
-                ended = True
-                break
-            part = _codes(data, bit, width, count)
-            mark = np.flatnonzero((part == clear) | (part == end))[:1]
-            body = part[: mark[0]] if len(mark) else part
-            codes.append(body)
-            firsts.append(np.full(len(body), total - read, dtype=np.int64))
-            total, read = total + len(body), read + len(body)
-            bit += (len(body) + len(mark)) * width
-            if len(mark):
-                ended = part[mark[0]] == end
-                break
-            width = min(12, width + 1)
-        if ended:
-            break
-    if not codes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(codes), np.concatenate(firsts)
+        found.append(codes[: mark[0]])
+        yield np.concatenate(found).tolist()
+        if codes[mark[0]] != clear:
+            return
+        found, done, bit = [], 0, int(ends[mark[0]])
+    yield np.concatenate(found).tolist()
 
 
 def lzw(raw: bytes, least: int) -> np.ndarray:
     """The samples of a code stream; raises ValueError for codes that no entry has."""
-    clear, base = 1 << least, (1 << least) + 2
-    code, first = _segments(raw, least)
-    literal = code < clear
-    if literal.all():
-        return code.astype(np.uint8)
-    here = np.arange(len(code), dtype=np.int64)
-    before = np.where(literal, here, first + code - base)
-    if ((before >= here) & ~literal).any() or (before < first).any():
-        raise ValueError("a code that is not in the table")
-    depth, up = (~literal).astype(np.int64), before
-    while True:
-        higher = up[up]
-        if (higher == up).all():
-            break
-        depth, up = depth + depth[up], higher
-    length = depth + 1
-    start = offsets_of(length)
-    source = spread(start[before], length)
-    while True:
-        higher = source[source]
-        if (higher == source).all():
-            break
-        source = higher
-    owner = np.zeros(int(start[-1]), dtype=np.uint8)
-    owner[start[:-1][literal]] = code[literal]
-    return owner[source]
+    start = [bytes([i & 255]) for i in range(1 << least)] + [b"", b""]
+    out: list[bytes] = []
+    put = out.append
+    for codes in _codes(raw, least):
+        if not codes:
+            continue
+        if codes[0] >= 1 << least:
+            raise ValueError("a code that is not in the table")
+        table, last = start.copy(), start[codes[0]]
+        add = table.append
+        put(last)
+        for code in codes[1 : FULL - len(start) + 1]:
+            try:
+                entry = table[code]
+            except IndexError:  # the entry that this code adds
+                if code > len(table):
+                    raise ValueError("a code that is not in the table") from None
+                entry = last + last[:1]
+            add(last + entry[:1])
+            put(entry)
+            last = entry
+        for code in codes[FULL - len(start) + 1 :]:  # the table is full
+            put(table[code])
+    return np.frombuffer(b"".join(out), dtype=np.uint8)
 
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -232,14 +229,14 @@ def decode_bytes(data: bytes):
 
 
 def read_back(data: bytes | None) -> tuple[bytes | None, list[dict]]:
-    """The red samples of every frame's own area one after the other, and the frames."""
+    """The samples of the colours in every frame's own area one after the other, and the frames."""
     if data is None:
         return None, []
     frames, samples = [], []
     try:
         for f, canvas in decode_bytes(data):
             frames.append(f)
-            samples.append(canvas[f["top"] : f["top"] + f["height"], f["left"] : f["left"] + f["width"], 0].tobytes())
+            samples.append(samples_of(canvas[f["top"] : f["top"] + f["height"], f["left"] : f["left"] + f["width"]]).tobytes())
     except (ValueError, IndexError, struct.error):
         return None, []
     return b"".join(samples), frames

@@ -53,13 +53,34 @@ def test_streams_with_growing_codes():
     assert gif.lzw(plain_lzw(bytes(5000), 8), 8).tobytes() == bytes(5000)
 
 
+def test_streams_as_the_usual_encoder():
+    rnd = random.Random(5)
+    for n, k in ((1, 4), (3000, 3), (4096, 256), (40_000, 256), (9_000, 16), (300_000, 2)):
+        data = bytes(rnd.randrange(k) for _ in range(n))
+        stream, plain = gif.code_stream(data), plain_lzw(data, 8)
+        assert n > 4000 or gif._blocks(stream, 0)[0] == plain
+        assert gif.lzw(gif._blocks(stream, 0)[0], 8).tobytes() == data
+
+
 def test_round_trip_of_stored_bytes():
     rnd = random.Random(4)
-    for n in (0, 1, 63, 64, 65, 253, 254, 255, 5000, 64 * 65_535 + 7):
-        data = bytes(rnd.randrange(256) for _ in range(n % 70000)) + bytes(n - n % 70000)
-        payload, frames = gif.read_back(gif.encode_bytes(data))
-        assert payload == gif.padded(data) and len(payload) % 64 == 0 and payload
-        assert len(frames) == (2 if n > 64 * 65_535 else 1)
+    for n in (0, 1, 63, 64, 65, 4095, 4096, 4097, 5000, 70_000):
+        for k in (100, 256):
+            data = bytes(rnd.randrange(k) for _ in range(n))
+            media = gif.encode_bytes(data)
+            payload, frames = gif.read_back(media)
+            assert payload == gif.padded(data) and len(payload) % 64 == 0 and payload
+            assert [f["start_ms"] for f in frames] == list(range(0, 100 * -(-len(payload) // 4096), 100))
+            assert media.count(b"\x21\xf9\x04\x05\x0a\x00\xff\x00\x2c") == len(frames) - 1 or k == 256
+
+
+def test_colours_tell_samples_and_histograms_tell_texts():
+    import numpy as np
+
+    colours = np.frombuffer(gif.palette(), dtype=np.uint8).reshape(-1, 3)
+    assert len({tuple(c) for c in colours.tolist()}) == 256 and gif.samples_of(colours).tolist() == list(range(256))
+    one, two = (gif.read_back(gif.encode_bytes(t.encode()))[1][0]["histogram"] for t in ("the quick brown fox " * 9, "12345, 67890; " * 12))
+    assert one != two and sum(x > 0 for x in one) >= 8 and sum(one) % 64 == 0
 
 
 def picture(images, size=(4, 2)):
