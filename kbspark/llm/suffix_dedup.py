@@ -2,9 +2,10 @@
 
 Texts are packed into blocks. The suffixes of a block are put into initial buckets by the q-gram at an
 anchor: each window of ``length`` bytes has its least-hash q-gram as anchor, which only its content
-decides, so equal windows of any documents are in the same bucket. A bucket whose suffixes are equal
-all around (all bytes of the windows of that anchor) needs no more work. The others are refined as in
-bucket-pointer refinement: suffixes are sorted by the identifiers of their own bucket and of the
+decides, so equal windows of any documents are in the same bucket. Buckets with several suffixes are refined as in
+bucket-pointer refinement: the suffixes of a bucket are sorted by its identifier and that of the bucket at a later
+offset, which gives new identifiers for the next step, until a bucket is a single suffix or equal in all bytes of the windows of its anchor
+(its surroundings). Where a bucket falls apart and windows are still shared, the windows are refined: sorted by the identifiers of their own bucket and of the
 bucket at a later offset, which doubles the depth and uses the new identifiers again in the next step, until buckets
 are equal to depth ``length``.
 
@@ -14,11 +15,12 @@ surroundings and the least document, answered by whether a smaller document has
 must be refined; (c) for refined buckets a hash of the window and the least document, answered in the same way.
 Each block sends an identifier once, however many of its documents have it, so a string that
 very many documents share costs as many entries as there are blocks. Answers come back to the blocks by
-their number; texts are shuffled once. Hashes that decide removals have over 96 bits with their place.
+their number; texts are shuffled once. Hashes that decide removals between blocks have over 96 bits with their place. Rows are packed in a
+fixed order of a partition, so a block that a lost executor had is packed again as it was.
 
 Rows with a null id come after all ids; a null text is empty. Rows that share an id are judged like
 one document each, and never against each other. Other columns pass through. An empty table gives an
-empty table. Texts shorter than ``length`` keep all bytes.
+empty table. Texts shorter than ``length`` keep all bytes. A long text is a block of its own, with some 60 bytes a byte of text at the most.
 """
 
 from __future__ import annotations
@@ -146,6 +148,30 @@ def refine(raw: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return bucket[slot[start]]
 
 
+def refine_buckets(raw: np.ndarray, bucket: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """New identifiers of pieces (start, size) of buckets, equal where bucket, size and all bytes are.
+
+    Each step sorts the pieces of the buckets that still have several by their identifiers and those of the eight bytes at the
+    next offset; a piece that is alone in its bucket takes no part any more.
+    """
+    bucket = np.unique(bucket * (int(size.max(initial=0)) + 1) + size, return_inverse=True)[1].reshape(-1)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded.data, strides=(1,))
+    offset, next_ = 0, len(bucket)
+    open_ = np.flatnonzero(np.bincount(bucket, minlength=1)[bucket] > 1) if len(bucket) else bucket
+    while len(open_):
+        later = eight[start[open_] + np.minimum(offset, size[open_] - 8)]
+        order = np.lexsort((later, bucket[open_]))
+        open_, later = open_[order], later[order]
+        own = bucket[open_]
+        new = np.cumsum(np.r_[True, (own[1:] != own[:-1]) | (later[1:] != later[:-1])]) - 1
+        bucket[open_] = next_ + new
+        next_ += int(new[-1]) + 1
+        offset += 8
+        open_ = open_[(np.bincount(new)[new] > 1) & (size[open_] > offset)]
+    return bucket
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
     """The low bytes of integers, plane by plane, which the shuffle compresses well."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -198,29 +224,32 @@ class Block:
             yield part, pack(self.low(self.grams[a:b]), LOW // 8)
 
     def compare_surroundings(self, shared: np.ndarray) -> None:
-        """Groups the anchors of shared q-grams by the bytes of all their windows."""
+        """Refines the buckets of shared q-grams until all bytes of their windows are equal."""
         least = np.full(len(self.grams), NULL_ID)
         most = np.full(len(self.grams), np.iinfo(np.int64).min)
         np.minimum.at(least, self.gram, self.doc)
         np.maximum.at(most, self.gram, self.doc)
         self.at = np.flatnonzero((shared | (least < most))[self.gram])
-        self.pieces = Pieces(self.raw, TABLES[1])
         lo, n = self.first[self.at], self.count[self.at]
-        around = self.pieces.hashes(lo, lo + n - 1 + self.length) ^ mixed((self.anchor[self.at] - lo).astype(np.uint64))
+        wide = self.length - GRAM + 2
+        around = refine_buckets(self.raw, self.gram[self.at] * wide + self.anchor[self.at] - lo, lo, n - 1 + self.length)
         order = np.lexsort((self.doc[self.at], around, self.gram[self.at]))
         self.at, around = self.at[order], around[order]
         gram = self.gram[self.at]
         new = np.r_[True, (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])][: len(self.at)]
         self.group = np.cumsum(new) - 1
         head = np.flatnonzero(new)
-        self.head, self.head_doc, self.head_gram, self.head_around = self.at[head], self.doc[self.at[head]], gram[head], around[head]
+        self.head, self.head_doc, self.head_gram = self.at[head], self.doc[self.at[head]], gram[head]
         many = np.bincount(self.head_gram, minlength=len(self.grams))
         self.asked = shared[self.head_gram]  # by groups
         self.full = np.zeros(len(head), dtype=bool)
         self.open = ~self.asked & (many[self.head_gram] > 1)
 
     def send_surroundings(self):
-        hashes, around, doc = self.grams[self.head_gram[self.asked]], self.head_around[self.asked], self.head_doc[self.asked]
+        head = self.head[self.asked]
+        lo = self.first[head]
+        around = Pieces(self.raw, TABLES[1]).hashes(lo, lo + self.count[head] - 1 + self.length) ^ mixed((self.anchor[head] - lo).astype(np.uint64))
+        hashes, doc = self.grams[self.head_gram[self.asked]], self.head_doc[self.asked]
         for part, a, b in self.parts(hashes):
             yield part, pack(self.low(hashes[a:b]), LOW // 8) + pack(around[a:b], 8) + pack(doc[a:b].view(np.uint64), 8)
 
@@ -247,7 +276,7 @@ class Block:
         first[self.w_class[::-1]] = self.w_start[::-1]
         self.c_asked = np.flatnonzero(asked)
         start = first[self.c_asked]
-        h = self.pieces.hashes(start, start + self.length)
+        h = Pieces(self.raw, TABLES[1]).hashes(start, start + self.length)
         other = Pieces(self.raw, TABLES[2]).hashes(start, start + self.length)
         order = np.argsort(h, kind="stable")
         self.c_asked, self.c_hash, self.c_other = self.c_asked[order], h[order], other[order]
@@ -388,7 +417,9 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     grams = total * 2 // (length - GRAM + 2)
     bits = min(20, max(0, int(grams // PART_GRAMS).bit_length()))
-    packed = blocks(df, doc_id, text, length, block_bytes).repartition("block")
+    # a partition's rows in a fixed order: blocks that are packed again have the same rows under the same number
+    ordered = df.sortWithinPartitions(F.col(doc_id), F.xxhash64(F.col(text)))
+    packed = blocks(ordered, doc_id, text, length, block_bytes).repartition("block")
     schema = StructType([*(f for f in df.schema.fields if f.name not in (kept, spans)), *(StructField(n, _parse_datatype_string(t)) for n, t in ((kept, "binary"), (spans, SPANS)))])
     names = [f.name for f in df.schema.fields if f.name not in (kept, spans)]
 

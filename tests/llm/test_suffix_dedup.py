@@ -73,3 +73,18 @@ def test_short_tables(spark):
     assert suffix_dedup.deduplicate(df).count() == 0
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text, bytes(r.kept), r.spans) for r in suffix_dedup.deduplicate(df).collect()) == [(1, None, b"", []), (2, "", b"", [])]
+
+
+def test_refined_buckets_against_bytes():
+    rnd = np.random.default_rng(8)
+    raw = rnd.integers(97, 99, 4_000).astype(np.uint8)
+    raw[2_000:2_600] = raw[100:700]
+    start = rnd.integers(0, 3_800, 1_500)
+    size = rnd.integers(50, 77, 1_500)
+    first = np.unique(raw[start[:, None] + np.arange(4)] @ np.array([1, 2, 4, 8]), return_inverse=True)[1].reshape(-1)
+    got = suffix_dedup.refine_buckets(raw, first, start, size)
+    said = {}
+    for c, s, n in zip(got.tolist(), start.tolist(), size.tolist()):
+        piece = raw[s : s + n].tobytes()
+        assert said.setdefault(c, piece) == piece and said.setdefault(piece, c) == c
+    assert len({*got.tolist()}) < len({(s, n) for s, n in zip(start.tolist(), size.tolist())})
