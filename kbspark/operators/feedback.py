@@ -68,6 +68,5 @@ def feedback_by_page(feedback: DataFrame) -> DataFrame:
 
 
 def dashboard(feedback: DataFrame) -> dict[str, DataFrame]:
-    """The reports of the dashboard, over one cached table."""
-    feedback = feedback.cache()
+    """The reports of the dashboard. Each reads only its columns; a caller that collects all of them may cache ``feedback`` meanwhile."""
     return {"summary": feedback_summary(feedback), "top_questions": top_questions(feedback), "failing_questions": failing_questions(feedback), "negative_feedback": negative_feedback(feedback)}

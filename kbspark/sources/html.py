@@ -6,10 +6,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kbspark.functions.html import attachments, page_text, parse
+from kbspark.functions.shared import batch_rows
 
 
 def html_to_text(pages: DataFrame) -> DataFrame:
     """(page_id, content) of (page_id, html); only these two columns go through Python."""
+    batch_rows(pages.sparkSession)
     rows = pages.select("page_id", "html")
 
     def run(batches):
@@ -21,6 +23,7 @@ def html_to_text(pages: DataFrame) -> DataFrame:
 
 def extract_attachments(pages: DataFrame) -> DataFrame:
     """(page_id, kind, filename) of pictures and Gliffy diagrams, whose descriptions users may join."""
+    batch_rows(pages.sparkSession)
     rows = pages.select("page_id", "html")
 
     def run(batches):
