@@ -10,25 +10,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.functions.shared import shared_dir, written
+from kbspark.functions.shared import batch_rows, shared_dir, written
 
 __all__ = ["batch_rows", "held_out", "learned_from", "list_array", "offsets_of", "read", "release", "replace_columns", "schema_with", "shared_dir", "slices", "spread", "text_bytes", "written"]
 
 #: Bytes of text that one numpy pass takes at once; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
-#: Rows with texts that Spark hands to Python at once, and rows of numbers.
-TEXT_ROWS, NUMBER_ROWS = 1_000, 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def batch_rows(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Sets how many rows the next Arrow batches have, which bounds the memory that they take on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def release() -> None:
     """Gives memory that a worker has freed back to the machine, as workers live on for other stages."""
     pa.default_memory_pool().release_unused()

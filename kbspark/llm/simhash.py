@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import NUMBER_ROWS, batch_rows, offsets_of, release, slices, spread, text_bytes, written
+from kbspark.llm.common import batch_rows, offsets_of, release, slices, spread, text_bytes, written
 from kbspark.llm.components import connected_components
 
 BITS, BLOCKS, RADIUS, SHINGLE, SEED = 64, 4, 3, 3, 42
@@ -246,7 +246,6 @@ def links(prints: DataFrame) -> DataFrame:
         x, y = spanning(np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]))
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    batch_rows(prints.sparkSession, NUMBER_ROWS)
     # distinct fingerprints are a few megabytes, their variants 196 times as many: a number of partitions keeps them from being merged
     dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
     return variants(dealt).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
