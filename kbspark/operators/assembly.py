@@ -35,11 +35,11 @@ def merge_candidates(*lists: DataFrame) -> DataFrame:
 def add_title_fallback(candidates: DataFrame, targets: DataFrame, by_title: DataFrame, below: int = FALLBACK_BELOW) -> DataFrame:
     """Where a question has a target page and few candidates, the chunks of that title come behind.
 
-    ``targets`` is (question_id, target) and ``by_title`` (key, chunk_id, rank).
+    ``targets`` is (question_id, target) and ``by_title`` (key, chunk_id), which come in the order of their ids.
     """
     counts = candidates.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
     few = targets.where("target is not null").join(counts, "question_id", "left").where(F.coalesce("n", F.lit(0)) < below).select("question_id", F.col("target").alias("key"))
-    extra = few.join(by_title, "key").select("question_id", "chunk_id", "rank")
+    extra = few.join(by_title, "key").select("question_id", "chunk_id", F.lit(0).alias("rank"))
     return merge_candidates(candidates.select("question_id", "chunk_id", F.col("pos").alias("rank")), extra)
 
 

@@ -14,6 +14,7 @@ from kbspark.operators.pages import ENRICHMENT_MARK
 
 MIN_PARAGRAPH, LONG_PARAGRAPH, MIN_SENTENCE, MIN_ROW, SUMMARY_CHARS = 30, 300, 30, 15, 500
 META = ["title", "space_key", "url", "version", "last_modified", "breadcrumb"]
+PART = "struct<layer:string,type:string,fact_no:int,before:string,after:string>"
 COLUMNS = ["chunk_id", "page_id", *META, "layer", "type", "section", "block_no", "fact_no", "l2_id", "content"]
 
 
@@ -112,7 +113,30 @@ def l3_chunks(facts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def chunk_pages(docs: DataFrame) -> DataFrame:
-    """All chunks of documents (page_id, metadata, content)."""
-    blocks = extract_blocks(split_enrichment(docs))
-    facts = l3_table_rows(blocks).unionByName(l3_list_items(blocks)).unionByName(l3_sentences(blocks))
-    return l1_chunks(docs).unionByName(l2_chunks(blocks, docs)).unionByName(l3_chunks(facts, docs)).select(COLUMNS)
+    """All chunks of documents (page_id, metadata, content).
+
+    Blocks are found once; a block gives its own chunk and those of its facts as one array. Title and version, which all texts
+    and ids have, are joined once, with the other metadata.
+    """
+    halves = split_enrichment(docs)
+    none = F.lit(None).cast("string")
+    part = lambda layer, kind, fact_no, before, after: F.struct(F.lit(layer).alias("layer"), kind.alias("type"), fact_no.cast("int").alias("fact_no"), F.lit(before).alias("before"), after.alias("after"))
+    top = part("L1", none, F.lit(0), "Page: ", F.concat(F.lit("\n\n"), summary(F.col("original"), F.col("enrichment")), F.lit("\n\n"), F.col("enrichment")))
+    pages = halves.select("page_id", F.lit(0).alias("block_no"), F.lit("summary").alias("section"), F.array(top).alias("parts"))
+    head = F.when(blank(F.col("heading")), F.lit("")).otherwise(F.concat(F.lit("Section: "), F.col("heading"), F.lit("\n")))
+    whole = part("L2", F.col("type"), F.lit(0), "Page: ", F.concat(F.lit("\n"), head, F.lit("\n"), F.col("content")))
+
+    def facts(pieces, keep, before: str, kind: str):
+        numbered = F.filter(F.transform(pieces, lambda x, i: F.struct((i + 1).alias("no"), trimmed(x).alias("text"))), lambda x: keep(x["text"]))
+        return F.transform(numbered, lambda x: part("L3", F.lit(kind), x["no"], before, F.concat(F.lit("': "), x["text"])))
+
+    rows = facts(F.split("content", "\n"), lambda x: F.startswith(x, F.lit("→")) & (F.length(x) >= MIN_ROW), "From '", "table-row")
+    items = facts(F.split("content", "\n"), lambda x: x.rlike(r"^\d+\.\s+.+$"), "Step from '", "list-item")
+    sentences = facts(F.split("content", r"(?<=[.!?])\s+"), lambda x: F.length(x) >= MIN_SENTENCE, "From '", "sentence")
+    small = F.when(F.col("type") == "TABLE", rows).when(F.col("type") == "LIST", items).when(F.length("content") > LONG_PARAGRAPH, sentences)
+    blocks = extract_blocks(halves).select("page_id", "block_no", F.col("heading").alias("section"), F.concat(F.array(whole), F.coalesce(small, F.array().cast(f"array<{PART}>"))).alias("parts"))
+    each = pages.unionByName(blocks).select("page_id", "block_no", "section", F.explode("parts").alias("p")).select("page_id", "block_no", "section", "p.*")
+    joined = each.join(docs.select("page_id", *META), "page_id")
+    own = F.sha2(F.concat_ws("|", "page_id", F.coalesce(F.col("version").cast("string"), F.lit("")), "layer", F.col("block_no").cast("string"), F.col("fact_no").cast("string")), 256)
+    content = F.concat("before", F.coalesce("title", F.lit("")), "after")
+    return joined.select(own.alias("chunk_id"), "page_id", *META, "layer", "type", "section", "block_no", "fact_no", F.when(F.col("layer") != "L1", chunk_id("L2", F.col("block_no"), F.lit(0))).alias("l2_id"), content.alias("content")).select(COLUMNS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions.sort import best_k
@@ -34,17 +34,30 @@ def multi_query_search(question_queries: DataFrame, hits: DataFrame, k: int) ->
     return best_k(scored, ["question_id"], [F.desc("score"), "chunk_id"], k)
 
 
+def pieces(text: Column, n: int) -> Column:
+    """All substrings of n characters."""
+    count = F.length(text) - (n - 1)
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def titles_like(keys: DataFrame, chunks: DataFrame, key: str = "key") -> DataFrame:
-    """(key, title) of the distinct titles that contain a key's first two words; titles join chunks again by equality."""
+    """(key, title) of the distinct titles that contain a key's first two words; titles join chunks again by equality.
+
+    Keys meet titles by a piece of three characters (fewer if the key is shorter), the one of the key that the fewest titles have.
+    """
+    titles = chunks.select("title").distinct().withColumn("__low", F.lower("title")).where("__low <> ''")
+    grams = titles.select("title", "__low", F.explode(F.array_distinct(F.concat(*[pieces(F.col("__low"), n) for n in (1, 2, 3)]))).alias("__gram"))
     wanted = keys.select(key).distinct().withColumn("__words", title_key(F.col(key))).where("__words <> ''")
-    titles = chunks.select("title").distinct()
-    return wanted.join(titles, F.contains(F.lower("title"), F.col("__words"))).select(key, "title")
+    words = F.col("__words")
+    own = F.when(F.length(words) >= 3, pieces(words, 3)).when(F.length(words) == 2, pieces(words, 2)).otherwise(pieces(words, 1))
+    many = grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = wanted.select(key, "__words", F.explode(own).alias("__gram")).join(many, "__gram").groupBy(key, "__words").agg(F.min(F.struct("__n", "__gram"))["__gram"].alias("__gram"))
+    return rarest.join(grams, "__gram").where(F.contains("__low", F.col("__words"))).select(key, "title")
 
 
 def chunks_by_title(keys: DataFrame, chunks: DataFrame, key: str = "key") -> DataFrame:
-    """(key, chunk_id, title, rank) of all layers, by id."""
-    found = chunks.select("chunk_id", "title").join(titles_like(keys, chunks, key), "title")
-    return best_k(found, [key], ["chunk_id"], None).select(key, "chunk_id", "title", "rank")
+    """(key, chunk_id, title) of all layers; their order is that of the ids."""
+    return chunks.select("chunk_id", "title").join(titles_like(keys, chunks, key), "title").select(key, "chunk_id", "title")
 
 
 def metadata_filter(chunks: DataFrame, layer: str | None = None, title_contains: str | None = None, section: str | None = None, space_key: str | None = None, limit: int = 20) -> DataFrame:

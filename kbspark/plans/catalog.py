@@ -219,10 +219,10 @@ def flatten_metadata(s, d):
     return flatten_metadata(packed, ["title", "layer", "l2_id", "version"])
 
 
-@query("select vec_id, len(embedding) as n, list_transform(embedding, lambda x: round(cast(x as double), 4)) as v from embeddings")
+@query("select vec_id, len(embedding) as n, list_transform(embedding, lambda x: round(cast(x as double), 4) + 0.0) as v from embeddings")
 def parse_vector(s, d):
     back = tx.parse_vector(tx.format_vector(F.col("embedding")))
-    return i.read(s, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.transform(back, lambda x: F.round(x.cast("double"), 4)).alias("v"))
+    return i.read(s, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.transform(back, lambda x: F.round(x.cast("double"), 4) + 0.0).alias("v"))
 
 
 # search
@@ -308,7 +308,7 @@ def multi_query_search(s, d):
 LIKE = "select key, chunk_id, title, layer, type from keys join chunks on contains(lower(title), lower(key))"
 
 
-@query(sql("select key, chunk_id, title, cast(row_number() over (partition by key order by chunk_id) as integer) as rank from found", "keys", "chunks", found=LIKE))
+@query(sql("select key, chunk_id, title from found", "keys", "chunks", found=LIKE))
 def chunks_by_title(s, d):
     return se.chunks_by_title(i.keys(s, d), i.chunks(s, d))
 
@@ -492,8 +492,8 @@ def merge_candidates(s, d):
     return _merged(s, d)
 
 
-@query(sql("select question_id, chunk_id, cast(row_number() over (partition by question_id order by l, rank) as integer) as pos from (select *, row_number() over (partition by question_id, chunk_id order by l, rank) as n from (select 0 as l, question_id, chunk_id, pos as rank from short union all select 1, question_id, chunk_id, rank from extra)) where n = 1", *LISTS, "targets", "keys", "chunks",
-           merged=MERGED, short="select * from merged where pos <= 2", titled=f"select key, chunk_id, row_number() over (partition by key order by chunk_id) as rank from ({LIKE})", extra="select question_id, chunk_id, rank from targets join titled on key = target"))
+@query(sql("select question_id, chunk_id, cast(row_number() over (partition by question_id order by l, rank, chunk_id) as integer) as pos from (select *, row_number() over (partition by question_id, chunk_id order by l, rank) as n from (select 0 as l, question_id, chunk_id, pos as rank from short union all select 1, question_id, chunk_id, rank from extra)) where n = 1", *LISTS, "targets", "keys", "chunks",
+           merged=MERGED, short="select * from merged where pos <= 2", extra=f"select question_id, chunk_id, 0 as rank from targets join ({LIKE}) on key = target"))
 def add_title_fallback(s, d):
     names = i.keys(s, d)
     return asm.add_title_fallback(_merged(s, d).where("pos <= 2"), i.targets(s, d), se.chunks_by_title(names, i.chunks(s, d)))
@@ -511,12 +511,12 @@ def rerank_requests(s, d):
 
 RERANKED = f"""select question_id, chunk_id, score, pos from (select question_id, chunk_id, score, cast(row_number() over (partition by question_id order by score desc, before) as integer) as pos from
   (select m.question_id, chunk_id, m.pos as before, coalesce(case when ((m.pos - 1) % 5) + 1 <= len(scores) then scores[((m.pos - 1) % 5) + 1] end, cast(1 as double) / m.pos) as score from merged m left join levels v on v.question_id = m.question_id and v.batch_no = (m.pos - 1) // 5)) where pos <= 8"""
-GIVEN = f"select question_id, batch_no, list_slice(list_concat({LEVELLED}, list_transform(range(expected), lambda x: cast(0.5 as double))), 1, expected) as scores from score_responses where batch_no % 2 = 0"
+GIVEN = f"select question_id, batch_no, list_slice(list_concat({LEVELLED}, list_transform(range(expected), lambda x: cast(0.5 as double))), 1, expected) as scores from score_responses"
 AFTER = {"merged": MERGED, "levels": GIVEN, "reranked": RERANKED}
 
 
 def _reranked(s, d):
-    scores = rs.parse_scores(i.score_responses(s, d).where("batch_no % 2 = 0"))
+    scores = rs.parse_scores(i.score_responses(s, d))
     return asm.rerank(_merged(s, d).withColumn("score", F.lit(1.0) / F.col("pos")), scores)
 
 
@@ -525,9 +525,9 @@ def rerank(s, d):
     return _reranked(s, d)
 
 
-@query(sql("select q.question_id, 'q' || q.question_id as question, excerpts, case when excerpts is null then false end as sufficient, case when excerpts is null then ['q' || q.question_id || ' overview', 'q' || q.question_id || ' details', 'q' || q.question_id || ' documentation'] end as extra_queries from (select distinct vec_id % 40 as question_id from embeddings) q left join (select question_id, string_agg(title || ': ' || substr(content, 1, 200), chr(10) order by pos) as excerpts from reranked join chunks using (chunk_id) where pos <= 5 group by all) using (question_id)", *LISTS, "score_responses", "chunks", **AFTER))
+@query(sql("select q.question_id, 'q' || q.question_id as question, excerpts, case when excerpts is null then false end as sufficient, case when excerpts is null then ['q' || q.question_id || ' overview', 'q' || q.question_id || ' details', 'q' || q.question_id || ' documentation'] end as extra_queries from (select distinct vec_id // 40 + unnest([0, 5]) as question_id from embeddings) q left join (select question_id, string_agg(title || ': ' || substr(content, 1, 200), chr(10) order by pos) as excerpts from reranked join chunks using (chunk_id) where pos <= 5 group by all) using (question_id)", *LISTS, "score_responses", "chunks", **AFTER))
 def reflection_requests(s, d):
-    questions = i.read(s, d, "embeddings").select((F.col("vec_id") % 40).alias("question_id")).distinct().withColumn("question", F.concat(F.lit("q"), F.col("question_id").cast("string")))
+    questions = i.targets(s, d).select(F.explode(F.array("question_id", F.col("question_id") + 5)).alias("question_id")).distinct().withColumn("question", F.concat(F.lit("q"), F.col("question_id").cast("string")))
     return asm.reflection_requests(questions, _reranked(s, d), i.chunks(s, d))
 
 
@@ -746,8 +746,13 @@ def stream_weekly_feedback(s, d):
 def stream_conversation_state(s, d):
     from kbspark.streaming import jobs
 
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return jobs.run_available(jobs.stream_conversation_state(i.turns(s, d, i.stream), None), "append")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(store)
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # the stream has run to its end when this returns
+        return jobs.run_available(jobs.stream_conversation_state(i.turns(s, d, i.stream), None), "append")
+    finally:
+        s.conf.set(store, before)
 
 
 @query(sql(f"select {ORDER} from ({L1}) union all select {ORDER} from ({L2}) union all select {ORDER} from ({L3})", "plain_docs", docs="select * from plain_docs", **STEPS, **FACTS))

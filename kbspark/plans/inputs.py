@@ -49,21 +49,26 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks for search: vectors with the document of the same number."""
-    e, d, v = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents"), F.col("vec_id")
-    rows = e.join(d, e.vec_id == d.doc_id)
+    """Chunks for search: every document and every vector, those of one number together. A title has some 25 chunks at every scale."""
+    e, d = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents")
+    rows = d.join(e, e.vec_id == d.doc_id, "full_outer").withColumn("v", F.coalesce("doc_id", "vec_id"))
+    v = F.col("v")
     changed = F.concat(F.date_add(F.lit("2024-01-01").cast("date"), (v % 60).cast("int")).cast("string"), F.lit("T00:00:00"))
     return rows.select(
-        v.cast("string").alias("chunk_id"), F.col("source").alias("title"), F.concat(F.lit("L"), (1 + v % 3).cast("string")).alias("layer"), F.when(v % 4 == 0, "TABLE").otherwise("PARAGRAPH").alias("type"),
-        F.col("lang").alias("section"), F.concat(F.lit("sp"), (v % 2).cast("string")).alias("space_key"), F.when(v % 9 != 0, F.concat(F.lit(f"{BASE}/"), v.cast("string"))).otherwise("").alias("url"),
-        changed.alias("last_modified"), F.when(v % 3 == 2, (v - 1).cast("string")).when(v % 3 == 1, v.cast("string")).alias("l2_id"), F.col("text").alias("content"), "embedding",
+        v.cast("string").alias("chunk_id"), title(v, F.coalesce("source", F.lit("none"))).alias("title"), F.concat(F.lit("L"), (1 + v % 3).cast("string")).alias("layer"), F.when(v % 4 == 0, "TABLE").otherwise("PARAGRAPH").alias("type"),
+        F.coalesce("lang", F.lit("none")).alias("section"), F.concat(F.lit("sp"), (v % 2).cast("string")).alias("space_key"), F.when(v % 9 != 0, F.concat(F.lit(f"{BASE}/"), v.cast("string"))).otherwise("").alias("url"),
+        changed.alias("last_modified"), F.when(v % 3 == 2, (v - 1).cast("string")).when(v % 3 == 1, v.cast("string")).alias("l2_id"), F.coalesce("text", F.lit("")).alias("content"), "embedding",
     )
 
 
+def title(number, source) -> F.Column:
+    return F.concat(source, F.lit(" "), F.floor(number / 500).cast("string"))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector as a query, four to a question, with words of its document in four forms."""
     e, d, v = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents"), F.col("vec_id")
-    rows = e.where("vec_id % 20 = 0").join(d.select("doc_id", "text"), e.vec_id == d.doc_id).withColumn("w", words(F.col("text")))
+    rows = e.where("vec_id % 20 = 0").join(d.select("doc_id", "text"), e.vec_id == d.doc_id, "left").withColumn("w", words(F.coalesce("text", F.lit(""))))
     a, b = F.coalesce(F.try_element_at("w", F.lit(2)), F.lit("")), F.coalesce(F.try_element_at("w", F.lit(3)), F.lit(""))
     no = (F.floor(v / 20) % 4).cast("int")
     query = F.when(no == 0, F.concat(a, F.lit(" "), b)).when(no == 1, F.concat(a, F.lit(" or "), b)).when(no == 2, F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"'))).otherwise(F.concat(a, F.lit(" -"), b))
@@ -71,7 +76,8 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.upper("source").alias("key")).distinct()
+    """Every title in capitals."""
+    return read(spark, sf_dir, "documents").select(F.upper(title(F.col("doc_id"), F.coalesce("source", F.lit("none")))).alias("key")).distinct()
 
 
 def messages(spark: SparkSession, sf_dir: str, rows=read) -> DataFrame:
@@ -108,25 +114,31 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("page_id"), F.when(F.col("doc_id") % 11 != 0, (1 + F.col("doc_id") % 4).cast("int")).alias("version"), F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("content"), "source")
 
 
+#: Vectors to a question, and by how many the lists of candidates are apart.
+PER_QUESTION, APART = 40, {"page": 0, "table": 13, "hybrid": 27}
+
+
 def candidates(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """Lists (question_id, chunk_id, rank) of 25 questions to a list: page blocks, tables, search hits."""
+    """Lists (question_id, chunk_id, rank) of all vectors, 40 to a question and list: page blocks, tables, search hits."""
     from kbspark.functions.sort import best_k
 
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 25).alias("question_id"))
-    e = e.where({"page": "vec_id % 3 = 1", "table": "vec_id % 4 = 0", "hybrid": "vec_id % 2 = 0"}[which])
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.floor((F.col("vec_id") + APART[which]) / PER_QUESTION).alias("question_id"))
     order = {"page": ["vec_id"], "table": [F.desc("vec_id")], "hybrid": ["label", "vec_id"]}[which]
-    return best_k(e, ["question_id"], order, 20).select("question_id", F.col("vec_id").cast("string").alias("chunk_id"), F.col("rank").cast("long").alias("rank"))
+    return best_k(e, ["question_id"], order, None).select("question_id", F.col("vec_id").cast("string").alias("chunk_id"), F.col("rank").cast("long").alias("rank"))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 25).alias("question_id")).distinct()
-    return e.select("question_id", F.when(F.col("question_id") % 2 == 0, F.concat(F.lit("SRC"), (F.col("question_id") % 20).cast("string"))).alias("target"))
+    """Every second question has a target page, of a title in its stretch of numbers."""
+    e = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / PER_QUESTION).alias("question_id")).distinct()
+    q = F.col("question_id")
+    return e.select("question_id", F.when(q % 2 == 0, F.concat(F.lit("SRC"), (q % 20).cast("string"), F.lit(" "), F.floor(q * PER_QUESTION / 500).cast("string"))).alias("target"))
 
 
 def score_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses for every second batch of a question."""
     v = F.col("vec_id")
     line = F.concat_ws("\n", F.concat(F.lit("0."), v.cast("string")), F.concat(F.lit("-0."), F.col("label").cast("string")), F.concat(v.cast("string"), F.lit("%")), F.lit("1. 0.9"), F.lit("garbage"), F.lit(".5"))
-    return read(spark, sf_dir, "embeddings").select((v % 25).alias("question_id"), F.floor(v / 25).cast("int").alias("batch_no"), line.alias("response"), (1 + v % 7).cast("int").alias("expected"))
+    return read(spark, sf_dir, "embeddings").select(F.floor(v / PER_QUESTION).alias("question_id"), (v % PER_QUESTION * 2).cast("int").alias("batch_no"), line.alias("response"), (1 + v % 7).cast("int").alias("expected"))
 
 
 #: The same tables in SQL: name -> (tables it needs, select).
@@ -138,13 +150,14 @@ CTE: dict[str, tuple[list[str], str]] = {
         array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case (i - 1) % 7 when 0 then '## ' || x when 1 then '| ' || x || ' |' when 2 then '→ ' || x when 3 then i || '. ' || x when 5 then x || chr(10) else x end), chr(10)) as content from documents"""),
     "enrichments": ([], "select cast(doc_id as varchar) as page_id, 'SUMMARY: ' || source || ' about ' || lang || chr(10) || chr(10) || 'QUESTIONS: what' as enrichment from documents where doc_id % 5 = 0"),
     "docs": (["plain_docs", "enrichments"], f"select p.* replace (case when enrichment is null then content else content || chr(10) || chr(10) || '{ENRICHMENT_MARK}' || chr(10) || enrichment end as content) from plain_docs p left join enrichments using (page_id)"),
-    "chunks": ([], f"""select cast(vec_id as varchar) as chunk_id, source as title, 'L' || (1 + vec_id % 3) as layer, case when vec_id % 4 = 0 then 'TABLE' else 'PARAGRAPH' end as type, lang as section, 'sp' || (vec_id % 2) as space_key,
-        case when vec_id % 9 <> 0 then '{BASE}/' || vec_id else '' end as url, cast(date '2024-01-01' + cast(vec_id % 60 as integer) as varchar) || 'T00:00:00' as last_modified,
-        case vec_id % 3 when 2 then cast(vec_id - 1 as varchar) when 1 then cast(vec_id as varchar) end as l2_id, text as content, embedding from embeddings join documents on vec_id = doc_id"""),
+    "chunks": ([], f"""select cast(v as varchar) as chunk_id, coalesce(source, 'none') || ' ' || (v // 500) as title, 'L' || (1 + v % 3) as layer, case when v % 4 = 0 then 'TABLE' else 'PARAGRAPH' end as type, coalesce(lang, 'none') as section, 'sp' || (v % 2) as space_key,
+        case when v % 9 <> 0 then '{BASE}/' || v else '' end as url, cast(date '2024-01-01' + cast(v % 60 as integer) as varchar) || 'T00:00:00' as last_modified,
+        case v % 3 when 2 then cast(v - 1 as varchar) when 1 then cast(v as varchar) end as l2_id, coalesce(text, '') as content, embedding
+        from (select *, coalesce(doc_id, vec_id) as v from documents full join embeddings on vec_id = doc_id)"""),
     "queries": ([], f"""select cast(vec_id as varchar) as query_id, vec_id // 80 as question_id, cast((vec_id // 20) % 4 as integer) as query_no, embedding,
         case (vec_id // 20) % 4 when 0 then a || ' ' || b when 1 then a || ' or ' || b when 2 then '"' || a || ' ' || b || '"' else a || ' -' || b end as query
-        from (select vec_id, embedding, coalesce(w[2], '') as a, coalesce(w[3], '') as b from (select vec_id, embedding, {WORDS.format("text")} as w from embeddings join documents on vec_id = doc_id where vec_id % 20 = 0))"""),
-    "keys": ([], "select distinct upper(source) as key from documents"),
+        from (select vec_id, embedding, coalesce(w[2], '') as a, coalesce(w[3], '') as b from (select vec_id, embedding, {WORDS.format("coalesce(text, '')")} as w from embeddings left join documents on vec_id = doc_id where vec_id % 20 = 0))"""),
+    "keys": ([], "select distinct upper(coalesce(source, 'none') || ' ' || (doc_id // 500)) as key from documents"),
     "messages": ([], "select conv_id * 100 + turn as id, cast(conv_id as varchar) as conversation_id, role, text as content, timestamp '2024-01-01' + to_hours(cast(conv_id as integer)) + to_minutes(cast(turn as integer)) as created_at, turn from conversations"),
     "turns": (["messages"], """select conversation_id, turn, 'i' || (length(content) % 4) as intent, case when length(content) % 3 <> 0 then [split_part(split_part(content, chr(10), 1), ' ', 1)] else cast([] as varchar[]) end as entities,
         length(content) % 2 = 0 as needs_full_page, length(content) % 5 < 3 as is_follow_up from messages where role = 'user'"""),
@@ -152,11 +165,12 @@ CTE: dict[str, tuple[list[str], str]] = {
         case when event_type in ('purchase', 'signup', 'click') then 'positive' else 'negative' end as rating, case when value > 20 then 'HIGH' when value > 5 then 'MEDIUM' else 'LOW' end as confidence, ts as created_at from events"""),
     "stored": ([], "select cast(doc_id as varchar) as page_id, cast(1 + doc_id % 3 as integer) as version, 'old ' || doc_id as content, source from documents where doc_id % 10 <> 0"),
     "snapshot": ([], "select cast(doc_id as varchar) as page_id, case when doc_id % 11 <> 0 then cast(1 + doc_id % 4 as integer) end as version, 'new ' || doc_id as content, source from documents where doc_id % 7 <> 0"),
-    "targets": ([], "select distinct vec_id % 25 as question_id, case when vec_id % 25 % 2 = 0 then 'SRC' || (vec_id % 25 % 20) end as target from embeddings"),
-    "score_responses": ([], "select vec_id % 25 as question_id, cast(vec_id // 25 as integer) as batch_no, '0.' || vec_id || chr(10) || '-0.' || label || chr(10) || vec_id || '%' || chr(10) || '1. 0.9' || chr(10) || 'garbage' || chr(10) || '.5' as response, cast(1 + vec_id % 7 as integer) as expected from embeddings"),
+    "targets": ([], "select distinct vec_id // 40 as question_id, case when vec_id // 40 % 2 = 0 then 'SRC' || (vec_id // 40 % 20) || ' ' || (vec_id // 40 * 40 // 500) end as target from embeddings"),
+    "score_responses": ([], "select vec_id // 40 as question_id, cast(vec_id % 40 * 2 as integer) as batch_no, '0.' || vec_id || chr(10) || '-0.' || label || chr(10) || vec_id || '%' || chr(10) || '1. 0.9' || chr(10) || 'garbage' || chr(10) || '.5' as response, cast(1 + vec_id % 7 as integer) as expected from embeddings"),
 }
-for _name, _where, _order in (("page", "vec_id % 3 = 1", "vec_id"), ("table", "vec_id % 4 = 0", "vec_id desc"), ("hybrid", "vec_id % 2 = 0", "label, vec_id")):
-    CTE[f"list_{_name}"] = ([], f"select vec_id % 25 as question_id, cast(vec_id as varchar) as chunk_id, row_number() over (partition by vec_id % 25 order by {_order}) as rank from embeddings where {_where} qualify rank <= 20")
+for _name, _order in (("page", "vec_id"), ("table", "vec_id desc"), ("hybrid", "label, vec_id")):
+    _question = f"(vec_id + {APART[_name]}) // {PER_QUESTION}"
+    CTE[f"list_{_name}"] = ([], f"select {_question} as question_id, cast(vec_id as varchar) as chunk_id, row_number() over (partition by {_question} order by {_order}) as rank from embeddings")
 
 
 def sql(final: str, /, *names: str, **own: str) -> str:
