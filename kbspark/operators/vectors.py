@@ -15,6 +15,8 @@ MIN_SCORE = 0.2
 RESOLVE_LEAST, RESOLVE_GAP, RESOLVE_SURE = 0.45, 0.03, 0.65
 #: Rows on which the cells of the index are fitted, at most.
 FIT_ROWS = 50_000
+#: Cells of the index at most, and the share of them that a query looks at.
+MOST_CELLS, PROBE = 1_000, 0.75
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -34,32 +36,22 @@ def usable(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     return df.where((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
 
 
-def _packed(df: DataFrame, key: str, size: int, number: str) -> DataFrame:
-    """Blocks of rows: (number, keys, vectors as one array of doubles, dimension)."""
-    kind = df.schema[key].dataType.simpleString()
+def _packed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Blocks of rows (k, v, by): (by, keys, vectors as one array of doubles, dimension); rows of one dimension share a block."""
 
     def run(table: pa.Table) -> pa.Table:
         x = _rows(table.column("v"))
         keys = pa.array([table.column("k").to_pylist()], pa.list_(table.schema.field("k").type))
-        return pa.table({number: table.column("b")[:1], "keys": keys, "data": pa.array([x.tobytes()], pa.binary()), "dim": pa.array([x.shape[1]], pa.int32())})
+        return pa.table({**{c: table.column(c)[:1] for c in by}, "keys": keys, "data": pa.array([x.tobytes()], pa.binary()), "dim": pa.array([x.shape[1]], pa.int32())})
 
-    n = df.count()
-    dealt = df.select(F.col(key).alias("k"), F.col("embedding").alias("v"), F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size)))).alias("b"), F.size("embedding").alias("d"))
-    return dealt.groupBy("b", "d").applyInArrow(run, f"{number} long, keys array<{kind}>, data binary, dim int")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    return rows.withColumn("dim", F.size("v")).groupBy(*by, "dim").applyInArrow(run, f"{kinds}, keys array<{rows.schema['k'].dataType.simpleString()}>, data binary, dim int")
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, min_score: float | None = MIN_SCORE, query_key: str = "query_id") -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k nearest chunks of each query by cosine, over ``min_score``.
-
-    Both sides are packed into blocks. A block of queries goes to every block of chunks, where a matrix product
-    and a local top-k leave k rows a query; only these are shuffled and ranked. Equal scores (to 12
-    digits) are in the order of the chunk ids.
-    """
-    a = _packed(usable(queries), query_key, QUERY_BLOCK, "qb").withColumnsRenamed({"keys": "qkeys", "data": "qdata", "dim": "qdim"})
-    b = _packed(usable(chunks), "chunk_id", CHUNK_BLOCK, "cb")
-    places = max(1, -(-usable(chunks).count() // CHUNK_BLOCK))
-    spread = a.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(places - 1)).cast("array<long>")))
-    qkind, ckind = queries.schema[query_key].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+def _best_of_blocks(a: DataFrame, b: DataFrame, on: str, query_key: str, k: int, min_score: float | None) -> DataFrame:
+    """(query_key, chunk_id, score, rank): the k best chunks of each query over the pairs of query blocks and chunk blocks with equal ``on``."""
+    a = a.withColumnsRenamed({"keys": "qkeys", "data": "qdata", "dim": "qdim"})
+    kinds = [x.schema[c].dataType.elementType.simpleString() for x, c in ((a, "qkeys"), (b, "keys"))]
 
     def run(batches):
         for batch in batches:
@@ -80,10 +72,24 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, min_score: float
                 qk = row["qkeys"]
                 yield pa.RecordBatch.from_arrays([pa.array([qk[j] for j in at], batch.schema.field("qkeys").type.value_type), pa.array(keys[best[at, place]].tolist(), batch.schema.field("keys").type.value_type), pa.array(value[at, place])], names=[query_key, "chunk_id", "score"])
 
-    found = spread.join(b, "cb").mapInArrow(run, f"{query_key} {qkind}, chunk_id {ckind}, score double")
+    found = a.join(b, on).mapInArrow(run, f"{query_key} {kinds[0]}, chunk_id {kinds[1]}, score double")
     return best_k(found, [query_key], [F.desc("score"), "chunk_id"], k)
 
 
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, min_score: float | None = MIN_SCORE, query_key: str = "query_id") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k nearest chunks of each query by cosine, over ``min_score``.
+
+    Both sides are packed into blocks. A block of queries goes to every block of chunks, where a matrix product
+    and a local top-k leave k rows a query; only these are shuffled and ranked. Equal scores (to 12
+    digits) are in the order of the chunk ids.
+    """
+    a, b = (usable(x).select(F.col(key).alias("k"), F.col("embedding").alias("v")) for x, key in ((queries, query_key), (chunks, "chunk_id")))
+    places, groups = (max(1, -(-x.count() // size)) for x, size in ((b, CHUNK_BLOCK), (a, QUERY_BLOCK)))
+    asked = _packed(a.withColumn("qb", F.pmod(F.xxhash64("k"), F.lit(groups))), ["qb"])
+    known = _packed(b.withColumn("cb", F.pmod(F.xxhash64("k"), F.lit(places))), ["cb"])
+    return _best_of_blocks(asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(places - 1)).cast("array<long>"))), known, "cb", query_key, k, min_score)
+
+
 def fit_cells(chunks: DataFrame, n_cells: int, fit_rows: int = FIT_ROWS, seed: int = 1) -> np.ndarray:
     """Cell centres by k-means over at most ``fit_rows`` vectors, chosen by a hash of their id."""
     from pyspark.ml.clustering import KMeans
@@ -94,29 +100,35 @@ def fit_cells(chunks: DataFrame, n_cells: int, fit_rows: int = FIT_ROWS, seed: i
     return _unit(np.array(model.clusterCenters(), dtype=np.float64))
 
 
-def approx_vector_topk(queries: DataFrame, chunks: DataFrame, k: int, n_cells: int = 16, n_probe: int = 12, min_score: float | None = MIN_SCORE, query_key: str = "query_id", centres: np.ndarray | None = None) -> DataFrame:
-    """As ``vector_topk``, but each query looks only at its ``n_probe`` nearest cells; every chunk is in its nearest."""
-    centres = fit_cells(chunks, n_cells) if centres is None else centres
+def approx_vector_topk(queries: DataFrame, chunks: DataFrame, k: int, n_cells: int | None = None, probe: float = PROBE, min_score: float | None = MIN_SCORE, query_key: str = "query_id", centres: np.ndarray | None = None) -> DataFrame:
+    """As ``vector_topk``, but a query looks only at its nearest cells, a share ``probe`` of them; every chunk is in its nearest.
+
+    By default there are about as many cells as the root of the number of chunks, at most ``MOST_CELLS``. Cells are packed into blocks of bounded size,
+    however many chunks they have, and blocks of a cell are compared with blocks of its queries as in ``vector_topk``. Vectors
+    without clusters, as random ones, need the default share for a recall of 0.9; clustered ones far less.
+    """
+    if centres is None:
+        n_cells = n_cells or int(min(MOST_CELLS, max(16, usable(chunks).count() ** 0.5)))
+        centres = fit_cells(chunks, n_cells)
+    many = max(1, round(probe * len(centres)))
 
-    def cells(rows: DataFrame, key: str, many: int, name: str) -> DataFrame:
+    def cells(rows: DataFrame, key: str, near: int, size: int, part: str) -> DataFrame:
+        """Blocks (cell, part, keys, data, dim) of the rows in their nearest cells."""
         kind = rows.schema[key].dataType.simpleString()
 
         def run(batches):
             for b in batches:
                 if b.num_rows:
-                    x = _rows(b.column("embedding"))
-                    near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :many]
-                    take = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-                    yield pa.RecordBatch.from_arrays([b.column(key).take(take), pa.array(list(np.repeat(x, near.shape[1], axis=0)), pa.list_(pa.float64())), pa.array(near.ravel().astype(np.int64))], names=[key, name, "cell"])
-
-        return usable(rows).where(F.size("embedding") == centres.shape[1]).select(key, "embedding").mapInArrow(run, f"{key} {kind}, {name} array<double>, cell long")
-
-    pairs = cells(queries, query_key, n_probe, "q").join(cells(chunks, "chunk_id", 1, "c"), "cell")
-    score = F.round(F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 12)
-    scored = pairs.select(query_key, "chunk_id", score.alias("score"))
-    if min_score is not None:
-        scored = scored.where(F.col("score") > min_score)
-    return best_k(scored, [query_key], [F.desc("score"), "chunk_id"], k)
+                    best = np.argsort(-(_rows(b.column("v")) @ centres.T), axis=1, kind="stable")[:, :near]
+                    take = pa.array(np.repeat(np.arange(b.num_rows), best.shape[1]))
+                    yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("v").take(take), pa.array(best.ravel().astype(np.int64))], names=["k", "v", "cell"])
+
+        vectors = usable(rows).where(F.size("embedding") == centres.shape[1]).select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+        dealt = vectors.mapInArrow(run, f"k {kind}, v array<double>, cell long")
+        sizes = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))  # a row for each cell
+        return _packed(dealt.join(sizes, "cell").select("k", "v", "cell", F.pmod(F.xxhash64("k"), "parts").alias(part)), ["cell", part])
+
+    return _best_of_blocks(cells(queries, query_key, many, QUERY_BLOCK, "qb"), cells(chunks, "chunk_id", 1, CHUNK_BLOCK, "cb"), "cell", query_key, k, min_score)
 
 
 def resolve_page(questions: DataFrame, chunks: DataFrame, query_key: str = "question_id") -> DataFrame:

@@ -22,7 +22,8 @@ def build_documents(pages: DataFrame, base_url: str, space_key: str, enrichments
     kept = page_metadata(drop_boilerplate(pages), base_url, space_key)
     docs = drop_empty(kept.drop("html").join(html_to_text(kept), "page_id"))
     docs = apply_enrichment(docs, enrichments) if enrichments is not None else docs
-    return docs.select("page_id", "title", "space_key", "url", "version", "last_modified", "breadcrumb", "content")
+    # chunking reads documents several times, which must not parse their pages again
+    return written(docs.select("page_id", "title", "space_key", "url", "version", "last_modified", "breadcrumb", "content"))
 
 
 def ingest(pages: DataFrame, base_url: str, space_key: str, enrichments: DataFrame | None = None, embed_fn: Callable | None = None) -> DataFrame:

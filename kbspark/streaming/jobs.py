@@ -15,10 +15,10 @@ from kbspark.functions.shared import new_folder
 from kbspark.operators.conversation import TITLE_CHARS
 from kbspark.operators.feedback import POSITIVE, percent
 from kbspark.operators.sync import newest
-from kbspark.sources.tables import bucket, write_chunks
+from kbspark.sources.tables import BUCKETS, bucket, stored_buckets, write_chunks
 
 
-def stream_page_sync(changes: DataFrame, store: str, build: Callable[[DataFrame], DataFrame], checkpoint: str):
+def stream_page_sync(changes: DataFrame, store: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, buckets: int = BUCKETS):
     """Keeps the chunk table at ``store`` in step with a stream of pages (page_id, version, ...).
 
     Each micro-batch takes the newest version of a page; one that is not greater than the stored one is late and ignored. The
@@ -29,11 +29,12 @@ def stream_page_sync(changes: DataFrame, store: str, build: Callable[[DataFrame]
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         pages = newest(rows)
-        known = None
+        known, many = None, buckets
         if _exists(spark, store):
+            many = stored_buckets(spark, store)
             # at most as many values as there are buckets; only their folders of the store are read
-            touched = [r.bucket for r in pages.select(bucket(F.col("page_id")).alias("bucket")).distinct().collect()]
-            known = spark.read.parquet(store).where(F.col("bucket").isin(touched)).drop("bucket")
+            touched = [r.bucket for r in pages.select(bucket(F.col("page_id"), many).alias("bucket")).distinct().collect()]
+            known = spark.read.parquet(store).where(F.col("bucket").isin(touched)).drop("buckets", "bucket")
             old = known.groupBy("page_id").agg(F.max("version").alias("stored"))
             pages = pages.join(old, "page_id", "left").where("stored is null or version > stored").drop("stored")
         fresh = build(pages)
@@ -41,7 +42,7 @@ def stream_page_sync(changes: DataFrame, store: str, build: Callable[[DataFrame]
             fresh = fresh.unionByName(known.join(pages.select("page_id"), "page_id", "left_anti"))
         staging = os.path.join(checkpoint, "staging", str(number))
         fresh.write.mode("overwrite").parquet(staging)
-        write_chunks(spark.read.parquet(staging), store, "touched")
+        write_chunks(spark.read.parquet(staging), store, "touched", many)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(checkpoint, "offsets"))
 
