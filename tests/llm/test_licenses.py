@@ -1,35 +1,137 @@
+import collections
 import random
 import re
+import textwrap
+
+import duckdb
+import pytest
 
 from kbspark.llm import licenses
 
+MIT = """MIT License
+
+Copyright (c) 2024 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+
+
+def commented(text, lead):
+    return "\n".join(lead + line for line in text.split("\n"))
+
 
 def plain(text):
-    lines = re.sub(r"([.!?;:])[ \t\f\r]+", "\\1\n", "".join(c.lower() if c.isascii() else c for c in text or "")).split("\n")
-    names = {s: n for n, s in licenses.SENTENCES.items()}
-    found = [(i, names[s]) for i, line in enumerate(lines) if (s := re.sub("[^a-z0-9+]+", " ", line).strip()) in names]
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = lambda s: " ".join(re.findall("[a-z0-9+]+", s))
+    exact = {s: i for i, s in licenses.SENTENCES.items()} | {n: f"name:{i}" for n, i in licenses.names().items()}
+
+    def known(s):
+        m = re.match(licenses.NOTICE, s)
+        return exact.get(s) or (f"notice:{licenses.names()[m.group(1)]}" if m and m.group(1) in licenses.names() else None)
+
+    found = []
+    for no, part in enumerate(re.split(licenses.SENTENCE_END, low)):
+        if known(words(part)):
+            found.append((no, known(words(part))))
+        elif "\n" in part.strip():
+            found += [(no, known(words(x))) for x in part.split("\n") if known(words(x))]
     out = []
-    for rule, license_, ids in licenses.RULES:
-        at, hits = 0, []
-        while at + len(ids) <= len(found):
-            if [x for _, x in found[at : at + len(ids)]] == ids:
-                hits.append(found[at][0])
-                at += len(ids)
-            else:
-                at += 1
-        if hits:
-            out.append((rule, license_, hits[0], len(hits)))
+    every = licenses.rules()
+    for rule, license_, ids in every:
+        line = licenses.sequence([x for _, x in found])
+        for longer in licenses.covering(ids, every):
+            line = line.replace(longer, licenses.taken(longer))
+        own = licenses.sequence(ids)
+        if own in line:
+            out.append((rule, license_, found[line.split(own)[0].count("<")][0], line.count(own)))
     return out
 
 
-def test_rules_against_a_loop(spark):
+def licences(text):
+    return sorted(m[1] for m in plain(text))
+
+
+def texts():
     rnd = random.Random(4)
-    pieces = [*licenses.SENTENCES.values(), "other words", "x", "", "Released under the MIT License", "All Rights  Reserved!"]
-    rows = [(i, "".join(rnd.choice(pieces).capitalize() + rnd.choice([".\n", ". ", "\n", ": ", ".", "; "]) for _ in range(rnd.randrange(12))), "z") for i in range(150)]
-    text = "SPDX-License-Identifier: MIT\nfoo\nYou may not.\nSPDX-License-Identifier:\tApache-2.0"
-    rows += [(500, text, None), (501, None, None), (502, "", "r"), (502, "", "r"), (503, "This work is licensed under the GNU General Public License, version 3.", "q"), (None, "Released under the MIT License.", "q")]
+    pieces = [*licenses.SENTENCES.values(), "other words", "x", "", "Released under the MIT License", "All Rights  Reserved!", "this software is distributed under the terms of the GPLv3 license", "spdx-license-identifier: isc"]
+    out = ["".join(rnd.choice(pieces).capitalize() + rnd.choice([".\n", ". ", "\n", "\n\n", ": ", ".", "; "]) for _ in range(rnd.randrange(12))) for _ in range(150)]
+    out += ["SPDX-License-Identifier: MIT\nfoo\nYou may not.\nSPDX-License-Identifier:\tApache-2.0", None, "", "", "This work is licensed under the GNU General Public License, version 3.", "a line without a mark\nReleased under the MIT License.\nmore"]
+    out += [f(t) for t in (MIT, BSD2, BSD3, APACHE, GPL3, LGPL21, BSD3 + MIT + BSD2) for f in (str, lambda t: commented(t, " * "), lambda t: commented(t, "// "), lambda t: textwrap.fill(t, 40), lambda t: t.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n"))]
+    return [*out, "no licence here. " * 30_000 + "\nReleased under the MIT License."]
+
+
+def test_the_usual_texts():
+    assert licences(MIT) == licences(commented(MIT, "# ")) == ["MIT"]
+    assert licences(BSD2) == ["BSD-2-Clause"] and licences(BSD3) == ["BSD-3-Clause"]
+    assert licences(APACHE) == licences(commented(APACHE, " * ")) == ["Apache-2.0"]
+    assert licences(GPL3) == licences(commented(GPL3, "// ")) == ["GPL-3.0-or-later"] and licences(LGPL21) == ["LGPL-2.1-or-later"]
+    assert licences("This project is released under the MIT License.") == ["MIT"] and licences("SPDX-License-Identifier: 0BSD") == ["0BSD"]
+    assert licences("MIT") == licences("It is under the sea. Apache") == [] and len(licenses.LICENSES) >= 60
+
+
+def test_rules_against_a_loop(spark):
+    rows = [(i if i % 50 else 0, t, "z") for i, t in enumerate(texts())] + [(None, "Released under the MIT License.", "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string, rule string")
     got = sorted(((r.doc_id, r.rule, r.license, r.sentence, r.matches) for r in licenses.scan(df).collect()), key=str)
     assert got == sorted(((i, *m) for i, t, _ in rows for m in plain(t)), key=str)
-    assert [m[0] for m in plain(text)] == ["mit-spdx", "apache2-spdx"]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_sql_twin(spark):
+    rows = list(enumerate(texts()))
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", rows)
+    want = collections.Counter((r.doc_id, r.rule, r.license, r.sentence, r.matches) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert collections.Counter(db.execute(licenses.scan_sql()).fetchall()) == want and want
+
+
+@pytest.mark.parametrize("name", ["MIT", "Zlib"])
+def test_names(name):
+    assert name in licenses.names().values()
