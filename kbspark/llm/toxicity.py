@@ -3,16 +3,18 @@
 Tokens are runs of letters, lower-cased. The labels are those of documents, so the token labels are
 derived: from a bounded sample of labelled documents (one of each group of near copies), words and word beginnings
 that occur in far more toxic than clean documents (by the likelihood-ratio statistic) make a lexicon; a lexicon
-token of a toxic document is labelled toxic, every other token clean. The field sees how strong a
-token's word and its beginning are in the lexicon (how many times more frequent they are), and learns from these labels how far to trust each
-strength and how toxic tokens follow each other. Forward-backward marginals give the spans (tokens with
+token of a toxic document is labelled toxic, every other token clean, so also those of the lexicon in clean documents. The field sees the
+token's word, if the lexicon has it, how strong its word and its beginning are there (how many times more frequent they are), and how strong both
+neighbours are, and learns from these labels how far to trust each word,
+strength and neighbourhood, and how toxic tokens follow each other. Forward-backward marginals give the spans (tokens with
 a marginal of one half or more, joined if they follow each other), and two sums of them, through a
 logistic function fitted on the sample, the document score.
 
 Null and empty texts have no token: they get the score of such a document and no spans. Without labels
 of both kinds nothing is learned and every score is 0. Rows repeat as given; an empty table gives an
 empty table; output columns replace input columns of the same name. Sequences of any length are
-scanned exactly, in blocks that are multiplied first.
+scanned exactly, in blocks that are multiplied first; a very long text is a pass of its own, with some 500 bytes a token. For the fit, sequences are
+cut into pieces of ``PIECE_TOKENS``, so that long documents take part like others. Of a labelled id on several rows one is learned from, that of the least hash.
 """
 
 from __future__ import annotations
@@ -24,20 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import batch_rows, list_array, offsets_of, release, replace_columns, schema_with, slices
+from kbspark.llm.common import batch_rows, offsets_of, release, replace_columns, schema_with, slices, written
 
 #: Labelled documents of each class from which the lexicon and the logistic function are learned.
 SAMPLE_DOCS = 8_000
-#: Of those, documents of each class on which the field is fitted, and the tokens that one may have.
-FIELD_DOCS, FIELD_TOKENS = 1_000, 4_000
-#: Entries of the lexicon at most; the strongest stay.
-LEXICON = 20_000
+#: Pieces of those, in the order of a hash, on which the field is fitted for each class, and the tokens of a piece.
+FIELD_PIECES, PIECE_TOKENS = 1_000, 4_000
 #: Likelihood-ratio statistic that an entry of the lexicon has at least.
 SIGNIFICANT = 16.0
 #: How many times more frequent in toxic documents an entry is, at which it gets stronger; below the first it is none.
 RATIOS = np.array([3.0, 8.0, 30.0, 100.0])
 BEGINNINGS = (4, 5, 6)
-LEVELS = len(RATIOS) + 1
+LEVELS, SIGHTS = len(RATIOS) + 1, 4
 BLOCK = 64
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 KEPT: dict[int, np.ndarray] = {}
@@ -185,32 +185,44 @@ def chain(obs: np.ndarray, sizes: np.ndarray, emit: np.ndarray, trans: np.ndarra
 
 
 class Field:
-    """Weights of the strengths of word and beginning, and of the transitions."""
+    """Weights of strengths (of word, beginning, and both neighbours), of the transitions, and of the words of the lexicon (the last is no word)."""
 
-    def __init__(self, weights: np.ndarray | None = None):
-        self.w = np.zeros(2 * LEVELS + 4) if weights is None else weights
+    def __init__(self, words: int = 0):
+        self.w = np.zeros(SIGHTS * LEVELS + 4 + words + 1)
+        self.shrinkage = np.full(len(self.w), 1e-3)
+        self.shrinkage[SIGHTS * LEVELS + 4 :] = 1e-2
+        self.shrinkage[-1] = 1.0
 
-    def factors(self) -> tuple[np.ndarray, np.ndarray]:
-        score = (self.w[:LEVELS, None] + self.w[None, LEVELS : 2 * LEVELS]).ravel()
-        return np.exp(np.clip(np.stack([np.zeros_like(score), score], axis=1), -20, 20)), np.exp(np.clip(self.w[2 * LEVELS :].reshape(2, 2), -20, 20))
+    def places(self, obs: np.ndarray) -> np.ndarray:
+        """The weights that tell of each token."""
+        first = np.r_[np.arange(SIGHTS) * LEVELS, SIGHTS * LEVELS + 4]
+        return obs + first
+
+    def factors(self, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = self.w[self.places(obs)].sum(axis=1)
+        return np.exp(np.clip(np.stack([np.zeros_like(score), score], axis=1), -20, 20)), np.exp(np.clip(self.w[SIGHTS * LEVELS : SIGHTS * LEVELS + 4].reshape(2, 2), -20, 20))
 
     def fit(self, obs: np.ndarray, sizes: np.ndarray, label: np.ndarray, rounds: int = 60) -> Field:
         """Maximum likelihood of the labelled tokens, with a little shrinkage, by adaptive gradient steps."""
         previous = np.r_[0, label[:-1]] if len(label) else label
         previous[offsets_of(sizes)[:-1][sizes > 0]] = 0
         seen = np.bincount(2 * previous + label, minlength=4).astype(float)
-        word, head = obs // LEVELS, obs % LEVELS
+        # equal observations share their factors
+        kinds, at = np.unique(obs, axis=0, return_inverse=True)
+        at, places = at.reshape(-1), self.places(kinds)
         m, v = np.zeros_like(self.w), np.zeros_like(self.w)
         for r in range(1, rounds + 1):
-            p, moves = chain(obs, sizes, *self.factors(), pairs=True)
-            off = label - p
-            g = np.r_[np.bincount(word, off, LEVELS), np.bincount(head, off, LEVELS), seen - moves.ravel()] / max(1, len(sizes)) - 1e-3 * self.w
+            p, moves = chain(at, sizes, *self.factors(kinds), pairs=True)
+            off = np.bincount(at, label - p, len(kinds))
+            g = np.bincount(places.ravel(), np.repeat(off, SIGHTS + 1), len(self.w))
+            g[SIGHTS * LEVELS : SIGHTS * LEVELS + 4] = seen - moves.ravel()
+            g = g / max(1, len(sizes)) - self.shrinkage * self.w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             self.w = self.w + 0.4 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
         return self
 
     def marginals(self, obs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return chain(obs, sizes, *self.factors()) if len(obs) else np.zeros(0)
+        return chain(np.arange(len(obs)), sizes, *self.factors(obs)) if len(obs) else np.zeros(0)
 
 
 class Model:
@@ -219,17 +231,25 @@ class Model:
     def __init__(self, keys: np.ndarray, strength: np.ndarray, field: Field, logistic: np.ndarray | None):
         self.keys, self.strength, self.field, self.logistic = keys, strength, field, logistic
 
-    def level(self, hashes: np.ndarray) -> np.ndarray:
+    def entry(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of the lexicon with each hash; its length where there is none."""
         if not len(self.keys):
             return np.zeros(len(hashes), dtype=np.int64)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.strength[at], 0)
+        return np.where(self.keys[at] == hashes, at, len(self.keys))
 
     def observe(self, tokens: Tokens) -> np.ndarray:
-        head = np.zeros(len(tokens.word), dtype=np.int64)
+        """For each token the strengths of word, beginning, and neighbours, and its word's entry."""
+        strength = np.append(self.strength, 0)
+        word = self.entry(tokens.word)
+        out = np.zeros((len(word), SIGHTS + 1), dtype=np.int64)
+        out[:, 0], out[:, SIGHTS] = strength[word], word
         for h in tokens.heads:
-            head = np.maximum(head, self.level(h))
-        return self.level(tokens.word) * LEVELS + head
+            out[:, 1] = np.maximum(out[:, 1], strength[self.entry(h)])
+        own = np.maximum(out[:, 0], out[:, 1])
+        same = tokens.text[1:] == tokens.text[:-1]
+        out[1:, 2], out[:-1, 3] = np.where(same, own[:-1], 0), np.where(same, own[1:], 0)
+        return out
 
     def features(self, p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         """For each text one, its largest marginal, and the logarithm of one and its sum of marginals."""
@@ -266,6 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = {r.doc_id: r.toxic for r in sample(labels, doc_id, toxic, sample_docs).collect()}
     ids = spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")  # at most 2 * sample_docs ids
+    rows = written(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
     def groups(batches):
         for whole in batches:
@@ -300,28 +321,33 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     want_t, want_c = (t + c) * (n[1] / every), (t + c) * (n[0] / every)
     statistic = 2 * (t * F.log(t / want_t) + F.when(c > 0, c * F.log(c / want_c)).otherwise(0.0))
     ratio = (t / n[1]) / ((c + 0.5) / n[0])
-    entries = counts.where((ratio >= float(RATIOS[0])) & (t > 0)).withColumns({"g": statistic, "ratio": ratio}).where(F.col("g") >= SIGNIFICANT).orderBy(F.desc("g"), "h").limit(LEXICON).select("h", "ratio").toPandas()
+    entries = counts.where((ratio >= float(RATIOS[0])) & (t > 0)).withColumns({"g": statistic, "ratio": ratio}).where(F.col("g") >= SIGNIFICANT).select("h", "ratio").toPandas()  # words of the sample
     keys = entries["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     strength = np.searchsorted(RATIOS, entries["ratio"].to_numpy(dtype=float), side="right")
-    model = Model(keys[order], strength[order].astype(np.int64), Field(), None)
+    model = Model(keys[order], strength[order].astype(np.int64), Field(len(keys)), None)
 
     def observed(batches):
         for whole in batches:
             for b in slices(whole, "text"):
                 tokens = Tokens(b.column("text").to_pylist())
-                obs = model.observe(tokens).astype(np.int8)
-                short = tokens.sizes <= FIELD_TOKENS
-                keep = np.repeat(short, tokens.sizes)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(short)), b.column("toxic").filter(pa.array(short)), list_array(obs[keep], tokens.sizes[short], pa.int8())], names=["doc_id", "toxic", "obs"])
-
-    short = rows.mapInArrow(observed, "doc_id long, toxic int, obs array<tinyint>")
-    parts = [short.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIELD_DOCS) for k in (0, 1)]
+                obs = model.observe(tokens).astype(np.int32)
+                pieces = -(-tokens.sizes // PIECE_TOKENS)
+                owner = np.repeat(np.arange(b.num_rows), pieces)
+                no = np.arange(len(owner)) - np.repeat(offsets_of(pieces)[:-1], pieces)
+                begin = offsets_of(tokens.sizes)[:-1][owner] + no * PIECE_TOKENS
+                end = np.minimum(begin + PIECE_TOKENS, offsets_of(tokens.sizes)[1:][owner])
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("toxic").take(take), pa.array(no), pa.array([obs[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], names=["doc_id", "toxic", "no", "obs"])
+
+    pieces = rows.mapInArrow(observed, "doc_id long, toxic int, no long, obs binary")
+    parts = [pieces.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id", "no"), "doc_id", "no").limit(FIELD_PIECES) for k in (0, 1)]
     table = parts[0].unionByName(parts[1]).toArrow()
-    sizes = np.array([len(x) for x in table["obs"].to_pylist()], dtype=np.int64)
-    obs = np.concatenate([np.zeros(0, np.int64), *[np.array(x, dtype=np.int64) for x in table["obs"].to_pylist()]])
+    each = [np.frombuffer(x, dtype=np.int32).reshape(-1, SIGHTS + 1) for x in table["obs"].to_pylist()]
+    sizes = np.array([len(x) for x in each], dtype=np.int64)
+    obs = np.concatenate([np.zeros((0, SIGHTS + 1), np.int32), *each]).astype(np.int64)
     bad = np.array(table["toxic"].to_pylist(), dtype=np.int64)
-    label = np.where((obs > 0) & (np.repeat(bad, sizes) == 1), 1, 0)
+    label = np.where((obs[:, :2].max(axis=1, initial=0) > 0) & (np.repeat(bad, sizes) == 1), 1, 0)
     model.field.fit(obs, sizes, label)
 
     def features(batches):
