@@ -9,13 +9,13 @@ level are used up, the others get weight times level, rounded down.
 
 Each leaf then takes the prefix of its stream: epoch 1 in the order of a seeded hash of the document id,
 then epoch 2 in another, as many documents as fit in its budget. The position in the stream is a sum over
-bins of the hash (a few thousand for each leaf) and a sum inside the document's bin, so no leaf is
-sorted as one group.
+bins of the hash (as many as the largest leaf needs for bins of about a thousand documents) and a sum inside the document's bin, so no leaf is
+sorted as one group, and groups stay small at any size.
 
 Null tree columns are a node of their own, named ``null``. Null and empty texts have no tokens and fit
 wherever the stream has not passed the budget. A weight that is null, zero or below is zero: such a
 node gets nothing. Rows that share an id are next to each other in the stream. An empty table gives an
-empty table. All is DataFrame code.
+empty table. Texts of any length only count. Other columns are not looked at, so their names cannot clash. All is DataFrame code.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.common import written
 
-#: Bits of the hash that number the bins of a leaf's epoch.
-BIN_BITS = 12
+#: Least number of bits of the hash that number the bins of a leaf's epoch, and documents of the largest leaf that a bin shall have.
+BIN_BITS, BIN_DOCS = 12, 1_024
 ORDER_BITS = 60
 #: Fixed value: white space between tokens.
 SPACE = "[ \t\n\f\r]+"
@@ -76,13 +76,14 @@ def select(docs: DataFrame, levels: list[str], weights: dict[str, Column], budge
     """(doc_id, levels, epoch, n_tokens, upto) of every document drawn; ``upto`` is its end in its leaf's stream."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.coalesce(F.col(x).cast("string"), F.lit("null")).alias(x) for x in levels], F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
     rows = written(rows)
-    leaves = written(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")))
+    leaves = written(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
+    bits = max(BIN_BITS, min(ORDER_BITS // 2, ((leaves.agg(F.max("docs")).first()[0] or 0) // BIN_DOCS).bit_length()))
     quotas = written(budgets(leaves, levels, weights, budget, epochs))
     drawn = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
-    drawn = drawn.withColumn("at", draw_order(seed, F.col("epoch"), F.col("doc_id"))).withColumn("bin", F.shiftright("at", ORDER_BITS - BIN_BITS))
+    drawn = drawn.withColumn("at", draw_order(seed, F.col("epoch"), F.col("doc_id"))).withColumn("bin", F.shiftright("at", ORDER_BITS - bits))
     before = lambda *keys: Window.partitionBy(*levels, *keys).rowsBetween(Window.unboundedPreceding, -1)
     # sums over the bins in two steps, so that the bins of a leaf are no single group either
-    bins = drawn.groupBy(*levels, "epoch", "bin").agg(F.sum("n_tokens").alias("own")).withColumn("range", F.shiftright("bin", BIN_BITS // 2))
+    bins = drawn.groupBy(*levels, "epoch", "bin").agg(F.sum("n_tokens").alias("own")).withColumn("range", F.shiftright("bin", bits // 2))
     ranges = bins.groupBy(*levels, "epoch", "range").agg(F.sum("own").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before().orderBy("epoch", "range")), F.lit(0))).drop("all")
     bins = bins.withColumn("inner", F.coalesce(F.sum("own").over(before("epoch", "range").orderBy("bin")), F.lit(0))).join(ranges, [*levels, "epoch", "range"]).withColumn("before", F.col("base") + F.col("inner"))
     bins = bins.join(quotas, levels).where("before <= quota").select(*levels, "epoch", "bin", "before", "quota")
