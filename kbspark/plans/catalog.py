@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -653,12 +654,56 @@ def ingest(s, d):
     return ingest(pages, "https://wiki.example.com", "KB")
 
 
-@query()
+ASKED = f"select p.*, target from plans p join (select question_id, target from state) using (question_id)"
+TITLED = "select distinct target as key, chunk_id, layer, type from asked join chunks on contains(lower(title), lower(target)) where target is not null"
+
+
+def _search_sql(no: int) -> dict[str, str]:
+    """The tables of a search for queries_{no}, under names of its own; the last, hits of questions, is best_{no}."""
+    steps = {**HYBRID, "weighed": "select question_id, chunk_id, round(sum(cast(1 as double) / (query_no + 1) / (60 + rank)), 12) as score from hits join queries using (query_id) group by all", "best": ranked("weighed", "question_id", 5)}
+    own = {name for name in steps if name != "postings"} | {"queries"}
+    pattern = re.compile(r"\b(" + "|".join(sorted(own)) + r")\b")
+    return {f"{name}_{no}": pattern.sub(rf"\g<1>_{no}", body) for name, body in steps.items() if name in own}
+
+
+def _queries_sql(no: int, source: str) -> str:
+    return f"select question_id || '-' || query_no as query_id, question_id, query_no, query, embedding from (select question_id, unnest(queries) as query, cast(unnest(range(len(queries))) as integer) as query_no from {source}) left join (select * from question_vectors where round = {no}) using (question_id, query_no)"
+
+
+def _open_sql(no: int, before: str, found: str) -> str:
+    """The questions of a round with their extra queries."""
+    standard = "[question || ' overview', question || ' details', question || ' documentation']"
+    return f"select * from (select question_id, question, case when question_id not in (select question_id from {found}) then {standard} else r.queries end as queries from (select question_id, question from {before}) left join (select question_id, queries from question_reflections where round = {no}) r using (question_id)) where len(queries) > 0"
+
+
+def _reflected_sql(no: int, found: str) -> str:
+    both = f"select 0 as l, question_id, chunk_id, pos as rank from {found} union all select 1, question_id, chunk_id, rank from best_{no}"
+    return f"select question_id, chunk_id, cast(row_number() over (partition by question_id order by l, rank) as integer) as pos from (select *, row_number() over (partition by question_id, chunk_id order by l, rank) as n from ({both})) where n = 1"
+
+
+RETRIEVE = {
+    "plans_": f"select * from plans where not ({PLAIN} in ({SMALL}) or length({PLAIN}) < 5)".replace("content", "question"), "turns": "select question_id, conversation_id, turn, intent, entities, needs_full_page, is_follow_up from plans_", "state": STATE,
+    "asked": ASKED.replace("plans p", "plans_ p"), "postings": POSTINGS, "queries_0": _queries_sql(0, "asked"), **_search_sql(0), "titled": TITLED,
+    "list_page": f"select question_id, chunk_id, rank from asked join ({ranked('titled', 'key', 20, "layer = 'L2'", 'chunk_id')}) on key = target",
+    "list_table": f"select question_id, chunk_id, rank from asked join ({ranked('titled', 'key', 10, "type = 'TABLE'", 'chunk_id')}) on key = target",
+    "list_hybrid": "select question_id, chunk_id, rank from best_0", "merged": MERGED,
+    "few": "select question_id, target from asked left join (select question_id, count(*) as n from merged group by all) using (question_id) where target is not null and coalesce(n, 0) < 3",
+    "filled": "select question_id, chunk_id, row_number() over (partition by question_id order by l, rank, chunk_id) as pos from (select *, row_number() over (partition by question_id, chunk_id order by l, rank) as n from (select 0 as l, question_id, chunk_id, pos as rank from merged union all select 1, question_id, chunk_id, 0 from few join titled on key = target)) where n = 1",
+    "expanded": "select question_id, chunk_id, cast(row_number() over (partition by question_id order by p, chunk_id) as integer) as pos from (select question_id, coalesce(parent, chunk_id) as chunk_id, min(pos) as p from (select m.*, b.chunk_id as parent from filled m join chunks c using (chunk_id) left join chunks b on c.layer = 'L3' and b.layer = 'L2' and b.chunk_id = c.l2_id) group by all)",
+    "levels": f"select question_id, batch_no, list_slice(list_concat({LEVELLED}, list_transform(range(expected), lambda x: cast(0.5 as double))), 1, expected) as scores from question_scores",
+    "reranked": "select question_id, chunk_id, pos from (select question_id, chunk_id, cast(row_number() over (partition by question_id order by score desc, before) as integer) as pos from (select m.question_id, m.chunk_id, m.pos as before, coalesce(case when ((m.pos - 1) % 5) + 1 <= len(scores) then scores[((m.pos - 1) % 5) + 1] end, s.score, cast(0.5 as double)) as score from expanded m left join best_0 s on s.question_id = m.question_id and s.chunk_id = m.chunk_id left join levels v on v.question_id = m.question_id and v.batch_no = (m.pos - 1) // 5)) where pos <= 8",
+    "open_1": _open_sql(1, "asked", "reranked"), "queries_1": _queries_sql(1, "open_1"), **_search_sql(1), "reflected_1": _reflected_sql(1, "reranked"),
+    "open_2": _open_sql(2, "open_1", "reflected_1"), "queries_2": _queries_sql(2, "open_2"), **_search_sql(2), "reflected_2": _reflected_sql(2, "reflected_1"),
+    "final": FINAL.replace("from merged m", "from reflected_2 m").replace("left join targets", "left join (select question_id, target from asked)"),
+}
+
+
+@query(sql("select * from final", "plans", "question_vectors", "question_scores", "question_reflections", "chunks", **RETRIEVE))
 def retrieve(s, d):
     from kbspark.plans.jobs import retrieve
 
-    targets = i.queries(s, d).select("question_id").distinct().select("question_id", F.when(F.col("question_id") % 2 == 0, F.concat(F.lit("SRC"), (F.col("question_id") % 20).cast("string"))).alias("target"))
-    return retrieve(i.queries(s, d), targets, i.chunks(s, d), rs.parse_scores(i.score_responses(s, d)))["citations"]
+    q = i.questions(s, d)
+    return retrieve(q.select("question_id", "conversation_id", "turn", "question"), q.select("question_id", "response"), i.question_vectors(s, d), i.chunks(s, d), i.question_scores(s, d), i.question_reflections(s, d))["final"]
 
 
 # sources, sinks, user functions
@@ -707,8 +752,6 @@ def score_pairs(s, d):
 
 @query(sql("select chunk_id, term, positions from (select chunk_id, regexp_replace(term, '(ing|ed|s)$', '') as term, list_sort(flatten(list(positions))) as positions from postings group by 1, 2)", "chunks", postings=POSTINGS))
 def stem(s, d):
-    import re
-
     return ft.stem(ft.tokenize(i.chunks(s, d)), lambda t: re.sub("(ing|ed|s)$", "", t))
 
 

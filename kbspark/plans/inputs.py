@@ -141,6 +141,44 @@ def score_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.floor(v / PER_QUESTION).alias("question_id"), (v % PER_QUESTION * 2).cast("int").alias("batch_no"), line.alias("response"), (1 + v % 7).cast("int").alias("expected"))
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user message as a question, with two of its words and what models say about it, by its conversation and turn."""
+    m = messages(spark, sf_dir).where("role = 'user'").withColumns({"w": words(F.col("content")), "number": F.col("conversation_id").cast("long")})
+    a, b = (F.coalesce(F.try_element_at("w", F.lit(i)), F.lit("x")) for i in (2, 3))
+    kind = (F.col("number") + F.col("turn")) % 5
+    page = F.concat(F.lit('["SRC'), (F.col("number") % 20).cast("string"), F.lit(' 0"]'))
+    plan = lambda intent, entities, queries, full, follow: F.concat(F.lit('{"intent":"' + intent + '","entities":'), entities, F.lit(',"queries":['), queries, F.lit(f'],"needsFullPage":{full},"isFollowUp":{follow}' + "}"))
+    quoted = lambda *x: F.concat(F.lit('"'), *x, F.lit('"'))
+    response = (
+        F.when(kind == 0, plan("full", page, quoted(a, F.lit(" or "), b), "true", "false"))
+        .when(kind == 1, plan("follow", F.lit("[]"), F.concat(quoted(a, F.lit(" "), b), F.lit(","), quoted(b)), "false", "true"))
+        .when(kind == 2, plan("part", page, quoted(a, F.lit(" -"), b), "false", "false"))
+        .when(kind == 3, plan("again", F.lit("[]"), quoted(b), "true", "true")).otherwise(F.lit("no plan"))
+    )
+    return m.select(F.col("id").alias("question_id"), "conversation_id", "turn", F.col("content").alias("question"), "number", b.alias("b"), response.alias("response"))
+
+
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each query that a question may have, in three rounds."""
+    each = questions(spark, sf_dir).select("question_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("round")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("query_no"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return each.join(e, (F.col("question_id") + 31 * F.col("round") + 7 * F.col("query_no")) % 400 == e.vec_id).select("question_id", "round", "query_no", "embedding")
+
+
+def question_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reranker says of the first and third batch of a question."""
+    line = F.concat_ws("\n", F.concat(F.lit("0."), F.col("question_id").cast("string")), F.lit("0.25"), F.lit("80%"))
+    return questions(spark, sf_dir).select("question_id", F.explode(F.array(F.lit(0), F.lit(2))).alias("batch_no"), line.alias("response"), F.lit(5).alias("expected"))
+
+
+def question_reflections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insufficient, sufficient, or no JSON, by conversation, turn and round."""
+    q = questions(spark, sf_dir).select("question_id", "number", "turn", "b", F.explode(F.array(F.lit(1), F.lit(2))).alias("round"))
+    kind = (F.col("number") + F.col("turn") / 2 + F.col("round")).cast("int") % 3
+    more = F.concat(F.lit('{"sufficient": false, "reason": "", "additionalQueries": ["'), "b", F.lit('"]}'))
+    return q.select("question_id", "round", F.when(kind < 2, more).when(kind == 2, F.lit("{}")).alias("response"))
+
+
 #: The same tables in SQL: name -> (tables it needs, select).
 T = r"regexp_replace({0}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
@@ -163,6 +201,15 @@ CTE: dict[str, tuple[list[str], str]] = {
         length(content) % 2 = 0 as needs_full_page, length(content) % 5 < 3 as is_follow_up from messages where role = 'user'"""),
     "feedback": ([], f"""select event_id as id, cast(user_id as varchar) as conversation_id, user_id || '-' || json_extract_string(props, '$.k') as question, 'See [page ' || (user_id % 7) || ']({BASE}/a) and [page ' || (event_id % 5) || ']({BASE}/b)' as answer,
         case when event_type in ('purchase', 'signup', 'click') then 'positive' else 'negative' end as rating, case when value > 20 then 'HIGH' when value > 5 then 'MEDIUM' else 'LOW' end as confidence, ts as created_at from events"""),
+    "questions": (["messages"], f"""select id as question_id, conversation_id, turn, content as question, cast(conversation_id as bigint) as number, coalesce(w[2], 'x') as a, coalesce(w[3], 'x') as b, (cast(conversation_id as bigint) + turn) % 5 as kind
+        from (select *, {WORDS.format("content")} as w from messages where role = 'user')"""),
+    "plans": (["questions"], """select question_id, conversation_id, turn, question, case kind when 0 then 'full' when 1 then 'follow' when 2 then 'part' when 3 then 'again' else 'Answer user question' end as intent,
+        case when kind in (0, 2) then ['SRC' || (number % 20) || ' 0'] else cast([] as varchar[]) end as entities,
+        case kind when 0 then [a || ' or ' || b] when 1 then [a || ' ' || b, b] when 2 then [a || ' -' || b] when 3 then [b] else [question, question || ' details', question || ' overview'] end as queries,
+        kind in (0, 3) as needs_full_page, kind in (1, 3) as is_follow_up from questions"""),
+    "question_vectors": (["questions"], "select question_id, round, query_no, embedding from questions, (values (0), (1), (2)) r(round), (values (0), (1), (2)) n(query_no) join embeddings on vec_id = (question_id + 31 * round + 7 * query_no) % 400"),
+    "question_scores": (["questions"], "select question_id, batch_no, '0.' || question_id || chr(10) || '0.25' || chr(10) || '80%' as response, 5 as expected from questions, (values (0), (2)) b(batch_no)"),
+    "question_reflections": (["questions"], "select question_id, round, case when (number + turn // 2 + round) % 3 < 2 then [b] else cast([] as varchar[]) end as queries from questions, (values (1), (2)) r(round)"),
     "stored": ([], "select cast(doc_id as varchar) as page_id, cast(1 + doc_id % 3 as integer) as version, 'old ' || doc_id as content, source from documents where doc_id % 10 <> 0"),
     "snapshot": ([], "select cast(doc_id as varchar) as page_id, case when doc_id % 11 <> 0 then cast(1 + doc_id % 4 as integer) end as version, 'new ' || doc_id as content, source from documents where doc_id % 7 <> 0"),
     "targets": ([], "select distinct vec_id // 40 as question_id, case when vec_id // 40 % 2 = 0 then 'SRC' || (vec_id // 40 % 20) || ' ' || (vec_id // 40 * 40 // 500) end as target from embeddings"),

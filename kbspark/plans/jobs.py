@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.models import embed
 from kbspark.functions.shared import written
-from kbspark.operators.assembly import add_title_fallback, build_context, citations, expand_parents, merge_candidates, rerank, select_final
+from kbspark.operators.assembly import REFLECT_K, REFLECT_ROUNDS, add_title_fallback, build_context, citations, expand_parents, merge_candidates, reflect_merge, reflection_requests, rerank, select_final
 from kbspark.operators.chunking import chunk_pages
+from kbspark.operators.conversation import chat_memory, context_hint, conversation_state, conversational_reply, flag_conversational
 from kbspark.operators.fulltext import tokenize
 from kbspark.operators.pages import apply_enrichment, drop_boilerplate, drop_empty, page_metadata
+from kbspark.operators.responses import parse_plans, parse_reflections, parse_scores
 from kbspark.operators.search import chunks_by_title, hybrid_search, multi_query_search, page_chunks, table_chunks
 from kbspark.sources.html import html_to_text
 
@@ -32,25 +34,60 @@ def ingest(pages: DataFrame, base_url: str, space_key: str, enrichments: DataFra
     return embed(chunks, "content", embed_fn) if embed_fn else chunks
 
 
-def retrieve(queries: DataFrame, targets: DataFrame, chunks: DataFrame, scores: DataFrame, k: int = 5, final_k: int = 8) -> dict[str, DataFrame]:
-    """Search, assemble and cite for a table of questions.
+def search_questions(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """(question_id, chunk_id, score, rank) for queries (question_id, query_no, query, embedding) of questions."""
+    named = queries.withColumn("query_id", F.concat_ws("-", F.col("question_id").cast("string"), F.col("query_no").cast("string")))
+    named = written(named.select("query_id", "question_id", "query_no", "query", "embedding"))
+    return written(multi_query_search(named, hybrid_search(named, chunks, postings, k), k))
 
-    ``queries`` is (query_id, question_id, query_no, query, embedding), ``targets`` (question_id, target page or null), ``scores``
-    what a reranker said (question_id, batch_no, scores). Gives candidates, final, context, citations. The search hits,
-    the candidates and the final chunks, k rows a question, are written once, as several results use them.
+
+def reflect(questions: DataFrame, ranked: DataFrame, responses: DataFrame, vectors: DataFrame, chunks: DataFrame, postings: DataFrame, rounds: int = REFLECT_ROUNDS, k: int = REFLECT_K) -> DataFrame:
+    """(question_id, chunk_id, pos): ``ranked`` with the hits of the extra queries that models asked for.
+
+    In each round, a question without a chunk asks for its standard queries, any other for those of its response (question_id, round, response).
+    Questions whose response is sufficient, missing or without queries take no part in later rounds.
+    """
+    still, found = questions.select("question_id", "question"), ranked.select("question_id", "chunk_id", "pos")
+    for no in range(1, rounds + 1):
+        asked = reflection_requests(still, found, chunks).select("question_id", "question", "extra_queries")
+        said = parse_reflections(responses.where(F.col("round") == no)).where("not sufficient").select("question_id", "queries")
+        wanted = F.coalesce("extra_queries", "queries", F.array().cast("array<string>"))
+        still = written(asked.join(said, "question_id", "left").withColumn("wanted", wanted).where(F.size("wanted") > 0).select("question_id", "question", "wanted"))
+        queries = still.select("question_id", F.posexplode("wanted").alias("query_no", "query")).join(vectors.where(F.col("round") == no).select("question_id", "query_no", "embedding"), ["question_id", "query_no"], "left")
+        extra = search_questions(queries, chunks, postings, k)
+        found = written(reflect_merge(found, still.select("question_id", F.lit(False).alias("sufficient")), extra))
+        still = still.select("question_id", "question")
+    return found
+
+
+def retrieve(questions: DataFrame, plans: DataFrame, vectors: DataFrame, chunks: DataFrame, scores: DataFrame, reflections: DataFrame, messages: DataFrame | None = None, postings: DataFrame | None = None, k: int = 5, final_k: int = 8) -> dict[str, DataFrame]:
+    """Answers a table of questions: what to say, to search, to rank and to cite.
+
+    ``questions`` is (question_id, conversation_id, turn, question). What models said comes as tables: ``plans`` (question_id, response),
+    ``vectors`` (question_id, round, query_no, embedding) of the queries, round 0 those of the plan, ``scores`` (question_id, batch_no, response, expected)
+    and ``reflections`` (question_id, round, response). Small talk gets a reply and leaves the chain; a plan sets the target page with the
+    state of its conversation; the target's blocks and tables, then the search hits, are the candidates; they are reranked, reflected on twice
+    and cut to the final chunks. Gives replies, states (with hints for the planner), candidates, final, context, citations, and with ``messages`` the memory
+    of each. Tables that several steps use are written once; ``postings`` are made if they are not given.
     """
-    hits = hybrid_search(queries, chunks, tokenize(chunks), k)
-    searched = written(multi_query_search(queries, hits, k))
+    flagged = flag_conversational(questions, "question")
+    replies = conversational_reply(flagged.where("small_talk"), "question").select("question_id", "reply")
+    asked = flagged.where("not small_talk").select("question_id", "conversation_id", "turn", "question")
+    planned = written(asked.join(parse_plans(asked.select("question_id", "question").join(plans.select("question_id", "response"), "question_id", "left")), "question_id"))
+    states = written(context_hint(conversation_state(planned.select("question_id", "conversation_id", "turn", "intent", "entities", "needs_full_page", "is_follow_up"))))
+    targets = states.select("question_id", "target")
+    postings = written(tokenize(chunks)) if postings is None else postings
+    queries = planned.select("question_id", F.posexplode("queries").alias("query_no", "query")).join(vectors.where("round = 0").select("question_id", "query_no", "embedding"), ["question_id", "query_no"], "left")
+    searched = search_questions(queries, chunks, postings, k)
     wanted = targets.where("target is not null").select("question_id", F.col("target").alias("key"))
-    names = wanted.select("key").distinct()
+    names = written(wanted.select("key").distinct())
     pages = page_chunks(names, chunks, "L2").join(wanted, "key").select("question_id", "chunk_id", "rank")
     tables = table_chunks(names, chunks).join(wanted, "key").select("question_id", "chunk_id", "rank")
-    merged = merge_candidates(pages, tables, searched.select("question_id", "chunk_id", "rank"))
-    filled = add_title_fallback(merged, targets, chunks_by_title(names, chunks))
-    whole = written(expand_parents(filled, chunks))
+    merged = written(merge_candidates(pages, tables, searched.select("question_id", "chunk_id", "rank")))
+    whole = written(expand_parents(add_title_fallback(merged, targets, chunks_by_title(names, chunks)), chunks))
     scored = whole.join(searched.select("question_id", "chunk_id", "score"), ["question_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
-    ranked = rerank(scored, scores, final_k)
-    final = written(select_final(ranked.select("question_id", "chunk_id", "pos"), chunks, targets, final_k))
-    return {"candidates": whole, "final": final, "context": build_context(final, chunks), "citations": citations(final, chunks)}
-
-
+    ranked = rerank(scored, parse_scores(scores), final_k)
+    found = reflect(asked, ranked, reflections, vectors, chunks, postings)
+    final = written(select_final(found, chunks, targets, final_k))
+    out = {"replies": replies, "states": states, "candidates": whole, "final": final, "context": build_context(final, chunks), "citations": citations(final, chunks)}
+    return out | ({"memory": chat_memory(messages)} if messages is not None else {})
