@@ -100,8 +100,8 @@ def fit_cells(chunks: DataFrame, n_cells: int, fit_rows: int = FIT_ROWS, seed: i
     return _unit(np.array(model.clusterCenters(), dtype=np.float64))
 
 
-def approx_vector_topk(queries: DataFrame, chunks: DataFrame, k: int, n_cells: int | None = None, probe: float = PROBE, min_score: float | None = MIN_SCORE, query_key: str = "query_id", centres: np.ndarray | None = None) -> DataFrame:
-    """As ``vector_topk``, but a query looks only at its nearest cells, a share ``probe`` of them; every chunk is in its nearest.
+def approx_vector_topk(queries: DataFrame, chunks: DataFrame, k: int, n_cells: int | None = None, n_probe: int | None = None, min_score: float | None = MIN_SCORE, query_key: str = "query_id", centres: np.ndarray | None = None) -> DataFrame:
+    """As ``vector_topk``, but a query looks only at its ``n_probe`` nearest cells, by default a share ``PROBE`` of them; every chunk is in its nearest.
 
     By default there are about as many cells as the root of the number of chunks, at most ``MOST_CELLS``. Cells are packed into blocks of bounded size,
     however many chunks they have, and blocks of a cell are compared with blocks of its queries as in ``vector_topk``. Vectors
@@ -110,7 +110,7 @@ def approx_vector_topk(queries: DataFrame, chunks: DataFrame, k: int, n_cells: i
     if centres is None:
         n_cells = n_cells or int(min(MOST_CELLS, max(16, usable(chunks).count() ** 0.5)))
         centres = fit_cells(chunks, n_cells)
-    many = max(1, round(probe * len(centres)))
+    many = n_probe or max(1, round(PROBE * len(centres)))
 
     def cells(rows: DataFrame, key: str, near: int, size: int, part: str) -> DataFrame:
         """Blocks (cell, part, keys, data, dim) of the rows in their nearest cells."""
