@@ -21,6 +21,8 @@ IMAGE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg"}
 NOTICE_CLASS = "confluence-information-macro"
 NOTICES = [("warning", "WARNING"), ("tip", "TIP"), ("note", "NOTE"), ("info", "INFO")]
 DIAGRAM_NAME, DIAGRAM_TEXT = "Draw.io Diagram", "This diagram contains the following elements: "
+#: Marks around code, the heading of diagrams, and the name of a diagram given as text.
+CODE_BEGIN, CODE_END, DIAGRAMS, TEXT_DIAGRAM = "[CODE BLOCK]", "[END CODE BLOCK]", "## Diagrams", "PlantUML Flow"
 
 
 class Element:
@@ -170,7 +172,7 @@ def _form(e: Element) -> str | None:
     if re.fullmatch("h[1-6]", tag):
         return f"\n{'#' * int(tag[1])} {text}\n\n"
     if tag in ("pre", "code"):
-        return f"\n[CODE BLOCK]\n{text}\n[END CODE BLOCK]\n\n"
+        return f"\n{CODE_BEGIN}\n{text}\n{CODE_END}\n\n"
     if tag == "p":
         return f"{text}\n\n"
     if tag == "div":
@@ -213,7 +215,7 @@ def diagrams(body: Element) -> list[str]:
     for macro in _macros(body, "plantuml"):
         text = _plain_body(macro)
         if text:
-            out.append(f"[DIAGRAM: PlantUML Flow]\n{text}")
+            out.append(f"[DIAGRAM: {TEXT_DIAGRAM}]\n{text}")
     return out
 
 
@@ -239,5 +241,5 @@ def page_text(page: str | None) -> str:
     body = parse(page)
     text, found = body_text(body), diagrams(body)
     if found:
-        text += "\n\n## Diagrams\n\n" + "".join(f"{d}\n\n" for d in found)
+        text += f"\n\n{DIAGRAMS}\n\n" + "".join(f"{d}\n\n" for d in found)
     return tidy(text)

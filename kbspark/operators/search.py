@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions.sort import best_k
+from kbspark.functions.stemmer import english
 from kbspark.functions.text import title_key
 from kbspark.operators.fulltext import keyword_topk
 from kbspark.operators.vectors import MIN_SCORE, vector_topk
@@ -19,10 +22,10 @@ def rrf_fuse(ranks: DataFrame, keys: list[str], k: int | None = None) -> DataFra
     return best_k(fused, keys, [F.desc("score"), "chunk_id"], k)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int, min_score: float = MIN_SCORE) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int, min_score: float = MIN_SCORE, stem_fn: Callable[[str], str] | None = english) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, query, embedding): 2k by vector and 2k by words, fused."""
     near = vector_topk(queries, chunks, 2 * k, min_score).select("query_id", "chunk_id", "rank")
-    worded = keyword_topk(queries.select("query_id", "query"), postings, 2 * k, ["query_id"]).select("query_id", "chunk_id", "rank")
+    worded = keyword_topk(queries.select("query_id", "query"), postings, 2 * k, ["query_id"], stem_fn).select("query_id", "chunk_id", "rank")
     return rrf_fuse(near.unionByName(worded), ["query_id"], k)
 
 

@@ -271,7 +271,7 @@ def approx_vector_topk(s, d):
 
 @query(sql("select chunk_id, term, positions from postings", "chunks", postings=POSTINGS))
 def tokenize(s, d):
-    return ft.tokenize(i.chunks(s, d))
+    return ft.tokenize(i.chunks(s, d), None)
 
 
 @query(sql("select query_id, clause, alternative, negative, term, o as \"offset\" from terms", "queries", parts=PARTS, clauses=CLAUSES, terms=TERMS))
@@ -282,7 +282,7 @@ def parse_websearch(s, d):
 
 @query(sql("select query_id, chunk_id, round(score, 6) as score, rank from best", "queries", "chunks", **TEXT, best=ranked("word_scores", "query_id", 10)))
 def keyword_topk(s, d):
-    return ft.keyword_topk(i.queries(s, d), ft.tokenize(i.chunks(s, d)), 10, ["query_id"]).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return ft.keyword_topk(i.queries(s, d), ft.tokenize(i.chunks(s, d), None), 10, ["query_id"], None).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(sql("select query_id, chunk_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from (select query_id, chunk_id, round(sum(cast(1 as double) / (60 + rank)), 12) as score from (select question_id as query_id, chunk_id, rank from list_page union all select question_id, chunk_id, rank from list_hybrid) group by all)", "list_page", "list_hybrid"))
@@ -293,7 +293,7 @@ def rrf_fuse(s, d):
 
 def _hits(s, d, k=5):
     chunks = i.chunks(s, d)
-    return se.hybrid_search(i.queries(s, d), chunks, ft.tokenize(chunks), k)
+    return se.hybrid_search(i.queries(s, d), chunks, ft.tokenize(chunks, None), k, stem_fn=None)
 
 
 @query(sql("select query_id, chunk_id, round(score, 6) as score, rank from hits", "queries", "chunks", **HYBRID))
@@ -703,7 +703,7 @@ def retrieve(s, d):
     from kbspark.plans.jobs import retrieve
 
     q = i.questions(s, d)
-    return retrieve(q.select("question_id", "conversation_id", "turn", "question"), q.select("question_id", "response"), i.question_vectors(s, d), i.chunks(s, d), i.question_scores(s, d), i.question_reflections(s, d))["final"]
+    return retrieve(q.select("question_id", "conversation_id", "turn", "question"), q.select("question_id", "response"), i.question_vectors(s, d), i.chunks(s, d), i.question_scores(s, d), i.question_reflections(s, d), stem_fn=None)["final"]
 
 
 # sources, sinks, user functions
@@ -736,23 +736,50 @@ def write_chunks(s, d):
     return read_chunks(s, folder).select(ch.COLUMNS)
 
 
-@query("select doc_id, list_transform([length(text), length(text) - length(replace(text, ' ', ''))], lambda x: cast(x as float)) as v from documents")
+#: The text embedder of the query below: counts of the letters a to z and of digits, by which texts of a language are near.
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@query(f"select doc_id, list_transform(string_split('{SIGNS}', ''), lambda x: cast(length(t) - length(replace(t, x, '')) as float)) as v from (select doc_id, lower(coalesce(text, '')) as t from documents)")
 def embed(s, d):
     from kbspark.functions.models import embed
 
-    return embed(i.read(s, d, "documents").select("doc_id", "text"), "text", lambda texts: [[len(t), t.count(" ")] for t in texts], "v").drop("text")
+    def letters(texts):
+        low = [t.lower() for t in texts]
+        return [[t.count(x) for x in SIGNS] for t in low]
+
+    return embed(i.read(s, d, "documents").select("doc_id", "text"), "text", letters, "v").drop("text")
 
 
-@query("select doc_id, cast(length(text) as double) / (1 + length(source)) as pair_score from documents")
+@query("select doc_id, item_id, cast(len(list_intersect(q, w)) as double) / greatest(1, len(list_distinct(list_concat(q, w)))) as pair_score from (select *, list_distinct(string_split(passage, ' ')) as q, list_distinct(string_split(text, ' ')) as w from (select doc_id, coalesce(d.text, '') as text, item_id, coalesce(b.text, '') as passage from documents d join benchmark b on item_id = doc_id % 40))")
 def score_pairs(s, d):
     from kbspark.functions.models import score_pairs
 
-    return score_pairs(i.read(s, d, "documents").select("doc_id", "source", "text"), "source", "text", lambda pairs: [len(b) / (1 + len(a)) for a, b in pairs]).select("doc_id", "pair_score")
+    def overlap(pairs):
+        sets = [({*a.split(" ")}, {*b.split(" ")}) for a, b in pairs]
+        return [len(a & b) / max(1, len(a | b)) for a, b in sets]
+
+    b = i.read(s, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    pairs = i.read(s, d, "documents").select("doc_id", "text").join(b, F.col("doc_id") % 40 == F.col("item_id"))
+    return score_pairs(pairs, "passage", "text", overlap).select("doc_id", "item_id", "pair_score")
 
 
 @query(sql("select chunk_id, term, positions from (select chunk_id, regexp_replace(term, '(ing|ed|s)$', '') as term, list_sort(flatten(list(positions))) as positions from postings group by 1, 2)", "chunks", postings=POSTINGS))
 def stem(s, d):
-    return ft.stem(ft.tokenize(i.chunks(s, d)), lambda t: re.sub("(ing|ed|s)$", "", t))
+    return ft.stem(ft.tokenize(i.chunks(s, d), None), lambda t: re.sub("(ing|ed|s)$", "", t))
+
+
+# the search of the library as it is by default, with English stems, which SQL does not have; tests/test_operators.py compares it with a loop
+
+
+@query()
+def stem_english(s, d):
+    return ft.tokenize(i.chunks(s, d))
+
+
+@query()
+def stemmed_search(s, d):
+    return ft.keyword_topk(i.queries(s, d), ft.tokenize(i.chunks(s, d)), 10, ["query_id"]).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(sql("select question_id, chunk_id, cast(row_number() over (partition by question_id order by p) as integer) as pos from (select question_id, chunk_id, min(rank) as p from (select question_id, chunk_id, rank from list_page union all select question_id, chunk_id, 100 + rank from list_hybrid) group by all)", "list_page", "list_hybrid"))
@@ -761,11 +788,18 @@ def dedupe_chunks(s, d):
     return asm.dedupe_chunks(both.withColumnRenamed("rank", "pos"))
 
 
-@query(sql("select 'top' as report, question as item, n from (select question, count(*) as n from feedback group by question order by n desc, question limit 20) union all select 'failing', question, n from (select question, count(*) as n from feedback where rating = 'negative' and question not in (select question from feedback where rating = 'positive') group by question order by n desc, question limit 20)", "feedback"))
+DASHBOARD = """select 'summary' as report, unnest(['negative', 'positive', 'total']) as item, unnest([count(*) filter (rating = 'negative'), count(*) filter (rating = 'positive'), count(*)]) as n from feedback
+  union all select * from (select 'top', question, count(*) as n from feedback group by question order by n desc, question limit 20)
+  union all select * from (select 'failing', question, count(*) as n from feedback where rating = 'negative' and question not in (select question from feedback where rating = 'positive') group by question order by n desc, question limit 20)
+  union all select * from (select 'negative', question, id from feedback where rating = 'negative' order by created_at desc, id limit 100)"""
+
+
+@query(sql(DASHBOARD, "feedback"))
 def dashboard(s, d):
     parts = fb.dashboard(i.feedback(s, d))
-    top = parts["top_questions"].select(F.lit("top").alias("report"), F.col("question").alias("item"), "n")
-    return top.unionByName(parts["failing_questions"].select(F.lit("failing").alias("report"), F.col("question").alias("item"), F.col("attempts").alias("n")))
+    summary = parts["summary"].select(F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("n")) for c in ("negative", "positive", "total")])).alias("x")).select(F.lit("summary").alias("report"), "x.item", "x.n")
+    counts = [parts[name].select(F.lit(report).alias("report"), F.col("question").alias("item"), F.col(n).alias("n")) for name, report, n in (("top_questions", "top", "n"), ("failing_questions", "failing", "attempts"), ("negative_feedback", "negative", "id"))]
+    return summary.unionByName(counts[0]).unionByName(counts[1]).unionByName(counts[2])
 
 
 # streams: the same results as in batch

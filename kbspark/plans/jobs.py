@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.models import embed
 from kbspark.functions.shared import written
+from kbspark.functions.stemmer import english
 from kbspark.operators.assembly import REFLECT_K, REFLECT_ROUNDS, add_title_fallback, build_context, citations, expand_parents, merge_candidates, reflect_merge, reflection_requests, rerank, select_final
 from kbspark.operators.chunking import chunk_pages
 from kbspark.operators.conversation import chat_memory, context_hint, conversation_state, conversational_reply, flag_conversational
@@ -34,14 +35,14 @@ def ingest(pages: DataFrame, base_url: str, space_key: str, enrichments: DataFra
     return embed(chunks, "content", embed_fn) if embed_fn else chunks
 
 
-def search_questions(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def search_questions(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int, stem_fn: Callable | None = english) -> DataFrame:
     """(question_id, chunk_id, score, rank) for queries (question_id, query_no, query, embedding) of questions."""
     named = queries.withColumn("query_id", F.concat_ws("-", F.col("question_id").cast("string"), F.col("query_no").cast("string")))
     named = written(named.select("query_id", "question_id", "query_no", "query", "embedding"))
-    return written(multi_query_search(named, hybrid_search(named, chunks, postings, k), k))
+    return written(multi_query_search(named, hybrid_search(named, chunks, postings, k, stem_fn=stem_fn), k))
 
 
-def reflect(questions: DataFrame, ranked: DataFrame, responses: DataFrame, vectors: DataFrame, chunks: DataFrame, postings: DataFrame, rounds: int = REFLECT_ROUNDS, k: int = REFLECT_K) -> DataFrame:
+def reflect(questions: DataFrame, ranked: DataFrame, responses: DataFrame, vectors: DataFrame, chunks: DataFrame, postings: DataFrame, rounds: int = REFLECT_ROUNDS, k: int = REFLECT_K, stem_fn: Callable | None = english) -> DataFrame:
     """(question_id, chunk_id, pos): ``ranked`` with the hits of the extra queries that models asked for.
 
     In each round, a question without a chunk asks for its standard queries, any other for those of its response (question_id, round, response).
@@ -54,13 +55,13 @@ def reflect(questions: DataFrame, ranked: DataFrame, responses: DataFrame, vecto
         wanted = F.coalesce("extra_queries", "queries", F.array().cast("array<string>"))
         still = written(asked.join(said, "question_id", "left").withColumn("wanted", wanted).where(F.size("wanted") > 0).select("question_id", "question", "wanted"))
         queries = still.select("question_id", F.posexplode("wanted").alias("query_no", "query")).join(vectors.where(F.col("round") == no).select("question_id", "query_no", "embedding"), ["question_id", "query_no"], "left")
-        extra = search_questions(queries, chunks, postings, k)
+        extra = search_questions(queries, chunks, postings, k, stem_fn)
         found = written(reflect_merge(found, still.select("question_id", F.lit(False).alias("sufficient")), extra))
         still = still.select("question_id", "question")
     return found
 
 
-def retrieve(questions: DataFrame, plans: DataFrame, vectors: DataFrame, chunks: DataFrame, scores: DataFrame, reflections: DataFrame, messages: DataFrame | None = None, postings: DataFrame | None = None, k: int = 5, final_k: int = 8) -> dict[str, DataFrame]:
+def retrieve(questions: DataFrame, plans: DataFrame, vectors: DataFrame, chunks: DataFrame, scores: DataFrame, reflections: DataFrame, messages: DataFrame | None = None, postings: DataFrame | None = None, k: int = 5, final_k: int = 8, stem_fn: Callable | None = english) -> dict[str, DataFrame]:
     """Answers a table of questions: what to say, to search, to rank and to cite.
 
     ``questions`` is (question_id, conversation_id, turn, question). What models said comes as tables: ``plans`` (question_id, response),
@@ -76,9 +77,9 @@ def retrieve(questions: DataFrame, plans: DataFrame, vectors: DataFrame, chunks:
     planned = written(asked.join(parse_plans(asked.select("question_id", "question").join(plans.select("question_id", "response"), "question_id", "left")), "question_id"))
     states = written(context_hint(conversation_state(planned.select("question_id", "conversation_id", "turn", "intent", "entities", "needs_full_page", "is_follow_up"))))
     targets = states.select("question_id", "target")
-    postings = written(tokenize(chunks)) if postings is None else postings
+    postings = written(tokenize(chunks, stem_fn)) if postings is None else postings
     queries = planned.select("question_id", F.posexplode("queries").alias("query_no", "query")).join(vectors.where("round = 0").select("question_id", "query_no", "embedding"), ["question_id", "query_no"], "left")
-    searched = search_questions(queries, chunks, postings, k)
+    searched = search_questions(queries, chunks, postings, k, stem_fn)
     wanted = targets.where("target is not null").select("question_id", F.col("target").alias("key"))
     names = written(wanted.select("key").distinct())
     pages = page_chunks(names, chunks, "L2").join(wanted, "key").select("question_id", "chunk_id", "rank")
@@ -87,7 +88,7 @@ def retrieve(questions: DataFrame, plans: DataFrame, vectors: DataFrame, chunks:
     whole = written(expand_parents(add_title_fallback(merged, targets, chunks_by_title(names, chunks)), chunks))
     scored = whole.join(searched.select("question_id", "chunk_id", "score"), ["question_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
     ranked = rerank(scored, parse_scores(scores), final_k)
-    found = reflect(asked, ranked, reflections, vectors, chunks, postings)
+    found = reflect(asked, ranked, reflections, vectors, chunks, postings, stem_fn=stem_fn)
     final = written(select_final(found, chunks, targets, final_k))
     out = {"replies": replies, "states": states, "candidates": whole, "final": final, "context": build_context(final, chunks), "citations": citations(final, chunks)}
     return out | ({"memory": chat_memory(messages)} if messages is not None else {})

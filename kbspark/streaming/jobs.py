@@ -78,18 +78,22 @@ class TurnState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         turns = pd.concat(list(rows)).sort_values("turn")
-        page, intent = self.state.get()[:2] if self.state.exists() else (None, None)
+        page, intent, seen = self.state.get() if self.state.exists() else (None, None, None)
         out = []
         for r in turns.to_dict("records"):
             entities = r["entities"]
             entity = entities[0] if entities is not None and len(entities) and entities[0] and entities[0].strip() else None
             target = entity if r["needs_full_page"] and entity else page if r["is_follow_up"] else None
+            if seen is not None and r["turn"] <= seen:
+                out.append((key[0], r["turn"], target, page, intent))
+                continue
             if entity and (r["needs_full_page"] or not r["is_follow_up"] or page is None):
                 page = entity
             if target or entity:
                 intent = r["intent"] or ""
             out.append((key[0], r["turn"], target, page, intent))
-        self.state.update((page, intent, int(turns["turn"].max())))
+        last = int(turns["turn"].max())
+        self.state.update((page, intent, last if seen is None else max(last, seen)))
         yield pd.DataFrame(out, columns=["conversation_id", "turn", "target", "last_page", "last_intent"])
 
     def close(self) -> None:
@@ -99,7 +103,8 @@ class TurnState(StatefulProcessor):
 def stream_conversation_state(turns: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """(conversation_id, turn, target, last_page, last_intent) of a stream of turns.
 
-    A state without turns for ``ttl_ms`` is dropped; None keeps all, as a run over what is available needs.
+    A state without turns for ``ttl_ms`` is dropped; None keeps all, as a run over what is available needs. A turn that comes in a later batch than
+    its successors gets its target from the state as it is, and leaves it so.
     """
     out = StructType(_parse_datatype_string("conversation_id string, turn long, target string, last_page string, last_intent string").fields)
     rows = turns.select("conversation_id", F.col("turn").cast("long").alias("turn"), "intent", "entities", "needs_full_page", "is_follow_up")

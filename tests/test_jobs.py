@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 from test_operators import DOC, MESSAGE, doc, messages, random_turns, walk
@@ -89,3 +90,50 @@ def test_streamed_sync(spark, tmp_path):
         want = chunk_pages(spark.createDataFrame([*(x for x in first if x[0] != "1"), second[0], second[2]], DOC))
         got = read_chunks(spark, store)
         assert sorted((r.chunk_id, r.content) for r in got.collect()) == sorted((r.chunk_id, r.content) for r in want.collect())
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+TURNS = "conversation_id string, turn int, intent string, entities array<string>, needs_full_page boolean, is_follow_up boolean"
+
+
+def two_batches(spark, tmp_path, first, second, name, ttl_ms):
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    a, b = (spark.createDataFrame(x, TURNS) for x in (first, second))
+    stream = jobs.stream_conversation_state(source(spark, tmp_path, a, [a, b]), ttl_ms=ttl_ms)
+    # a query with a clock goes on when its input is used up
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+    until = time.time() + 90
+    while time.time() < until and len(got := spark.sql(f"select * from {name}").collect()) < len(first) + len(second):
+        time.sleep(0.5)
+    q.stop()
+    spark.conf.set(STATE_STORE, before)
+    return {(r.conversation_id, r.turn): (r.target, r.last_page, r.last_intent) for r in got}
+
+
+def test_state_that_expires(spark, tmp_path):
+    first, second = [("c", 1, "i", ["A"], True, False)], [("c", 2, "j", [], False, True)]
+    assert two_batches(spark, tmp_path / "a", first, second, "kept_state", 3_600_000)[("c", 2)] == ("A", "A", "j")
+    assert two_batches(spark, tmp_path / "b", first, second, "gone_state", 1)[("c", 2)] == (None, None, None)
+
+
+def test_late_turns(spark, tmp_path):
+    first = [("c", 1, "i", ["A"], True, False), ("c", 5, "k", ["B"], True, False)]
+    second = [("c", 3, "j", ["C"], True, False), ("c", 4, "j", [], False, True), ("c", 6, "l", [], False, True)]
+    got = two_batches(spark, tmp_path, first, second, "late_state", None)
+    assert got[("c", 3)] == ("C", "B", "k") and got[("c", 4)] == ("B", "B", "k") and got[("c", 6)] == ("B", "B", "l")
+
+
+def test_chunks_in_a_database(spark):
+    from pyspark.sql import functions as F
+
+    from kbspark.sources.tables import META, chunk_query, read_chunks_jdbc, write_chunks_jdbc
+
+    url, options = "jdbc:derby:memory:chunks;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(f"c{i}", f"text {i}", [float(i), 0.5], *[None if m == "url" else f"{m}{i}" for m in META]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, content string, embedding array<float>, " + ", ".join(f"{m} string" for m in META))
+    write_chunks_jdbc(df, url, "chunks", options)
+    back = read_chunks_jdbc(spark, url, "chunks", "length(\"id\")", "0", "9", 3, options, "varchar(30000)")
+    got = sorted((r.id, r.content, r.embedding, *[r[m] for m in META]) for r in back.collect())
+    assert got == sorted((r[0], r[1], r[2], *[x or "" for x in r[3:]]) for r in rows) and back.rdd.getNumPartitions() == 3
+    assert "embedding::" not in chunk_query("t", "x") and back.where(F.col("title") == "title3").count() == 1

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -161,6 +162,36 @@ def test_full_text(spark):
     assert dict(hits("fox red"))["c"] == round(w, 6)
 
 
+def test_stems(spark):
+    from kbspark.functions.stemmer import english
+
+    table = dict(walking="walk", walked="walk", consistently="consist", conspiracy="conspiraci", constables="constabl", knackeries="knackeri", knotted="knot", happiness="happi", relational="relat", communication="communic", hopping="hop", hoping="hope", ties="tie", cries="cri", gas="gas", agreed="agre", by="by", say="say", dying="die", proceed="proceed", rationalize="ration", electricity="electr", replacement="replac", adoption="adopt", controlling="control", youth="youth", bed="bed", apology="apolog", größe="größe")
+    assert {w: english(w) for w in table} == table
+    rnd = random.Random(3)
+    inflected = ["walk", "walks", "walking", "hoped", "hoping", "relation", "relations", "nations", "national", "tie", "ties", "stone", "the"]
+    texts = {f"c{i}": " ".join(rnd.choice(inflected) for _ in range(rnd.randrange(1, 12))) for i in range(60)}
+    queries = {f"q{i}": rnd.choice(["{} {}", "{} or {}", '"{} {}"', "{} -{}", "{}"]).format(rnd.choice(inflected), rnd.choice(inflected)) for i in range(25)}
+    stemmed = lambda t: re.sub("[a-z]+", lambda m: m.group() if m.group() in ("or", "the") else english(m.group()), t)
+
+    def hits(texts, queries, **how):
+        chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, content string")
+        asked = spark.createDataFrame(list(queries.items()), "query_id string, query string")
+        return sorted(tuple(r) for r in ft.keyword_topk(asked, ft.tokenize(chunks, **how), 10, ["query_id"], **how).collect())
+
+    found = hits(texts, queries)
+    assert found == hits({k: stemmed(t) for k, t in texts.items()}, {k: stemmed(t) for k, t in queries.items()}, stem_fn=None) and len(found) > 50
+
+
+def test_titles_by_pieces(spark):
+    rnd = random.Random(5)
+    titles = ["".join(rnd.choice("ab C") for _ in range(rnd.randrange(0, 9))) for _ in range(80)] + [None, "Über Alles", "über"]
+    keys = ["".join(rnd.choice("abc ") for _ in range(rnd.randrange(0, 5))) for _ in range(40)] + ["ÜBER alles here", " "]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(titles)], "chunk_id string, title string")
+    got = {(r.key, r.title) for r in se.titles_like(spark.createDataFrame([(k,) for k in keys], "key string"), chunks).collect()}
+    first = lambda k: " ".join(k.lower().split()[:2])
+    assert got == {(k, t) for k in keys for t in titles if t and first(k) and first(k) in t.lower()}
+
+
 def test_fusion_weights(spark):
     lists = spark.createDataFrame([("q", "x", 1), ("q", "y", 2), ("q", "y", 1), ("q", "z", 2)], "question_id string, chunk_id string, rank int")
     got = se.rrf_fuse(lists, ["question_id"]).orderBy("rank").collect()
