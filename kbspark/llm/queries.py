@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, epsilon_grid, gif, html_extract, langid, licenses, mixing, simhash, suffix_dedup, toxicity
+from kbspark.llm import bpe, epsilon_grid, gif, html_extract, langid, licenses, mixing, periodic_runs, simhash, suffix_dedup, toxicity
 from kbspark.llm.common import held_out, learned_from, read
 
 
@@ -112,8 +112,35 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
 
 
+def planted_periods(text, doc_id) -> F.Column:
+    """The text, with its words from a place on made periodic where 10 divides the crc32 of the id; the id's crc32 chooses place and period."""
+    h = F.crc32(doc_id.cast("string"))
+    g, words = F.floor(h / 10), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words).cast("long")
+    start = g % F.nullif(n, F.lit(0))
+    period = 1 + F.floor((n - start) / (3 + g % 8))
+    place = lambda i: F.when(i < start, i).otherwise(start + (i - start) % period)
+    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int"))), " ")
+    return F.when((h % 10 == 0) & (n > 0), made).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", planted_periods(F.col("text"), F.col("doc_id")).alias("text"))
+    done = periodic_runs.collapse(docs).select("doc_id", "runs", "collapsed", periodic_runs.strongest(F.col("runs")).alias("best"))
+    return done.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op4_html, op5_gif, op6_langid, op7_mixing, op8_toxicity, op9_licenses, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op4_html, op5_gif, op6_langid, op7_mixing, op8_toxicity, op9_licenses, op10_simhash, op12_periodic_runs)}
 
 
 def weight_sql(column: str, table: dict) -> str:
