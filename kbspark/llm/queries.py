@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, epsilon_grid, gif, html_extract, langid, licenses, mixing, periodic_runs, simhash, suffix_dedup, toxicity
+from kbspark.llm import bpe, epsilon_grid, gif, html_extract, langid, licenses, merkle, mixing, periodic_runs, simhash, suffix_dedup, toxicity
 from kbspark.llm.common import held_out, learned_from, read
 
 
@@ -112,6 +112,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sound = merkle.leaf(*columns, F.col("text"))
+    tampered = F.when(held_out(F.col("doc_id")), merkle.leaf(*columns, F.translate("text", upper, upper.lower()))).otherwise(sound)
+    known = merkle.manifest(read(spark, sf_dir, "documents"), "source", "doc_id", sound, {"now": tampered})
+    done = known.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), merkle.fold(F.col("now"), F.col("path")).alias("folded_root"))
+    return done.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def planted_periods(text, doc_id) -> F.Column:
     """The text, with its words from a place on made periodic where 10 divides the crc32 of the id; the id's crc32 chooses place and period."""
     h = F.crc32(doc_id.cast("string"))
@@ -140,7 +150,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op4_html, op5_gif, op6_langid, op7_mixing, op8_toxicity, op9_licenses, op10_simhash, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op4_html, op5_gif, op6_langid, op7_mixing, op8_toxicity, op9_licenses, op10_simhash, op11_merkle, op12_periodic_runs)}
 
 
 def weight_sql(column: str, table: dict) -> str:
@@ -187,4 +197,4 @@ def op7_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": op7_sql(), "op9_licenses": licenses.scan_sql()}
+    return {"op7_mixing": op7_sql(), "op9_licenses": licenses.scan_sql(), "op11_merkle": merkle.sql()}
