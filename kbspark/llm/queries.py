@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, epsilon_grid, gif, html_extract, langid, licenses, merkle, mixing, periodic_runs, simhash, suffix_dedup, toxicity
+from kbspark.llm import bpe, epsilon_grid, gif, html_extract, langid, licenses, merkle, mixing, periodic_runs, rule_quality, simhash, suffix_dedup, toxicity
 from kbspark.llm.common import held_out, learned_from, read
 
 
@@ -149,8 +149,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_quality.fit(docs, read(spark, sf_dir, "labels").where(learned_from(F.col("doc_id"))))
+    done = rule_quality.score(docs, model)
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op4_html, op5_gif, op6_langid, op7_mixing, op8_toxicity, op9_licenses, op10_simhash, op11_merkle, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_epsilon_grid, op3_bpe, op4_html, op5_gif, op6_langid, op7_mixing, op8_toxicity, op9_licenses, op10_simhash, op11_merkle, op12_periodic_runs, op13_quality)}
 
 
 def weight_sql(column: str, table: dict) -> str:
