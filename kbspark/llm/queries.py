@@ -122,20 +122,22 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-def planted_periods(text, doc_id) -> F.Column:
-    """The text, with its words from a place on made periodic where 10 divides the crc32 of the id; the id's crc32 chooses place and period."""
-    h = F.crc32(doc_id.cast("string"))
-    g, words = F.floor(h / 10), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words).cast("long")
-    start = g % F.nullif(n, F.lit(0))
-    period = 1 + F.floor((n - start) / (3 + g % 8))
-    place = lambda i: F.when(i < start, i).otherwise(start + (i - start) % period)
-    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int"))), " ")
-    return F.when((h % 10 == 0) & (n > 0), made).otherwise(text)
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), with the words from a place on made periodic where 10 divides the crc32 of the id; the id's crc32 chooses place and period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    # the words are a column of their own, or each place would split the text again
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words").cast("long"))
+    n, g = F.col("n"), F.col("g")
+    rows = rows.withColumn("start", g % F.nullif(n, F.lit(0)))
+    rows = rows.withColumn("p", 1 + F.floor((n - F.col("start")) / (3 + g % 8)))
+    place = lambda i: F.when(i < F.col("start"), i).otherwise(F.col("start") + (i - F.col("start")) % F.col("p"))
+    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", place(i).cast("int"))), " ")
+    return rows.select("doc_id", F.when(n > 0, made).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", planted_periods(F.col("text"), F.col("doc_id")).alias("text"))
+    docs = planted_periods(read(spark, sf_dir, "documents").select("doc_id", "text"))
     done = periodic_runs.collapse(docs).select("doc_id", "runs", "collapsed", periodic_runs.strongest(F.col("runs")).alias("best"))
     return done.select(
         "doc_id",
