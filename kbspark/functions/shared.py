@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import os
 import shutil
 import tempfile
@@ -28,15 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: The folder of the ``scratch`` that is open, below that of the application.
+_OPEN: contextvars.ContextVar[str] = contextvars.ContextVar("open scratch", default="")
+
+
 def run_folder(spark: SparkSession) -> str:
-    """The folder of this application in the shared one."""
-    return os.path.join(shared_dir(spark), f"tables-{spark.sparkContext.applicationId}")
+    """The folder of this application in the shared one, or that of the open ``scratch`` in it."""
+    return os.path.join(shared_dir(spark), f"tables-{spark.sparkContext.applicationId}", _OPEN.get())
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_written(spark: SparkSession) -> None:
     """Deletes all tables that this application has cut its lineage with; call it when their results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, run_folder(spark))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """For jobs that store their result: the tables that lineage is cut with inside are deleted at the end, after a failure too."""
+    name = os.path.join(_OPEN.get(), f"job-{uuid.uuid4().hex}")
+    token = _OPEN.set(name)
+    try:
+        yield
+    finally:
+        drop_written(spark)
+        _OPEN.reset(token)
 
 
 def batch_rows(spark: SparkSession, rows: int = TEXT_ROWS) -> None:

@@ -835,9 +835,47 @@ def stream_conversation_state(s, d):
 @query(sql(f"select {ORDER} from ({L1}) union all select {ORDER} from ({L2}) union all select {ORDER} from ({L3})", "plain_docs", docs="select * from plain_docs", **STEPS, **FACTS))
 def stream_page_sync(s, d):
     from kbspark.functions.shared import new_folder
-    from kbspark.sources.tables import read_chunks
+    from kbspark.sources.store import read_store
     from kbspark.streaming import jobs
 
     root = new_folder(s, "stream")
     jobs.stream_page_sync(i.plain_docs(s, d, i.stream), f"{root}/store", ch.chunk_pages, f"{root}/sync").trigger(availableNow=True).start().awaitTermination()
-    return read_chunks(s, f"{root}/store").select(ch.COLUMNS)
+    return read_store(s, f"{root}/store").select(ch.COLUMNS)
+
+
+def _page_chunk(pages):
+    return pages.select(F.sha2(F.concat_ws("|", "page_id", F.coalesce("version", F.lit(1)).cast("string")), 256).alias("chunk_id"), "page_id", F.coalesce("version", F.lit(1)).alias("version"), "content")
+
+
+SYNCED = """select sha256(page_id || '|' || coalesce(version, 1)) as chunk_id, page_id, coalesce(version, 1) as version, content from snapshot where page_id not in (select page_id from diff where action = 'skipped')
+  union all select sha256(page_id || '|' || version), page_id, version, content from stored where page_id in (select page_id from diff where action = 'skipped')"""
+
+
+@query(sql(SYNCED, "snapshot", "stored", diff=DIFF))
+def sync_store(s, d):
+    """A full load, then a sync with deletions, as two versions of a store."""
+    from kbspark.functions.shared import new_folder
+    from kbspark.plans.store_sync import sync
+    from kbspark.sources.store import read_store
+
+    store = new_folder(s, "store")
+    for pages in (i.stored(s, d), i.snapshot(s, d)):
+        sync(pages, store, _page_chunk)
+    return read_store(s, store)
+
+
+@query(sql(SYNCED, "snapshot", "stored", diff=DIFF))
+def stream_snapshots(s, d):
+    """The same as a stream of both snapshots with their generations, the second one ended by a row without a page."""
+    from kbspark.functions.shared import new_folder
+    from kbspark.sources.store import read_store
+    from kbspark.streaming import jobs
+
+    root = new_folder(s, "stream")
+    for number, pages in enumerate((i.stored(s, d), i.snapshot(s, d))):
+        rows = pages.select("page_id", "version", "content", F.lit(number).alias("generation"))
+        end = s.createDataFrame([(None, None, None, number)], rows.schema)
+        rows.unionByName(end.where(F.lit(number == 1))).write.mode("append").parquet(f"{root}/pages")
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/pages")
+        jobs.stream_page_sync(stream, f"{root}/store", _page_chunk, f"{root}/sync", generation="generation").trigger(availableNow=True).start().awaitTermination()
+    return read_store(s, f"{root}/store")

@@ -14,44 +14,24 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from kbspark.functions.shared import new_folder
 from kbspark.operators.conversation import TITLE_CHARS
 from kbspark.operators.feedback import POSITIVE, percent
-from kbspark.operators.sync import newest
-from kbspark.sources.tables import BUCKETS, bucket, stored_buckets, write_chunks
+from kbspark.plans.store_sync import merge_batch
+from kbspark.sources.tables import BUCKETS
 
 
-def stream_page_sync(changes: DataFrame, store: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, buckets: int = BUCKETS):
-    """Keeps the chunk table at ``store`` in step with a stream of pages (page_id, version, ...).
+def stream_page_sync(changes: DataFrame, store: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, buckets: int = BUCKETS, generation: str | None = None, max_delete_fraction: float | None = None):
+    """Keeps the store of chunks at ``store`` in step with a stream of pages (page_id, version, ...).
 
-    Each micro-batch takes the newest version of a page; one that is not greater than the stored one is late and ignored. The
-    buckets touched are built in a staging folder and then replaced, and chunk ids are the same
-    for the same page and version, so that a batch that runs twice changes nothing.
+    Each micro-batch takes the newest version of a page; one that is not greater than the stored one is late and ignored. It is one
+    version of the store, which remembers the stream's last batch, so that a batch that runs twice changes nothing. With ``generation``, the number
+    of the snapshot that a row belongs to, pages that a complete snapshot lacks are deleted; see ``merge_batch``.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        pages = newest(rows)
-        known, many = None, buckets
-        if _exists(spark, store):
-            many = stored_buckets(spark, store)
-            # at most as many values as there are buckets; only their folders of the store are read
-            touched = [r.bucket for r in pages.select(bucket(F.col("page_id"), many).alias("bucket")).distinct().collect()]
-            known = spark.read.parquet(store).where(F.col("bucket").isin(touched)).drop("buckets", "bucket")
-            old = known.groupBy("page_id").agg(F.max("version").alias("stored"))
-            pages = pages.join(old, "page_id", "left").where("stored is null or version > stored").drop("stored")
-        fresh = build(pages)
-        if known is not None:
-            fresh = fresh.unionByName(known.join(pages.select("page_id"), "page_id", "left_anti"))
-        staging = os.path.join(checkpoint, "staging", str(number))
-        fresh.write.mode("overwrite").parquet(staging)
-        write_chunks(spark.read.parquet(staging), store, "touched", many)
+        merge_batch(rows, store, build, checkpoint, number, buckets, generation, max_delete_fraction)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(checkpoint, "offsets"))
 
 
-def _exists(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over the input that is there, and gives its result as a table in the shared folder."""
     spark = stream.sparkSession

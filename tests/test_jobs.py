@@ -10,6 +10,7 @@ from kbspark.operators.conversation import build_conversations
 from kbspark.operators.feedback import weekly_positive_rate
 from kbspark.plans.jobs import build_documents, ingest
 from kbspark.sources.tables import flatten_metadata, pack_metadata, read_chunks, read_pages, write_chunks
+from kbspark.sources.store import read_store
 from kbspark.streaming import jobs
 
 
@@ -88,7 +89,7 @@ def test_streamed_sync(spark, tmp_path):
         q = jobs.stream_page_sync(stream, store, chunk_pages, str(tmp_path / f"check{_}")).trigger(availableNow=True).start()
         assert q.awaitTermination(180)
         want = chunk_pages(spark.createDataFrame([*(x for x in first if x[0] != "1"), second[0], second[2]], DOC))
-        got = read_chunks(spark, store)
+        got = read_store(spark, store)
         assert sorted((r.chunk_id, r.content) for r in got.collect()) == sorted((r.chunk_id, r.content) for r in want.collect())
 
 
