@@ -11,6 +11,7 @@ from kbspark.functions.sort import best_k
 from kbspark.functions.stemmer import english
 from kbspark.functions.text import title_key
 from kbspark.operators.fulltext import keyword_topk
+from kbspark.operators.postings import StoredPostings
 from kbspark.operators.vectors import MIN_SCORE, vector_topk
 
 RRF_K = 60
@@ -22,10 +23,11 @@ def rrf_fuse(ranks: DataFrame, keys: list[str], k: int | None = None) -> DataFra
     return best_k(fused, keys, [F.desc("score"), "chunk_id"], k)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int, min_score: float = MIN_SCORE, stem_fn: Callable[[str], str] | None = english) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for queries (query_id, query, embedding): 2k by vector and 2k by words, fused."""
+def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame | StoredPostings, k: int, min_score: float = MIN_SCORE, stem_fn: Callable[[str], str] | None = english) -> DataFrame:
+    """(query_id, chunk_id, score, rank) for queries (query_id, query, embedding): 2k by vector and 2k by words, fused; ``postings`` as a table or a stored index."""
     near = vector_topk(queries, chunks, 2 * k, min_score).select("query_id", "chunk_id", "rank")
-    worded = keyword_topk(queries.select("query_id", "query"), postings, 2 * k, ["query_id"], stem_fn).select("query_id", "chunk_id", "rank")
+    by_words = postings.topk if isinstance(postings, StoredPostings) else lambda *a: keyword_topk(a[0], postings, *a[1:])
+    worded = by_words(queries.select("query_id", "query"), 2 * k, ["query_id"], stem_fn).select("query_id", "chunk_id", "rank")
     return rrf_fuse(near.unionByName(worded), ["query_id"], k)
 
 
