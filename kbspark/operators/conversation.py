@@ -44,27 +44,51 @@ def conversational_reply(messages: DataFrame, text: str = "content") -> DataFram
     return messages.withColumn("reply", reply)
 
 
-def conversation_state(turns: DataFrame) -> DataFrame:
+STATE = "conversation_id string, turn long, last_page string, last_intent string"
+
+
+def state_before(turns: DataFrame, known: DataFrame) -> DataFrame:
+    """(conversation_id, page, intent) of the conversations of ``turns``: the newest of the states ``known`` (conversation_id, turn, last_page, last_intent) from before their first turn."""
+    first = turns.where(~blank(F.col("conversation_id"))).groupBy("conversation_id").agg(F.min("turn").alias("first"))
+    earlier = known.select("conversation_id", F.col("turn").alias("known"), "last_page", "last_intent").join(first, "conversation_id").where(F.col("known") < F.col("first"))
+    newest = earlier.groupBy("conversation_id").agg(F.max_by(F.struct("last_page", "last_intent"), "known").alias("s"))
+    return newest.select("conversation_id", F.col("s.last_page").alias("page"), F.col("s.last_intent").alias("intent"))
+
+
+def state_after(states: DataFrame) -> DataFrame:
+    """(conversation_id, turn, last_page, last_intent) after the last turn of each conversation of a run, to be appended to the table of states."""
+    named = states.where(~blank(F.col("conversation_id")))
+    last = named.groupBy("conversation_id").agg(F.max_by(F.struct("turn", "last_page", "last_intent"), "turn").alias("s"))
+    return last.select("conversation_id", F.col("s.turn").cast("long").alias("turn"), "s.last_page", "s.last_intent")
+
+
+def conversation_state(turns: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Adds target, last_page and last_intent to turns (conversation_id, turn, intent, entities, needs_full_page, is_follow_up).
 
     A turn with an entity sets the page if it wants the full page or is no follow-up; a follow-up with
     an entity sets it only if none is known. So the page before a turn is the last one set in the first way,
-    else the first one set in the second. Turns without a conversation keep no state.
+    else the one known before all turns, else the first one set in the second. Turns without a conversation keep no state. ``known`` has the states
+    (conversation_id, turn, last_page, last_intent) that earlier runs left with ``state_after``; each conversation goes on from the
+    newest one from before its first turn here, so a run can be repeated after later ones.
     """
     key = F.when(~blank(F.col("conversation_id")), F.col("conversation_id")).otherwise(F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
     entity = F.try_element_at("entities", F.lit(1))
     rows = turns.withColumn("__key", key).withColumn("__e", F.when(~blank(entity), entity))
+    if known is None:
+        none = F.lit(None).cast("string")
+        rows = rows.withColumns({"__page": none, "__intent": none})
+    else:
+        rows = rows.join(state_before(turns, known).toDF("__key", "__page", "__intent"), "__key", "left")
     before = Window.partitionBy("__key").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("__key").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     sets = F.when(F.col("needs_full_page") | ~F.col("is_follow_up"), F.col("__e"))
     may_set = F.when(~F.col("needs_full_page") & F.col("is_follow_up"), F.col("__e"))
-    known = F.coalesce(F.last(sets, ignorenulls=True).over(before), F.first(may_set, ignorenulls=True).over(before))
-    rows = rows.withColumn("__known", known)
+    page = lambda w: F.coalesce(F.last(sets, ignorenulls=True).over(w), "__page", F.first(may_set, ignorenulls=True).over(w))
+    rows = rows.withColumn("__known", page(before))
     target = F.when(F.col("needs_full_page") & F.col("__e").isNotNull(), F.col("__e")).when(F.col("is_follow_up"), F.col("__known"))
     rows = rows.withColumn("target", target)
-    page = F.coalesce(F.last(sets, ignorenulls=True).over(upto), F.first(may_set, ignorenulls=True).over(upto))
     intent = F.last(F.when(F.col("target").isNotNull() | F.col("__e").isNotNull(), F.coalesce("intent", F.lit(""))), ignorenulls=True).over(upto)
-    return rows.withColumns({"last_page": page, "last_intent": intent}).drop("__key", "__e", "__known")
+    return rows.withColumns({"last_page": page(upto), "last_intent": F.coalesce(intent, "__intent")}).drop("__key", "__e", "__known", "__page", "__intent")
 
 
 def context_hint(turns: DataFrame) -> DataFrame:

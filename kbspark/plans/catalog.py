@@ -832,6 +832,53 @@ def stream_conversation_state(s, d):
         s.conf.set(store, before)
 
 
+@query(SQL["keyword_topk"])
+def stored_keyword_topk(s, d):
+    """The same search over stored postings, which two updates made: of the chunks before a sync, and of what the sync touched."""
+    from kbspark.functions.shared import new_folder
+    from kbspark.operators.postings import StoredPostings, update_postings
+    from kbspark.plans.store_sync import sync
+
+    store, index = new_folder(s, "store"), new_folder(s, "index")
+    pages = i.chunks(s, d).select("chunk_id", F.col("chunk_id").alias("page_id"), F.lit(2).alias("version"), "content")
+    older = pages.withColumns({"version": F.when(F.col("chunk_id").cast("long") % 50 == 0, 1).otherwise(2), "content": F.when(F.col("chunk_id").cast("long") % 50 == 0, F.concat(F.lit("older "), "content")).otherwise(F.col("content"))})
+    for snapshot in (older, pages):
+        sync(snapshot, store, lambda p: p, buckets=8)
+        update_postings(s, store, index, None, term_buckets=8)
+    found = StoredPostings(s, index).topk(i.queries(s, d), 10, ["query_id"], None)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(SQL["conversation_state"])
+def stream_ordered_state(s, d):
+    """Turns that come in no order: each file of the stream has every third of them by a hash, and later versions of an answer win."""
+    from kbspark.functions.shared import new_folder
+    from kbspark.streaming import jobs
+
+    folder = new_folder(s, "turns")
+    turns = i.turns(s, d).withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("conversation_id").cast("long") * 3600 + F.col("turn") * 60))
+    for part in range(3):
+        turns.where(F.pmod(F.xxhash64("conversation_id", "turn"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(folder)
+    stream = s.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(store)
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # the stream has run to its end when this returns; no turn is as late as ten years
+        return jobs.newest_answers(jobs.run_available(jobs.stream_ordered_state(stream, "at", "3650 days", keep_ms=None), "append"))
+    finally:
+        s.conf.set(store, before)
+
+
+@query(SQL["conversation_state"])
+def resumed_conversation_state(s, d):
+    """Two runs, the second from the states that the first one left: those up to turn 2 of a conversation, then the rest."""
+    turns = i.turns(s, d)
+    columns = ["conversation_id", "turn", "target", "last_page", "last_intent"]
+    first = conv.conversation_state(turns.where("turn <= 2"))
+    second = conv.conversation_state(turns.where("turn > 2"), conv.state_after(first))
+    return first.select(columns).unionByName(second.select(columns))
+
+
 @query(sql(f"select {ORDER} from ({L1}) union all select {ORDER} from ({L2}) union all select {ORDER} from ({L3})", "plain_docs", docs="select * from plain_docs", **STEPS, **FACTS))
 def stream_page_sync(s, d):
     from kbspark.functions.shared import new_folder

@@ -12,7 +12,7 @@ from kbspark.functions.shared import written
 from kbspark.functions.stemmer import english
 from kbspark.operators.assembly import REFLECT_K, REFLECT_ROUNDS, add_title_fallback, build_context, citations, expand_parents, merge_candidates, reflect_merge, reflection_requests, rerank, select_final
 from kbspark.operators.chunking import chunk_pages
-from kbspark.operators.conversation import chat_memory, context_hint, conversation_state, conversational_reply, flag_conversational
+from kbspark.operators.conversation import chat_memory, context_hint, conversation_state, conversational_reply, flag_conversational, state_after
 from kbspark.operators.fulltext import tokenize
 from kbspark.operators.pages import apply_enrichment, drop_boilerplate, drop_empty, page_metadata
 from kbspark.operators.responses import parse_plans, parse_reflections, parse_scores
@@ -61,21 +61,22 @@ def reflect(questions: DataFrame, ranked: DataFrame, responses: DataFrame, vecto
     return found
 
 
-def retrieve(questions: DataFrame, plans: DataFrame, vectors: DataFrame, chunks: DataFrame, scores: DataFrame, reflections: DataFrame, messages: DataFrame | None = None, postings: DataFrame | None = None, k: int = 5, final_k: int = 8, stem_fn: Callable | None = english) -> dict[str, DataFrame]:
+def retrieve(questions: DataFrame, plans: DataFrame, vectors: DataFrame, chunks: DataFrame, scores: DataFrame, reflections: DataFrame, messages: DataFrame | None = None, postings: DataFrame | None = None, known_states: DataFrame | None = None, k: int = 5, final_k: int = 8, stem_fn: Callable | None = english) -> dict[str, DataFrame]:
     """Answers a table of questions: what to say, to search, to rank and to cite.
 
     ``questions`` is (question_id, conversation_id, turn, question). What models said comes as tables: ``plans`` (question_id, response),
     ``vectors`` (question_id, round, query_no, embedding) of the queries, round 0 those of the plan, ``scores`` (question_id, batch_no, response, expected)
     and ``reflections`` (question_id, round, response). Small talk gets a reply and leaves the chain; a plan sets the target page with the
     state of its conversation; the target's blocks and tables, then the search hits, are the candidates; they are reranked, reflected on twice
-    and cut to the final chunks. Gives replies, states (with hints for the planner), candidates, final, context, citations, and with ``messages`` the memory
+    and cut to the final chunks. Conversations go on from
+    ``known_states`` (conversation_id, turn, last_page, last_intent), what earlier runs gave as ``state``. Gives replies, states (with hints for the planner), state, candidates, final, context, citations, and with ``messages`` the memory
     of each. Tables that several steps use are written once; ``postings`` are made if they are not given.
     """
     flagged = flag_conversational(questions, "question")
     replies = conversational_reply(flagged.where("small_talk"), "question").select("question_id", "reply")
     asked = flagged.where("not small_talk").select("question_id", "conversation_id", "turn", "question")
     planned = written(asked.join(parse_plans(asked.select("question_id", "question").join(plans.select("question_id", "response"), "question_id", "left")), "question_id"))
-    states = written(context_hint(conversation_state(planned.select("question_id", "conversation_id", "turn", "intent", "entities", "needs_full_page", "is_follow_up"))))
+    states = written(context_hint(conversation_state(planned.select("question_id", "conversation_id", "turn", "intent", "entities", "needs_full_page", "is_follow_up"), known_states)))
     targets = states.select("question_id", "target")
     postings = written(tokenize(chunks, stem_fn)) if postings is None else postings
     queries = planned.select("question_id", F.posexplode("queries").alias("query_no", "query")).join(vectors.where("round = 0").select("question_id", "query_no", "embedding"), ["question_id", "query_no"], "left")
@@ -90,5 +91,5 @@ def retrieve(questions: DataFrame, plans: DataFrame, vectors: DataFrame, chunks:
     ranked = rerank(scored, parse_scores(scores), final_k)
     found = reflect(asked, ranked, reflections, vectors, chunks, postings, stem_fn=stem_fn)
     final = written(select_final(found, chunks, targets, final_k))
-    out = {"replies": replies, "states": states, "candidates": whole, "final": final, "context": build_context(final, chunks), "citations": citations(final, chunks)}
+    out = {"replies": replies, "states": states, "state": state_after(states), "candidates": whole, "final": final, "context": build_context(final, chunks), "citations": citations(final, chunks)}
     return out | ({"memory": chat_memory(messages)} if messages is not None else {})
