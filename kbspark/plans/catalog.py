@@ -832,6 +832,19 @@ def stream_conversation_state(s, d):
         s.conf.set(store, before)
 
 
+@query()
+def indexed_vector_topk(s, d):
+    """The search over a stored index of codes, whose second half was added without a new fit."""
+    from kbspark.functions.shared import new_folder
+    from kbspark.operators.vector_index import add_vectors, build_index, indexed_topk
+
+    index, chunks = new_folder(s, "vectors"), i.chunks(s, d).select("chunk_id", "embedding")
+    half = F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == 0
+    build_index(chunks.where(half), index)
+    add_vectors(chunks.where(~half), index)
+    return indexed_topk(i.queries(s, d), chunks, index, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(SQL["keyword_topk"])
 def stored_keyword_topk(s, d):
     """The same search over stored postings, which two updates made: of the chunks before a sync, and of what the sync touched."""

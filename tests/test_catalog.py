@@ -42,9 +42,10 @@ def test_twin(spark, db, name):
     assert got == collections.Counter(tuple(plain(v) for v in row) for row in found.fetchall())
 
 
-def test_approximate_search_recall(spark):
+@pytest.mark.parametrize("name", ["approx_vector_topk", "indexed_vector_topk"])
+def test_approximate_search_recall(spark, name):
     exact = {tuple(r)[:2] for r in catalog.QUERIES["vector_topk"](spark, TABLES).collect()}
-    near = {tuple(r)[:2] for r in catalog.QUERIES["approx_vector_topk"](spark, TABLES).collect()}
+    near = {tuple(r)[:2] for r in catalog.QUERIES[name](spark, TABLES).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 
