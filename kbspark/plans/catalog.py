@@ -493,11 +493,12 @@ def merge_candidates(s, d):
     return _merged(s, d)
 
 
-@query(sql("select question_id, chunk_id, cast(row_number() over (partition by question_id order by l, rank, chunk_id) as integer) as pos from (select *, row_number() over (partition by question_id, chunk_id order by l, rank) as n from (select 0 as l, question_id, chunk_id, pos as rank from short union all select 1, question_id, chunk_id, rank from extra)) where n = 1", *LISTS, "targets", "keys", "chunks",
-           merged=MERGED, short="select * from merged where pos <= 2", extra=f"select question_id, chunk_id, 0 as rank from targets join ({LIKE}) on key = target"))
+@query(sql("select question_id, chunk_id, cast(row_number() over (partition by question_id order by l, rank, chunk_id) as integer) as pos from (select *, row_number() over (partition by question_id, chunk_id order by l, rank) as n from (select 0 as l, question_id, chunk_id, pos as rank from short union all select 1, question_id, chunk_id, rank from extra)) where n = 1", "few", "keys", "chunks",
+           short="select question_id, chunk_id, pos from few", targets="select distinct question_id, target from few", counts="select question_id, count(*) as n from few group by question_id",
+           extra=f"select question_id, chunk_id, 0 as rank from targets join counts using (question_id) join ({LIKE}) on key = target where n < 3"))
 def add_title_fallback(s, d):
-    names = i.keys(s, d)
-    return asm.add_title_fallback(_merged(s, d).where("pos <= 2"), i.targets(s, d), se.chunks_by_title(names, i.chunks(s, d)))
+    few, targets = i.few_candidates(s, d)
+    return asm.add_title_fallback(few, targets, se.chunks_by_title(i.keys(s, d), i.chunks(s, d)))
 
 
 @query(sql("select question_id, chunk_id, cast(row_number() over (partition by question_id order by p, chunk_id) as integer) as pos from (select question_id, coalesce(parent, chunk_id) as chunk_id, min(pos) as p from (select m.*, b.chunk_id as parent from merged m join chunks c using (chunk_id) left join chunks b on c.layer = 'L3' and b.layer = 'L2' and b.chunk_id = c.l2_id) group by all)", *LISTS, "chunks", merged=MERGED))
@@ -751,7 +752,7 @@ def embed(s, d):
     return embed(i.read(s, d, "documents").select("doc_id", "text"), "text", letters, "v").drop("text")
 
 
-@query("select doc_id, item_id, cast(len(list_intersect(q, w)) as double) / greatest(1, len(list_distinct(list_concat(q, w)))) as pair_score from (select *, list_distinct(string_split(passage, ' ')) as q, list_distinct(string_split(text, ' ')) as w from (select doc_id, coalesce(d.text, '') as text, item_id, coalesce(b.text, '') as passage from documents d join benchmark b on item_id = doc_id % 40))")
+@query("select doc_id, item_id, cast(len(list_intersect(q, w)) as double) / greatest(1, len(list_distinct(list_concat(q, w)))) as pair_score from (select *, list_distinct(string_split(passage, ' ')) as q, list_distinct(string_split(text, ' ')) as w from (select doc_id, coalesce(d.text, '') as text, item_id, coalesce(b.text, '') as passage from documents d join benchmark b on item_id = doc_id % (select greatest(1, count(*)) from benchmark)))")
 def score_pairs(s, d):
     from kbspark.functions.models import score_pairs
 
@@ -760,7 +761,7 @@ def score_pairs(s, d):
         return [len(a & b) / max(1, len(a | b)) for a, b in sets]
 
     b = i.read(s, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    pairs = i.read(s, d, "documents").select("doc_id", "text").join(b, F.col("doc_id") % 40 == F.col("item_id"))
+    pairs = i.read(s, d, "documents").select("doc_id", "text").join(b, F.col("doc_id") % max(1, b.count()) == F.col("item_id"))
     return score_pairs(pairs, "passage", "text", overlap).select("doc_id", "item_id", "pair_score")
 
 

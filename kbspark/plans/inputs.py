@@ -127,6 +127,16 @@ def candidates(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return best_k(e, ["question_id"], order, None).select("question_id", F.col("vec_id").cast("string").alias("chunk_id"), F.col("rank").cast("long").alias("rank"))
 
 
+def few_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates (question_id, chunk_id, pos) and targets of questions with forty candidates or one: every third block of vectors is a question for each of its vectors."""
+    v, block = F.col("vec_id"), F.floor(F.col("vec_id") / PER_QUESTION)
+    question = F.when(block % 3 == 1, 1_000_000_000 + v).otherwise(block)
+    rows = read(spark, sf_dir, "embeddings").select(question.alias("question_id"), v.cast("string").alias("chunk_id"), (v % PER_QUESTION + 1).cast("int").alias("place"), block.alias("block"))
+    rows = rows.withColumn("pos", F.when(F.col("question_id") == F.col("block"), F.col("place")).otherwise(1))
+    name = F.concat(F.lit("SRC"), (F.col("block") % 20).cast("string"), F.lit(" "), F.floor(F.col("block") * PER_QUESTION / 500).cast("string"))
+    return rows.select("question_id", "chunk_id", "pos"), rows.select("question_id", F.when(F.col("block") % 2 == 0, name).alias("target")).distinct()
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second question has a target page, of a title in its stretch of numbers."""
     e = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / PER_QUESTION).alias("question_id")).distinct()
@@ -159,10 +169,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for each query that a question may have, in three rounds."""
+    """A vector for each query that a question may have, in three rounds, from the whole table, whose ids run from 0."""
     each = questions(spark, sf_dir).select("question_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("round")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("query_no"))
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return each.join(e, (F.col("question_id") + 31 * F.col("round") + 7 * F.col("query_no")) % 400 == e.vec_id).select("question_id", "round", "query_no", "embedding")
+    return each.join(e, (F.col("question_id") + 31 * F.col("round") + 7 * F.col("query_no")) % max(1, e.count()) == e.vec_id).select("question_id", "round", "query_no", "embedding")
 
 
 def question_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,12 +217,14 @@ CTE: dict[str, tuple[list[str], str]] = {
         case when kind in (0, 2) then ['SRC' || (number % 20) || ' 0'] else cast([] as varchar[]) end as entities,
         case kind when 0 then [a || ' or ' || b] when 1 then [a || ' ' || b, b] when 2 then [a || ' -' || b] when 3 then [b] else [question, question || ' details', question || ' overview'] end as queries,
         kind in (0, 3) as needs_full_page, kind in (1, 3) as is_follow_up from questions"""),
-    "question_vectors": (["questions"], "select question_id, round, query_no, embedding from questions, (values (0), (1), (2)) r(round), (values (0), (1), (2)) n(query_no) join embeddings on vec_id = (question_id + 31 * round + 7 * query_no) % 400"),
+    "question_vectors": (["questions"], "select question_id, round, query_no, embedding from questions, (values (0), (1), (2)) r(round), (values (0), (1), (2)) n(query_no) join embeddings on vec_id = (question_id + 31 * round + 7 * query_no) % (select count(*) from embeddings)"),
     "question_scores": (["questions"], "select question_id, batch_no, '0.' || question_id || chr(10) || '0.25' || chr(10) || '80%' as response, 5 as expected from questions, (values (0), (2)) b(batch_no)"),
     "question_reflections": (["questions"], "select question_id, round, case when (number + turn // 2 + round) % 3 < 2 then [b] else cast([] as varchar[]) end as queries from questions, (values (1), (2)) r(round)"),
     "stored": ([], "select cast(doc_id as varchar) as page_id, cast(1 + doc_id % 3 as integer) as version, 'old ' || doc_id as content, source from documents where doc_id % 10 <> 0"),
     "snapshot": ([], "select cast(doc_id as varchar) as page_id, case when doc_id % 11 <> 0 then cast(1 + doc_id % 4 as integer) end as version, 'new ' || doc_id as content, source from documents where doc_id % 7 <> 0"),
     "targets": ([], "select distinct vec_id // 40 as question_id, case when vec_id // 40 % 2 = 0 then 'SRC' || (vec_id // 40 % 20) || ' ' || (vec_id // 40 * 40 // 500) end as target from embeddings"),
+    "few": ([], """select case when vec_id // 40 % 3 = 1 then 1000000000 + vec_id else vec_id // 40 end as question_id, cast(vec_id as varchar) as chunk_id, cast(case when vec_id // 40 % 3 = 1 then 1 else vec_id % 40 + 1 end as integer) as pos,
+        case when vec_id // 40 % 2 = 0 then 'SRC' || (vec_id // 40 % 20) || ' ' || (vec_id // 40 * 40 // 500) end as target from embeddings"""),
     "score_responses": ([], "select vec_id // 40 as question_id, cast(vec_id % 40 * 2 as integer) as batch_no, '0.' || vec_id || chr(10) || '-0.' || label || chr(10) || vec_id || '%' || chr(10) || '1. 0.9' || chr(10) || 'garbage' || chr(10) || '.5' as response, cast(1 + vec_id % 7 as integer) as expected from embeddings"),
 }
 for _name, _order in (("page", "vec_id"), ("table", "vec_id desc"), ("hybrid", "label, vec_id")):
