@@ -39,6 +39,11 @@ def run_folder(spark: SparkSession) -> str:
     return os.path.join(shared_dir(spark), f"tables-{spark.sparkContext.applicationId}", _OPEN.get())
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

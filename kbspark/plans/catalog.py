@@ -833,6 +833,30 @@ def stream_conversation_state(s, d):
         s.conf.set(store, before)
 
 
+@query(SQL["vector_topk"])
+def pruned_vector_topk(s, d):
+    from kbspark.operators.vector_blocks import pruned_vector_topk
+
+    return pruned_vector_topk(i.queries(s, d), i.chunks(s, d), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(SQL["embed"])
+def embed_by_content(s, d):
+    """Every second document, then all of them, whose texts are embedded once."""
+    from kbspark.functions.models import embed_new
+    from kbspark.functions.shared import new_folder
+
+    known = new_folder(s, "vectors")
+
+    def letters(texts):
+        low = [t.lower() for t in texts]
+        return [[t.count(x) for x in SIGNS] for t in low]
+
+    docs = i.read(s, d, "documents").select("doc_id", "text")
+    embed_new(docs.where("doc_id % 2 = 0"), "text", letters, known, name="v")
+    return embed_new(docs, "text", letters, known, name="v").drop("text")
+
+
 @query()
 def indexed_vector_topk(s, d):
     """The search over a stored index of codes, whose second half was added without a new fit."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.functions.models import embed
+from kbspark.functions.models import embed, embed_new
 from kbspark.functions.shared import written
 from kbspark.functions.stemmer import english
 from kbspark.operators.assembly import REFLECT_K, REFLECT_ROUNDS, add_title_fallback, build_context, citations, expand_parents, merge_candidates, reflect_merge, reflection_requests, rerank, select_final
@@ -29,10 +29,12 @@ def build_documents(pages: DataFrame, base_url: str, space_key: str, enrichments
     return written(docs.select("page_id", "title", "space_key", "url", "version", "last_modified", "breadcrumb", "content"))
 
 
-def ingest(pages: DataFrame, base_url: str, space_key: str, enrichments: DataFrame | None = None, embed_fn: Callable | None = None) -> DataFrame:
-    """The chunk table of raw pages, with vectors if there is a function for them."""
+def ingest(pages: DataFrame, base_url: str, space_key: str, enrichments: DataFrame | None = None, embed_fn: Callable | None = None, known_vectors: str | None = None) -> DataFrame:
+    """The chunk table of raw pages, with vectors if there is a function for them; with ``known_vectors``, a table by content, only texts never seen are embedded."""
     chunks = chunk_pages(build_documents(pages, base_url, space_key, enrichments))
-    return embed(chunks, "content", embed_fn) if embed_fn else chunks
+    if embed_fn is None:
+        return chunks
+    return embed_new(chunks, "content", embed_fn, known_vectors) if known_vectors else embed(chunks, "content", embed_fn)
 
 
 def search_questions(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int, stem_fn: Callable | None = english) -> DataFrame:
