@@ -1,6 +1,7 @@
 """Turns out of order, and states that go on in later runs, against one batch over all turns."""
 
 import datetime
+import os
 import random
 
 import pytest
@@ -96,3 +97,23 @@ def test_turns_without_a_conversation_have_no_state(spark):
     assert {r.turn: (r.target, r.last_intent) for r in done.collect()} == {1: (None, None), 2: (None, None), 3: ("B", "i")}
     assert [tuple(r) for r in conv.state_after(done).collect()] == [("c", 3, "B", "i")] and "__key" not in done.columns
     assert conv.state_after(done.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_two_halves_of_retrieve_equal_one_run(spark):
+    """The second half of the turns, answered from the states that the first one left."""
+    from kbspark.plans import inputs as i
+    from kbspark.plans.jobs import retrieve
+
+    tables = "/root/testdata/sf0.001"
+    asked, chunks = i.questions(spark, tables), i.chunks(spark, tables)
+
+    def run(q, known=None):
+        out = retrieve(q.select("question_id", "conversation_id", "turn", "question"), q.select("question_id", "response"), i.question_vectors(spark, tables), chunks, i.question_scores(spark, tables), i.question_reflections(spark, tables), known_states=known, stem_fn=None)
+        return sorted(map(tuple, out["final"].collect())), out["state"]
+
+    whole, state = run(asked)
+    first, known = run(asked.where("turn <= 2"))
+    second, last = run(asked.where("turn > 2"), known)
+    assert sorted(first + second) == whole and len(second) > 10
+    assert {tuple(r) for r in last.collect()} <= {tuple(r) for r in state.collect()}
