@@ -4,7 +4,7 @@ A text is cut into sentences at marks (one of ``. ! ? ; :``) before white space,
 line ends inside a sentence only part words, so wrapped licences and comment leaders do not matter. Sentences are normalised (lower-case letters,
 digits and plus signs, one space between words), and known licence sentences get their identifier. A sentence over
 several lines that is not known as a whole is also looked up line by line, as notices often stand on a line without a mark before it. Known are the sentences
-of ``SENTENCES``, identifiers of ``LICENSES`` after an SPDX tag, and notices (``this project is licensed under the ... license``) that name one of ``LICENSES``. A rule is an
+of ``SENTENCES``, some with any owner's name in a slot, identifiers of ``LICENSES`` after an SPDX tag, and notices (``this project is licensed under the ... license``) that name one of ``LICENSES``. A rule is an
 ordered list of identifiers; it matches where they follow each other in the document's sequence of known
 sentences, whatever other sentences lie between. A place that a longer rule takes does not count for rules that it contains.
 All is DataFrame code on each row alone: no shuffle.
@@ -170,6 +170,13 @@ TEXTS = [
     ("wtfpl-text", "WTFPL", ["wtfpl-terms"]),
     ("zlib-text", "Zlib", ["zlib-as-is", "zlib-grant", "zlib-origin"]),
 ]
+#: Sentences with a slot: their beginning, how they read with any owner's name in the slot, and how they are known. An owner whose name
+#: ends a sentence, as one with ``Inc.``, leaves only what comes after the name.
+CONTRIBUTORS = "nor the names? of (?:(?:its|the|their|any|other|any other) )?contributors may be used"
+SLOTS = [
+    ("neither the name", f"^neither the names? of [a-z0-9+ ]{{1,300}}? {CONTRIBUTORS}", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    ("nor the name", f"^{CONTRIBUTORS}", "neither the name of the copyright holder nor the names of its contributors may be used"),
+]
 #: How a notice reads around the licence's name, when normalised.
 NOTICE = r"^(?:(?:this|the) (?:work|project|program|software|library|package|code|source code|file|document|content|text|site) is |it is )?(?:released|licensed|distributed|available|made available|published|provided) under (?:the terms of )?(?:the |an? )?(.+?)(?: licen[cs]e)?$"
 #: Where sentences end, and what separates the words of a normalised one; two signs that texts do not have.
@@ -230,6 +237,8 @@ def identified(text: Column) -> Column:
     whole, notices = table(exact), table({name: f"notice:{i}" for name, i in called.items()})
 
     def known(s: Column) -> Column:
+        for begin, pattern, filled in SLOTS:
+            s = F.when(F.startswith(s, F.lit(begin)), F.regexp_replace(s, pattern, filled)).otherwise(s)
         name = F.when(F.contains(s, F.lit(" under ")), F.regexp_extract(s, NOTICE, 1))
         name = F.when(F.length(name) <= longest, name)
         return F.coalesce(F.when(s.isin(list(exact)), F.try_element_at(whole, s)), F.when(name.isin(list(called)), F.try_element_at(notices, name)))
@@ -271,6 +280,9 @@ def scan_sql() -> str:
     line = "line"
     for k in range(deep):
         line = f"replace({line}, o{k}, t{k})"
+    slots = "s"
+    for begin, pattern, filled in SLOTS:
+        slots = f"case when starts_with({slots}, '{begin}') then regexp_replace({slots}, '{pattern}', '{filled}') else {slots} end"
     return f"""
     with cut as (
       select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '{SENTENCE_END}', chr(1), 'g'), '[^a-z0-9+\\x01\\n]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(2), 'g'), chr(1)) as parts
@@ -279,7 +291,7 @@ def scan_sql() -> str:
     whole(sentence, id) as (values {quoted([*((s, i) for i, s in SENTENCES.items()), *((n, f"name:{i}") for n, i in called.items())])}), called(name, license) as (values {quoted(called.items())}),
     named as (
       select distinct s, coalesce(w.id, 'notice:' || c.license) as id from (select distinct unnest(list_concat([replace(s, chr(2), ' ')], list_transform(string_split(s, chr(2)), lambda x: trim(x)))) as s from sentences)
-      left join whole w on w.sentence = s left join called c on c.name = regexp_extract(s, '{NOTICE}', 1) where w.id is not null or c.license is not null
+      left join whole w on w.sentence = {slots} left join called c on c.name = regexp_extract(s, '{NOTICE}', 1) where w.id is not null or c.license is not null
     ), joined as (select doc_id, no, sentences.s, n.id from sentences left join named n on n.s = replace(sentences.s, chr(2), ' ')),
     found as (
       select doc_id, no, 0 as k, id from joined where id is not null

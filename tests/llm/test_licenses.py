@@ -42,6 +42,7 @@ BSD3 = BSD2 + """
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.
 """
+OWNED = [BSD3.replace("the copyright holder", name).replace("its", own) for name, own in (("Google Inc.", "its"), ("the University of California, Berkeley", "its"), ("the\n   Example 3 Project", "their"), ("ACME Corp", "its"))]
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -70,8 +71,14 @@ def plain(text):
     low = "".join(c.lower() if c.isascii() else c for c in text or "")
     words = lambda s: " ".join(re.findall("[a-z0-9+]+", s))
     exact = {s: i for i, s in licenses.SENTENCES.items()} | {n: f"name:{i}" for n, i in licenses.names().items()}
+    exact_names = licenses.SENTENCES["bsd-names"]
 
     def known(s):
+        # any owner in the third clause, or none where the name ended a sentence
+        head, between, tail = s.partition("nor the name")
+        whose = re.sub("^s? of ((its|the|their|any|other|any other) )?contributors", "s of its contributors", tail)
+        if between and (not head or head.startswith(("neither the name of ", "neither the names of "))):
+            s = exact_names if f"neither the name of the copyright holder nor the name{whose}" == exact_names else s
         m = re.match(licenses.NOTICE, s)
         return exact.get(s) or (f"notice:{licenses.names()[m.group(1)]}" if m and m.group(1) in licenses.names() else None)
 
@@ -102,10 +109,17 @@ def texts():
     pieces = [*licenses.SENTENCES.values(), "other words", "x", "", "Released under the MIT License", "All Rights  Reserved!", "this software is distributed under the terms of the GPLv3 license", "spdx-license-identifier: isc"]
     out = ["".join(rnd.choice(pieces).capitalize() + rnd.choice([".\n", ". ", "\n", "\n\n", ": ", ".", "; "]) for _ in range(rnd.randrange(12))) for _ in range(150)]
     out += ["SPDX-License-Identifier: MIT\nfoo\nYou may not.\nSPDX-License-Identifier:\tApache-2.0", None, "", "", "This work is licensed under the GNU General Public License, version 3.", "a line without a mark\nReleased under the MIT License.\nmore"]
-    out += [f(t) for t in (MIT, BSD2, BSD3, APACHE, GPL3, LGPL21, BSD3 + MIT + BSD2) for f in (str, lambda t: commented(t, " * "), lambda t: commented(t, "// "), lambda t: textwrap.fill(t, 40), lambda t: t.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n"))]
+    out += [f(t) for t in (MIT, BSD2, BSD3, *OWNED, APACHE, GPL3, LGPL21, BSD3 + MIT + BSD2) for f in (str, lambda t: commented(t, " * "), lambda t: commented(t, "// "), lambda t: textwrap.fill(t, 40), lambda t: t.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n"))]
     return [*out, "no licence here. " * 30_000 + "\nReleased under the MIT License."]
 
 
+def test_owners_in_the_slot(spark):
+    """A text of three clauses is never one of two, whoever owns it."""
+    rows = [(i, t) for i, t in enumerate([*OWNED, *(textwrap.fill(t, 50) for t in OWNED), *(commented(t, "# ") for t in OWNED)])]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in out) == [(i, "BSD-3-Clause") for i, _ in rows]
+
+
 def test_the_usual_texts():
     assert licences(MIT) == licences(commented(MIT, "# ")) == ["MIT"]
     assert licences(BSD2) == ["BSD-2-Clause"] and licences(BSD3) == ["BSD-3-Clause"]
