@@ -1,28 +1,23 @@
-"""Wiki storage HTML to Markdown-like text, page by page; the helper of ``sources.html``.
+"""Wiki storage HTML to elements in page order; the helper of ``sources.html``, which gives them their form.
 
-Elements are read in order. Headings, paragraphs, lists, tables, code and notice boxes have their own form; structure
-elements are entered; navigation, scripts and styles are skipped; any other element gives its text as a line.
-Text that stands directly in a structure element is dropped.
+Structure elements are entered; navigation, scripts and styles are skipped; text that stands directly in a structure
+element is dropped. Tags that close nothing cost no walk through the open elements.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-IN_HEAD = {"title", "meta", "link", "script", "style", "base"}
+IN_HEAD, ENTERED, SKIPPED = {"title", "meta", "link", "script", "style", "base"}, {"tbody", "thead", "section", "article", "main"}, {"nav", "script", "style", "meta"}
 #: Open elements that a start tag ends, up to the nearest boundary.
 ENDED_BY = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "thead": ({"tr", "td", "th"}, {"table"})}
-#: Image endings, and the labels of notice boxes in the order in which they are looked for.
-IMAGE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg"}
+#: Fixed value: the class of notice boxes; other ``div`` elements are entered.
 NOTICE_CLASS = "confluence-information-macro"
-NOTICES = [("warning", "WARNING"), ("tip", "TIP"), ("note", "NOTE"), ("info", "INFO")]
-DIAGRAM_NAME, DIAGRAM_TEXT = "Draw.io Diagram", "This diagram contains the following elements: "
-#: Marks around code, the heading of diagrams, and the name of a diagram given as text.
-CODE_BEGIN, CODE_END, DIAGRAMS, TEXT_DIAGRAM = "[CODE BLOCK]", "[END CODE BLOCK]", "## Diagrams", "PlantUML Flow"
 
 
 class Element:
@@ -35,7 +30,7 @@ class Element:
         return [c for c in self.children if isinstance(c, Element)]
 
     def all(self, *tags: str):
-        out, todo = [], list(reversed(self.elements()))
+        out, todo = [], self.elements()[::-1]
         while todo:
             e = todo.pop()
             if e.tag in tags:
@@ -51,15 +46,12 @@ class Element:
             node, keep = todo.pop()
             if isinstance(node, str):
                 out.append(node if keep else re.sub(r"[ \t\n\f\r]+", " ", node))
-                continue
-            if node.tag in ("script", "style"):
-                continue
-            keep = keep or node.tag == "pre"
-            if node.tag == "br" or (node.tag in BLOCKS and out):
-                out.append("\n" if keep and node.tag == "br" else "\u0000")
-            for child in reversed([*node.children, *(["\u0000"] if node.tag in BLOCKS else [])]):
-                todo.append((child, keep))
-        text = re.sub(r"[ \u0000]*\u0000[ \u0000]*", " ", "".join(out))
+            elif node.tag not in ("script", "style"):
+                keep = keep or node.tag == "pre"
+                if node.tag == "br" or (node.tag in BLOCKS and out):
+                    out.append("\n" if keep and node.tag == "br" else "\u0000")
+                todo += [(child, keep) for child in reversed([*node.children, *(["\u0000"] if node.tag in BLOCKS else [])])]
+        text = re.sub(r" *\u0000[ \u0000]*", " ", "".join(out))
         return re.sub(r"(?<=\S) {2,}(?=\S)", " ", text).strip(" \t\n\f\r") if self.tag != "pre" else text.strip()
 
 
@@ -68,51 +60,48 @@ class Builder(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.body = Element("body", {})
-        self.open = [self.body]
-        self.head = True
+        self.body, self.head = Element("body", {}), True
+        self.open, self.names = [self.body], Counter()
+
+    def close_from(self, at: int) -> None:
+        self.names.subtract(e.tag for e in self.open[at:])
+        del self.open[at:]
+
+    def outermost(self, ended, stop) -> int:
+        """The place of the outermost open element named in ``ended`` above the nearest boundary; behind all if there is none."""
+        left, last = sum(self.names[t] for t in ended), len(self.open)
+        for i in range(len(self.open) - 1, 0, -1):
+            if not left or self.open[i].tag in stop:
+                break
+            if self.open[i].tag in ended:
+                left, last = left - 1, i
+        return last
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body", "head"):
             self.head = self.head and tag != "body"
             return
-        if tag not in IN_HEAD:
-            self.head = False
+        self.head = self.head and tag in IN_HEAD
         if tag in BLOCKS:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag == "p":
-                    del self.open[i:]
-                    break
-                if self.open[i].tag in BLOCKS:
-                    break
+            self.close_from(self.outermost({"p"}, BLOCKS - {"p"}))
         if tag in ENDED_BY:
-            ended, stop = ENDED_BY[tag]
-            last = None
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in stop:
-                    break
-                if self.open[i].tag in ended:
-                    last = i
-            if last is not None:
-                del self.open[last:]
+            self.close_from(self.outermost(*ENDED_BY[tag]))
         e = Element(tag, {k: v or "" for k, v in attrs})
         if not self.head:
             self.open[-1].children.append(e)
         if tag not in VOID:
             self.open.append(e)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self.close_from(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if tag == "head":
-            self.head = False
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                break
+        self.head = self.head and tag != "head"
+        if self.names[tag]:
+            self.close_from(next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag))
 
     def handle_data(self, data):
         if data.strip() and self.head and self.open[-1] is self.body:
@@ -120,126 +109,40 @@ class Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def parse(page: str) -> Element:
+def parse(page: str | None) -> Element:
     builder = Builder()
-    builder.feed(re.sub(r"<!\[CDATA\[(.*?)\]\]>", lambda m: entities.escape(m.group(1), quote=False), page, flags=re.S))
+    builder.feed(re.sub(r"<!\[CDATA\[(.*?)\]\]>", lambda m: entities.escape(m.group(1), quote=False), page or "", flags=re.S))
     builder.close()
     return builder.body
 
 
-def _row(cells: list[str]) -> str:
-    return "| " + " | ".join(cells) + " |\n"
-
-
-def _table(table: Element) -> str:
-    rows = table.all("tr")
-    head = [c.text() for c in rows[0].all("th")] or [c.text() for c in rows[0].all("td")] if rows else []
-    out = ["\n", _row(head) + _row(["---"] * len(head)) if head else ""]
-    for i, row in enumerate(rows):
-        cells = [c.text() for c in row.all("td")]
-        if not cells or (i == 0 and row.all("th")):
-            continue
-        out.append(_row(cells))
-        pairs = [f"{h}: {c}" for h, c in zip(head, cells) if c]
-        if pairs:
-            out.append("→ " + " | ".join(pairs) + "\n")
-    return "".join(out) + "\n"
-
-
-def _list(e: Element) -> str:
-    items = [t for t in (c.text() for c in e.elements() if c.tag == "li") if t]
-    marks = [f"{i}. " if e.tag == "ol" else "- " for i in range(1, len(items) + 1)]
-    return "\n" + "".join(f"{m}{t}\n" for m, t in zip(marks, items, strict=True)) + "\n"
-
-
-def _form(e: Element) -> str | None:
-    """An element's text in its form; None if it is to be entered."""
-    tag = e.tag
-    if tag in ("nav", "script", "style", "meta"):
-        return ""
-    if tag == "table":
-        return _table(e)
-    if tag in ("ul", "ol"):
-        return _list(e)
-    if tag in ("tbody", "thead", "section", "article", "main"):
-        return None
-    name = e.attrs.get("class", "")
-    if tag == "div" and NOTICE_CLASS not in name:
-        return None
-    text = e.text()
-    if not text:
-        return ""
-    if re.fullmatch("h[1-6]", tag):
-        return f"\n{'#' * int(tag[1])} {text}\n\n"
-    if tag in ("pre", "code"):
-        return f"\n{CODE_BEGIN}\n{text}\n{CODE_END}\n\n"
-    if tag == "p":
-        return f"{text}\n\n"
-    if tag == "div":
-        return f"\n[{next(label for word, label in NOTICES if word in name)}] {text}\n\n"
-    return f"{text}\n"
-
-
-def body_text(body: Element) -> str:
-    out, todo = [], list(reversed(body.elements()))
+def elements(body: Element) -> list[dict]:
+    """(tag, name, text, rows) of the elements with a form: ``name`` is the class, ``rows`` are those of a table or the items of a list."""
+    out, todo = [], body.elements()[::-1]
     while todo:
         e = todo.pop()
-        form = _form(e)
-        if form is None:
+        name = e.attrs.get("class", "")
+        if e.tag in ENTERED or (e.tag == "div" and NOTICE_CLASS not in name):
             todo += reversed(e.elements())
-        else:
-            out.append(form)
-    return "".join(out)
-
-
-def _macros(body: Element, name: str) -> list[Element]:
-    return [m for m in body.all("ac:structured-macro") if m.attrs.get("ac:name") == name]
-
-
-def _parameter(macro: Element, name: str) -> str:
-    return " ".join(p.text() for p in macro.all("ac:parameter") if p.attrs.get("ac:name") == name).strip()
-
-
-def _plain_body(macro: Element) -> str:
-    return "\n".join("".join(c for c in b.children if isinstance(c, str)).strip() for b in macro.all("ac:plain-text-body")).strip()
+        elif e.tag in ("table", "ul", "ol"):
+            found = e.all("tr") if e.tag == "table" else [c for c in e.elements() if c.tag == "li"]
+            rows = [{"th": [c.text() for c in r.all("th")], "td": [c.text() for c in r.all("td")]} if e.tag == "table" else {"th": [], "td": [r.text()]} for r in found]
+            out.append({"tag": e.tag, "name": name, "text": "", "rows": rows})
+        elif e.tag not in SKIPPED:
+            out.append({"tag": e.tag, "name": name, "text": e.text(), "rows": []})
+    return out
 
 
-def diagrams(body: Element) -> list[str]:
-    """Texts of diagrams whose source is in the page."""
+def macros(body: Element) -> list[dict]:
+    """(name, text, parameters, cells) of macros: their plain text, and the values of diagram cells in it."""
     out = []
-    for macro in _macros(body, "drawio"):
-        values = (entities.unescape(v).strip() for v in re.findall(r"<mxCell\b[^>]*?\bvalue=\"([^\"]*)\"", _plain_body(macro)))
-        labels = [v for v in values if len(v) > 1 and not v.startswith("<")]
-        if labels:
-            out.append(f"[DIAGRAM: {_parameter(macro, 'diagramName') or DIAGRAM_NAME}]\n{DIAGRAM_TEXT}{', '.join(labels)}")
-    for macro in _macros(body, "plantuml"):
-        text = _plain_body(macro)
-        if text:
-            out.append(f"[DIAGRAM: {TEXT_DIAGRAM}]\n{text}")
+    for m in body.all("ac:structured-macro"):
+        text = "\n".join("".join(c for c in b.children if isinstance(c, str)).strip() for b in m.all("ac:plain-text-body")).strip()
+        cells = [entities.unescape(v).strip() for v in re.findall(r"<mxCell\b[^>]*?\bvalue=\"([^\"]*)\"", text)]
+        out.append({"name": m.attrs.get("ac:name", ""), "text": text, "parameters": [{"name": p.attrs.get("ac:name", ""), "text": p.text()} for p in m.all("ac:parameter")], "cells": cells})
     return out
 
 
-def attachments(body: Element) -> list[tuple[str, str]]:
-    """(kind, file name) of pictures that need a description from elsewhere."""
-    out = []
-    for image in body.all("ac:image"):
-        name = next((a.attrs.get("ri:filename", "") for a in image.all("ri:attachment")), "")
-        if "." in name and name.rsplit(".", 1)[1].lower() in IMAGE_ENDINGS:
-            out.append(("image", name))
-    return out + [("gliffy", f"{n}.png") for n in (_parameter(m, "name") for m in _macros(body, "gliffy")) if n]
-
-
-def tidy(text: str) -> str:
-    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text))
-    return re.sub(r"(?m)^[ \t]+", "", text).strip("".join(map(chr, range(33))))
-
-
-def page_text(page: str | None) -> str:
-    """The whole text of a page, its diagrams at the end; empty for a null or blank page."""
-    if page is None or not page.strip():
-        return ""
-    body = parse(page)
-    text, found = body_text(body), diagrams(body)
-    if found:
-        text += f"\n\n{DIAGRAMS}\n\n" + "".join(f"{d}\n\n" for d in found)
-    return tidy(text)
+def images(body: Element) -> list[str]:
+    """File names of pictures."""
+    return [next((a.attrs.get("ri:filename", "") for a in i.all("ri:attachment")), "") for i in body.all("ac:image")]

@@ -1,6 +1,9 @@
+import time
+
 import pytest
 
-from kbspark.functions.html import attachments, page_text, parse
+from kbspark.functions.html import elements, parse
+from kbspark.sources.html import extract_attachments, html_to_text
 
 CASES = [
     ("<h1>A</h1><h3> B  c </h3><h6></h6>", "# A\n\n### B c"),
@@ -23,12 +26,17 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("page, text", CASES)
-def test_forms(page, text):
-    assert page_text(page) == text
+def texts(spark, *pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    return [r.content for r in html_to_text(df).orderBy("page_id").collect()]
+
+
+def test_forms(spark):
+    assert texts(spark, *(p for p, _ in CASES)) == [t for _, t in CASES]
 
 
-def test_tables():
+def test_tables(spark):
+    page_text = lambda p: texts(spark, p)[0]
     page = "<table><tr><th>Source App</th><th>Data Provided</th><th>Frequency</th></tr><tr><td>MPF</td><td>Mortgage data</td><td>Daily</td></tr><tr><td>CRS</td><td>Collateral records</td><td>Weekly</td></tr></table>"
     assert page_text(page).split("\n") == [
         "| Source App | Data Provided | Frequency |",
@@ -48,16 +56,34 @@ DRAWIO = '<ac:structured-macro ac:name="drawio"><ac:parameter ac:name="diagramNa
 UML = '<ac:structured-macro ac:name="plantuml"><ac:plain-text-body><![CDATA[A -> B\nB -> C]]></ac:plain-text-body></ac:structured-macro>'
 
 
-def test_diagrams():
+def test_diagrams(spark):
+    page_text = lambda p: texts(spark, p)[0]
     assert page_text(f"<p>t</p>{DRAWIO}").endswith("## Diagrams\n\n[DIAGRAM: My Flow]\nThis diagram contains the following elements: Start, End")
     assert page_text(UML).endswith("## Diagrams\n\n[DIAGRAM: PlantUML Flow]\nA -> B\nB -> C")
     page = '<ac:image><ri:attachment ri:filename="flow.PNG"/></ac:image><ac:image><ri:attachment ri:filename="a.txt"/></ac:image><ac:structured-macro ac:name="gliffy"><ac:parameter ac:name="name">g</ac:parameter></ac:structured-macro>'
-    assert attachments(parse(page)) == [("image", "flow.PNG"), ("gliffy", "g.png")]
+    rows = spark.createDataFrame([(7, page), (8, None), (9, page + page)], "page_id int, html string")
+    found = [(7, "image", "flow.PNG"), (7, "gliffy", "g.png")] + [(9, "gliffy", "g.png")] * 2 + [(9, "image", "flow.PNG")] * 2
+    assert sorted(map(tuple, extract_attachments(rows).collect())) == sorted(found)
+    # drawn diagrams come first, whatever their order; one without labels is none
+    assert [x for x in page_text(UML + DRAWIO.replace("diagramName", "other") + DRAWIO.replace("value", "v")).split("\n") if x.startswith("[DIAGRAM")] == ["[DIAGRAM: Draw.io Diagram]", "[DIAGRAM: PlantUML Flow]"]
 
 
 def test_columns(spark):
-    from kbspark.sources.html import extract_attachments, html_to_text
-
     df = spark.createDataFrame([(1, "<p>a</p>", "x"), (2, None, None), (2, "", "y")], "page_id int, html string, content string")
     assert sorted(tuple(r) for r in html_to_text(df).collect()) == [(1, "a"), (2, ""), (2, "")]
     assert extract_attachments(df).count() == 0 and html_to_text(df.limit(0)).count() == 0
+
+
+def test_elements():
+    assert elements(parse('<h2 class="k">A</h2><ol><li>x</ol><table><tr><th>h<td>d</table>')) == [
+        {"tag": "h2", "name": "k", "text": "A", "rows": []},
+        {"tag": "ol", "name": "", "text": "", "rows": [{"th": [], "td": ["x"]}]},
+        {"tag": "table", "name": "", "text": "", "rows": [{"th": ["h"], "td": ["d"]}]},
+    ]
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000, "<b>" * 100_000 + "<p>x" * 100_000, "<i>" * 100_000 + "<td>x" * 100_000])
+def test_tags_that_close_nothing_take_linear_time(page):
+    start = time.time()
+    parse(page)
+    assert time.time() - start < 8
