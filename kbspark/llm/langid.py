@@ -9,8 +9,8 @@ Texts are lower-cased; each run of other characters counts as one gap between wo
 a text without a letter get the language ``und`` and score 0; so does every text if nothing was
 learned. Languages with equal cosine go to the first by name. Rows repeat as they are given, an empty
 table gives an empty table, and output columns replace input columns of the same name.
-A very long text is a pass of its own, with
-some 50 bytes a letter.
+A very long text is a pass of its own: some 80 bytes
+a letter for its trigrams, while their vectors are bound and added some 4,000 at a time, however many differ.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from kbspark.llm.common import batch_rows, replace_columns, schema_with, slices
 DIMENSIONS = 512
 #: Bytes of text bundled at once: few enough that the trigrams of a pass stay a small table.
 PASS_BYTES = 256 << 10
+#: Distinct trigrams whose vectors are held at once.
+PASS_TRIGRAMS = 4_096
 BITS = 21
 
 
@@ -65,12 +67,31 @@ def bind(codes: np.ndarray, dimensions: int) -> np.ndarray:
     return np.roll(table, 2, axis=1)[first] * np.roll(table, 1, axis=1)[second] * table[third]
 
 
+def add_up(row: np.ndarray, code: np.ndarray, many: int, dimensions: int, step: int = PASS_TRIGRAMS) -> np.ndarray:
+    """The sums of the trigram vectors of ``many`` rows; ``row`` and ``code`` as from ``trigrams``."""
+    out = np.zeros((many, dimensions))
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    cuts = [*new[::step].tolist(), len(code)]
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        known, at = np.unique(code[begin:end], return_inverse=True)
+        some, owner = np.unique(row[begin:end], return_inverse=True)
+        vectors = bind(known, dimensions).astype(np.float32)
+        wide = max(1, (4 << 20) // len(known))  # rows whose counts are held at once
+        at, owner = at.reshape(-1), owner.reshape(-1)
+        by_owner = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[by_owner], np.arange(0, len(some) + wide, wide))
+        for k, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            n = min(wide, len(some) - k * wide)
+            mine = by_owner[x:y]
+            counts = np.bincount((owner[mine] - k * wide) * len(known) + at[mine], minlength=n * len(known)).reshape(n, -1)
+            out[some[k * wide : k * wide + n]] += counts.astype(np.float32) @ vectors
+    return out
+
+
 def bundle(texts: list[str | None], dimensions: int) -> np.ndarray:
-    row, code = trigrams(texts)
-    known, at = np.unique(code, return_inverse=True)
-    counts = np.zeros((len(texts), len(known)), dtype=np.float32)
-    np.add.at(counts, (row, at.reshape(-1)), 1)
-    return counts @ bind(known, dimensions).astype(np.float32)
+    return add_up(*trigrams(texts), len(texts), dimensions)
 
 
 def profiles(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
@@ -84,10 +105,8 @@ def profiles(df: DataFrame, text: str = "text", lang: str = "lang", dimensions:
                 langs = batch.column(lang).to_pylist()
                 names = sorted({x for x in langs if x is not None})
                 number = np.array([names.index(x) if x is not None else len(names) for x in langs], dtype=np.int64)
-                known, at = np.unique(code, return_inverse=True)
-                counts = np.bincount(number[row] * len(known) + at.reshape(-1), minlength=(len(names) + 1) * len(known)).reshape(len(names) + 1, -1)
-                vectors = counts[:-1].astype(np.float64) @ bind(known, dimensions).astype(np.float64)
-                for name, v in zip(names, vectors, strict=True):
+                vectors = add_up(number[row], code, len(names) + 1, dimensions)
+                for name, v in zip(names, vectors[:-1], strict=True):
                     sums[name] = sums.get(name, 0) + v
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[n].tolist() for n in names], pa.list_(pa.float64()))], names=["lang", "vector"])

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -39,3 +40,24 @@ def test_nulls_empty_and_clashing_columns(spark):
     assert out == [(1, "und", False), (2, "und", False), (2, "und", False), (3, "en", True), (3, "en", True), (4, "en", True)]
     assert {r.lang_pred for r in langid.predict(df, {}).collect()} == {"und"}
     assert langid.predict(df.limit(0), known).count() == 0 and langid.profiles(df.limit(0)) == {}
+
+
+def test_trigrams_are_added_in_passes():
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randrange(97, 123)) for _ in range(rng.randrange(0, 60))) for _ in range(50)] + [None, ""]
+    row, code = langid.trigrams(texts)
+    want = np.zeros((len(texts), 64))
+    np.add.at(want, row, langid.bind(code, 64))
+    for step in (1, 7, 10_000):
+        assert (langid.add_up(row, code, len(texts), 64, step) == want).all()
+
+
+def test_memory_of_a_long_text_of_many_trigrams():
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 200_000)))
+    langid.bundle([text[:100]], 512)
+    tracemalloc.start()
+    langid.bundle([text], 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
