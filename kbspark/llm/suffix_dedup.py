@@ -5,11 +5,11 @@ anchor: each window of ``length`` bytes has its least-hash q-gram as anchor, whi
 decides, so equal windows of any documents are in the same bucket. Buckets with several suffixes are refined as in
 bucket-pointer refinement: the suffixes of a bucket are sorted by its identifier and that of the bucket at a later
 offset, which gives new identifiers for the next step, until a bucket is a single suffix or equal in all bytes of the windows of its anchor
-(its surroundings). Where a bucket falls apart and windows are still shared, the windows are refined: sorted by the identifiers of their own bucket and of the
+(its surroundings). The buckets at later offsets are themselves refined by pairs of identifiers, from 8 to 16 to 32 bytes. Where a bucket falls apart and windows are still shared, the windows are refined: sorted by the identifiers of their own bucket and of the
 bucket at a later offset, which doubles the depth and uses the new identifiers again in the next step, until buckets
 are equal to depth ``length``.
 
-Between blocks only bucket identifiers travel, in packed columns: (a) a hash of each distinct q-gram
+Blocks have no identifiers in common, so between blocks hashes of the buckets' bytes travel in their place, in packed columns: (a) a hash of each distinct q-gram
 of a block, answered by a bit that tells if another block has it; (b) for those that it has, a hash of the
 surroundings and the least document, answered by whether a smaller document has the same and whether the bucket
 must be refined; (c) for refined buckets a hash of the window and the least document, answered in the same way.
@@ -148,26 +148,39 @@ def refine(raw: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return bucket[slot[start]]
 
 
+def identifiers(raw: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+    """Identifiers of the suffixes at ``place`` to ``depth`` (eight times a power of two), equal where their bytes are.
+
+    Suffixes are sorted by the identifier of their bucket of half the depth and that of the bucket at the offset of this half; both come
+    from one refinement of all places and their later offsets, which does the same down to buckets of eight bytes.
+    """
+    if depth == 8:
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded.data, strides=(1,))
+        return np.unique(eight[place], return_inverse=True)[1].reshape(-1)
+    half = depth // 2
+    needed = np.zeros(len(raw) + 1, dtype=bool)
+    needed[place] = needed[place + half] = True
+    known, slot = identifiers(raw, np.flatnonzero(needed), half), np.cumsum(needed) - 1
+    return np.unique(known[slot[place]] * (int(known.max(initial=0)) + 1) + known[slot[place + half]], return_inverse=True)[1].reshape(-1)
+
+
 def refine_buckets(raw: np.ndarray, bucket: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """New identifiers of pieces (start, size) of buckets, equal where bucket, size and all bytes are.
 
-    Each step sorts the pieces of the buckets that still have several by their identifiers and those of the eight bytes at the
-    next offset; a piece that is alone in its bucket takes no part any more.
+    Each step sorts the pieces of the buckets that still have several by their identifier and that of the bucket at the
+    next offset, which is refined to the largest depth that the pieces have; a piece that is alone in its bucket takes no part any more.
     """
     bucket = np.unique(bucket * (int(size.max(initial=0)) + 1) + size, return_inverse=True)[1].reshape(-1)
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded.data, strides=(1,))
-    offset, next_ = 0, len(bucket)
-    open_ = np.flatnonzero(np.bincount(bucket, minlength=1)[bucket] > 1) if len(bucket) else bucket
+    next_, offset = len(bucket), 0
+    open_ = np.flatnonzero(np.bincount(bucket)[bucket] > 1) if len(bucket) else bucket
+    depth = 8 << (int(size.min(initial=1 << 30)) // 8).bit_length() - 1
     while len(open_):
-        later = eight[start[open_] + np.minimum(offset, size[open_] - 8)]
-        order = np.lexsort((later, bucket[open_]))
-        open_, later = open_[order], later[order]
-        own = bucket[open_]
-        new = np.cumsum(np.r_[True, (own[1:] != own[:-1]) | (later[1:] != later[:-1])]) - 1
+        place = start[open_] + np.minimum(offset, size[open_] - depth)
+        new = np.unique(bucket[open_] * (len(place) + 1) + identifiers(raw, place, depth), return_inverse=True)[1].reshape(-1)
         bucket[open_] = next_ + new
-        next_ += int(new[-1]) + 1
-        offset += 8
+        next_ += int(new.max()) + 1
+        offset += depth
         open_ = open_[(np.bincount(new)[new] > 1) & (size[open_] > offset)]
     return bucket
 

@@ -88,3 +88,21 @@ def test_refined_buckets_against_bytes():
         piece = raw[s : s + n].tobytes()
         assert said.setdefault(c, piece) == piece and said.setdefault(piece, c) == c
     assert len({*got.tolist()}) < len({(s, n) for s, n in zip(start.tolist(), size.tolist())})
+
+
+def test_bucket_identifiers_are_equal_where_the_bytes_are():
+    rng = np.random.default_rng(4)
+    raw = np.frombuffer(b"ab" * 300 + bytes(rng.integers(97, 99, 3_000).astype(np.uint8)) + b"a" * 500, dtype=np.uint8)
+    raw = np.concatenate([raw, raw])
+    start = rng.integers(0, len(raw) - 80, 2_000)
+    size = rng.integers(50, 77, 2_000)
+    bucket = rng.integers(0, 3, 2_000)
+    got = suffix_dedup.refine_buckets(raw, bucket.copy(), start, size)
+    bytes_of = [(b, raw[s : s + n].tobytes()) for b, s, n in zip(bucket.tolist(), start.tolist(), size.tolist(), strict=True)]
+    pairs = set(zip(got.tolist(), bytes_of, strict=True))
+    assert len(pairs) == len(set(bytes_of)) == len(set(got.tolist())) < 2_000
+    for depth in (8, 16, 32):
+        some = suffix_dedup.identifiers(raw, start, depth)
+        assert len(set(zip(some.tolist(), [raw[s : s + depth].tobytes() for s in start.tolist()], strict=True))) == len(set(some.tolist()))
+    none = np.zeros(0, np.int64)
+    assert len(suffix_dedup.refine_buckets(raw, none, none, none)) == 0
