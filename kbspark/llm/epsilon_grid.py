@@ -6,7 +6,8 @@ put into grid cells ``eps`` wide, and sorted by the cells of the leading directi
 epsilon grid order. The sorted sequence is cut into intervals of equal size (blocks of many vectors with
 their bounding box, which the length of what the projection leaves out is a side of). Pairs of intervals are joined recursively: a pair
 whose boxes are more than ``eps`` apart is skipped with all that is in it, any other is halved, until
-intervals are blocks, whose pairs are joined in tasks. There the halving goes on
+intervals are blocks. Pairs of blocks are joined in tiles, a task for each pair of ranges of TILE blocks: a block
+travels once to each tile that has a pair of it, not once a pair. There the halving goes on
 down to short runs of vectors, which are compared by a matrix product. What the products find within a margin of the threshold is decided by the cosine
 in double precision. Vectors of different dimensions never link; each dimension is joined by itself, one after the other.
 
@@ -31,6 +32,8 @@ from kbspark.llm.simhash import spanning
 DIRECTIONS = 16
 #: Bytes of the vectors of a block, and vectors of a run below which pairs are compared directly.
 BLOCK_BYTES, RUN = 4 << 20, 256
+#: Consecutive blocks of a side of a tile; a task holds two sides.
+TILE = 8
 #: Distance by which single precision may be wrong.
 MARGIN = 1e-4
 #: Bits of the sequence number that each step of the recursion settles.
@@ -219,22 +222,28 @@ def _links(classes: DataFrame, dimension: int, kind: str, least: float, eps: flo
     placed = written(cut.join(base, "part").select((F.col("base") + F.col("no")).alias("seq"), "ids", "sizes", "data", "low", "high"))
     pairs = interval_pairs(placed.select("seq", "low", "high"), eps)
     whole = placed.select("seq", F.struct("ids", "sizes", "data").alias("block"))
-    one = pairs.join(whole.withColumnsRenamed({"seq": "a", "block": "left"}), "a")
-    tasks = one.join(whole.withColumnsRenamed({"seq": "b", "block": "right"}), "b").select((F.col("a") == F.col("b")).alias("same"), "left", "right")
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                a = Side(row["left"], dimension, axes, kind)
-                b = a if row["same"] else Side(row["right"], dimension, axes, kind)
-                m, n, _ = _near(a, b, least, eps, row["same"])
-                links = np.r_[np.bincount(m, b.sizes[n], len(a.ids)), np.bincount(n, a.sizes[m], len(b.ids))].astype(np.int64)
-                ids, some = np.r_[a.ids, b.ids], links > 0
-                x, y = spanning(a.ids[m], b.ids[n])
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[some], x]), pa.array(np.r_[np.zeros(some.sum(), np.int64), y]), pa.array(np.r_[links[some], np.zeros(len(x), np.int64)])], names=["a", "b", "links"])
-
-    return written(tasks.mapInArrow(run, "a long, b long, links long"))
+    tiled = written(pairs.withColumns({"ta": F.floor(F.col("a") / TILE), "tb": F.floor(F.col("b") / TILE)}))
+    wanted = tiled.select(F.col("ta").alias("sa"), F.col("tb").alias("sb"), F.explode(F.array("a", "b")).alias("seq")).distinct()
+    sent = wanted.join(whole, "seq").select("sa", "sb", "seq", "block")
+
+    def run(blocks: pa.Table, todo: pa.Table) -> pa.Table:
+        place = {seq: i for i, seq in enumerate(blocks.column("seq").to_pylist())}
+        side = lambda seq: Side(blocks.column("block")[place[seq]].as_py(), dimension, axes, kind)
+        todo = sorted(zip(todo.column("a").to_pylist(), todo.column("b").to_pylist(), strict=True))
+        out, a, right = [pa.table({n: pa.array([], pa.int64()) for n in ("a", "b", "links")})], None, {}
+        for i, (left, other) in enumerate(todo):
+            a = side(left) if a is None or todo[i - 1][0] != left else a
+            if other != left and other not in right:
+                right[other] = side(other)
+            b = a if other == left else right[other]
+            m, n, _ = _near(a, b, least, eps, b is a)
+            links = np.r_[np.bincount(m, b.sizes[n], len(a.ids)), np.bincount(n, a.sizes[m], len(b.ids))].astype(np.int64)
+            ids, some = np.r_[a.ids, b.ids], links > 0
+            x, y = spanning(a.ids[m], b.ids[n])
+            out.append(pa.table({"a": np.r_[ids[some], x], "b": np.r_[np.zeros(some.sum(), np.int64), y], "links": np.r_[links[some], np.zeros(len(x), np.int64)]}))
+        return pa.concat_tables(out)
+
+    return written(sent.groupBy("sa", "sb").cogroup(tiled.groupBy("ta", "tb")).applyInArrow(run, "a long, b long, links long"))
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95, block: int | None = None) -> DataFrame:
