@@ -12,11 +12,12 @@ asked about loses the tokens so covered and keeps its unique runs; shorter phras
 greatest key of those that have a run are looked at.
 
 Hosts of up to ``GROUP_CHARS`` characters are ranked in one group, several small ones together. Pages of a larger host are dealt to
-several groups; if the host has anything to ask, its groups exchange hashes of their distinct runs over all pages of the host, so a run on two pages of different groups is found
-as in one group. Hashes have 64 bits, keys of pages (number of tokens and hash of the content) too.
+several groups, each with its suffix array; if the host has anything to ask, its groups exchange hashes of their distinct runs with the two least and
+the two greatest keys of the pages that have them. These are all that a decision needs, so the texts are those that one group would give. Of a page with anything to
+ask all runs of its content are answered, as copies are told by all of it. Hashes have 64 bits, keys of pages (number of tokens, uncapped, and hash of the content) too.
 
 Null or empty html gives the empty text. A null url is a host of its own kind. Repeated page ids are
-pages of their own. Very long pages are a group of their own. Unclosed elements, stray end tags and cut-off markup are read as browsers do, roughly. An empty table gives an
+pages of their own. A very long page makes its host large. Unclosed elements, stray end tags and cut-off markup are read as browsers do, roughly. An empty table gives an
 empty table; of other columns only those asked for pass through, so their names cannot clash.
 """
 
@@ -42,8 +43,8 @@ BUCKET_CHARS, LEAST_BUCKETS = 64_000_000, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Share of its content that a page and its copy have in common.
 COPY = 0.9
-#: Bits of a page's key below its number of tokens.
-SIZE_BITS = 44
+#: Bits of a page's key below its number of tokens; pages of ``LARGE`` tokens and more have keys with more room for the number.
+SIZE_BITS, LARGE, LARGE_BITS = 44, 1 << 18, 31
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -301,7 +302,14 @@ class Streams:
         power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(many.max(initial=0)), BASE)])
         total = np.zeros(self.pages, dtype=np.uint64)
         np.add.at(total, owner, own * power[at])
-        return (np.minimum(many, (1 << 19) - 1) << SIZE_BITS) | (mixed(total ^ self.hosts) >> np.uint64(64 - SIZE_BITS)).astype(np.int64)
+        content = mixed(total ^ self.hosts)
+        small, large = (many << bits | (content >> np.uint64(64 - bits)).astype(np.int64) for bits in (SIZE_BITS, LARGE_BITS))
+        return np.where(many < LARGE, small, 1 << 62 | large)
+
+
+def sizes(key: np.ndarray) -> np.ndarray:
+    """The numbers of tokens in keys of pages."""
+    return np.where(key >> 62 > 0, (key & (1 << 62) - 1) >> LARGE_BITS, key >> SIZE_BITS)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -317,21 +325,29 @@ def asks(blocks: list[tuple[int, str]]) -> list[bool]:
     return [z == SUSPECT or (z == UNDECIDED and not marked) for z, _ in blocks]
 
 
-def others(run: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run: whether pages with another key have it, and the least and greatest key of those."""
+def extremes(run: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct run a place where it is, and the least, second least, second greatest and greatest key of the pages that have it; and for each run which one it is.
+
+    A run of one key has it four times; one of two keys has each of them as a least and as a greatest.
+    """
     if not len(run):
-        return np.zeros(0, bool), run, run
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
     order = np.argsort(run, kind="stable")
     r, k = run[order], key[order]
-    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    many = np.diff(np.r_[first, len(r)])
+    new = np.r_[True, r[1:] != r[:-1]]
+    first, number = np.flatnonzero(new), np.cumsum(new) - 1
     none = np.iinfo(np.int64)
-    low, high = (np.repeat(f.reduceat(k, first), many) for f in (np.minimum, np.maximum))
-    low2 = np.repeat(np.minimum.reduceat(np.where(k == low, none.max, k), first), many)
-    high2 = np.repeat(np.maximum.reduceat(np.where(k == high, none.min, k), first), many)
-    hit, least, most = np.empty(len(r), bool), np.empty(len(r), np.int64), np.empty(len(r), np.int64)
-    hit[order], least[order], most[order] = low < high, np.where(k == low, low2, low), np.where(k == high, high2, high)
-    return hit, least, most
+    low, high = (f.reduceat(k, first) for f in (np.minimum, np.maximum))
+    low2 = np.minimum(np.minimum.reduceat(np.where(k == low[number], none.max, k), first), high)
+    high2 = np.maximum(np.maximum.reduceat(np.where(k == high[number], none.min, k), first), low)
+    which = np.empty(len(r), np.int64)
+    which[order] = number
+    return order[first], which, np.stack([low, low2, high2, high])
+
+
+def different(known: np.ndarray) -> np.ndarray:
+    """Where the extreme keys of runs are no repeats of one before."""
+    return np.r_[np.ones((1, known.shape[1]), bool), known[1:] > known[[0, 1, 1]]]
 
 
 def covered_by(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -350,13 +366,12 @@ def unique_text(blocks: list[tuple[int, str]], words: list[list[str]], begin: np
     enough = COPY * content.sum()
     other, place = np.unique(np.r_[low, high], return_inverse=True)
     most = np.bincount(place.reshape(-1), np.r_[end - begin, end - begin], minlength=len(other))
-    copies = [q for q in other[(most >= enough) & (COPY * (other >> SIZE_BITS) <= content.sum())].tolist() if covered_by(size, begin[(low == q) | (high == q)], end[(low == q) | (high == q)])[content].sum() >= enough]
+    copies = [q for q in other[(most >= enough) & (COPY * sizes(other) <= content.sum())].tolist() if covered_by(size, begin[(low == q) | (high == q)], end[(low == q) | (high == q)])[content].sum() >= enough]
     chosen = ~(np.isin(low, copies) & np.isin(high, copies))
     covered = covered_by(size, begin[chosen], end[chosen])
     kept = []
     for k, ((zone, text), asked) in enumerate(zip(blocks, asks(blocks), strict=True)):
-        own = long_runs(covered[ends[k] : ends[k + 1]], LONG_RUN)
-        if asked and own.any():
+        if asked and (own := long_runs(covered[ends[k] : ends[k + 1]], LONG_RUN)).any():
             text = " ".join(w for w, c in zip(words[k], own.tolist(), strict=True) if not c)
         if text:
             kept.append((zone, text))
@@ -379,19 +394,20 @@ def _hosts_of(table) -> np.ndarray:
 
 
 def decided(pages: pa.Table, answers: pa.Table | None = None) -> pa.Table:
-    """(page_id, url, text) of the pages of a group. ``answers`` has the repeated runs of all groups of the host."""
+    """(page_id, url, text) of the pages of a group. ``answers`` has what other groups of the host have: keys of pages with the same runs."""
     found = _blocks_of(pages)
     s = Streams(found, _hosts_of(pages))
     page, begin, end = s.runs()
-    key = s.keys()
-    if answers is None:
-        hit, low, high = others(s.classes(begin, end), key[page])
-    else:
-        run, own, least, most = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, dtype=np.int64) for x in answers.column(c).to_pylist()]]) for c in ("runs", "keys", "low", "high"))
-        have = {(r, k): i for i, (r, k) in enumerate(zip(run.tolist(), own.tolist(), strict=True))}
-        at = np.array([have.get(x, -1) for x in zip(s.hashes(begin, end).tolist(), key[page].tolist(), strict=True)], dtype=np.int64)
-        hit = at >= 0
-        low, high = (np.where(hit, x[at], 0) if len(x) else at for x in (least, most))
+    key = s.keys()[page]
+    place, which, known = extremes(s.classes(begin, end), key)
+    if answers is not None:
+        run, other = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, dtype=np.int64) for x in answers.column(c).to_pylist()]]) for c in ("runs", "keys"))
+        own = s.hashes(begin[place], end[place])
+        order = np.argsort(own)
+        at = order[np.searchsorted(own, run, sorter=order)]
+        known = extremes(np.r_[which, at], np.r_[key, other])[2]
+    hit = (known[0] < known[3])[which]
+    low, high = (np.where(known[a][which] == key, known[b][which], known[a][which]) for a, b in ((0, 1), (3, 2)))
     order = np.argsort(page[hit], kind="stable")
     page, begin, end, low, high = (x[hit][order] for x in (page, begin, end, low, high))
     edge = np.searchsorted(page, np.arange(s.pages + 1))
@@ -436,34 +452,44 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), b.column("salt"), zones, texts], names=["page_id", "url", "host", "salt", "zones", "texts"])
 
     def sent(pages: pa.Table) -> pa.Table:
-        """The distinct runs of a group's pages by bucket: their hashes, keys of the pages, and whether they touch a block asked about."""
+        """The distinct runs of a group's pages by bucket: their hashes, their extreme keys, and whether a page with anything to ask has them in its content."""
         found = _blocks_of(pages)
         s = Streams(found, _hosts_of(pages))
         page, begin, end = s.runs()
-        asked = offsets_of(np.repeat(np.array([a for x in found for a in asks(x)], dtype=np.int64), np.diff(s.ends)))
-        table = np.stack([s.hashes(begin, end), s.keys()[page], (asked[end] == asked[begin]).astype(np.int64)])
-        table = table[:, np.lexsort(table[::-1])]
-        table = table[:, np.r_[True, (table[:2, 1:] != table[:2, :-1]).any(axis=0)][: table.shape[1]]]
+        place, which, known = extremes(s.classes(begin, end), s.keys()[page])
+        content = offsets_of(np.repeat((s.zone != EXCLUDED).astype(np.int64), np.diff(s.ends)))
+        asking = np.array([any(asks(x)) for x in found], dtype=bool)[page] & (content[end] > content[begin])
+        asked = np.bincount(which[asking], minlength=len(place)) > 0
+        new = different(known)
+        run = np.broadcast_to(s.hashes(begin[place], end[place]), known.shape)
+        table = np.stack([x.T[new.T] for x in (run, known, np.broadcast_to(asked.astype(np.int64), known.shape))])
         bucket = (table[0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         table, bucket = table[:, order], bucket[order]
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
         parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)][: len(cut)], strict=True))
         columns = {"unit": pa.array([pages.column("unit")[0].as_py()] * len(parts), pa.int64()), "bucket": pa.array(bucket[cut])}
-        columns |= {n: pa.array([c[a:b].tobytes() for a, b in parts], pa.binary()) for n, c in zip(("runs", "keys", "idle"), (table[0], table[1], table[2].astype(np.int8)), strict=True)}
+        columns |= {n: pa.array([c[a:b].tobytes() for a, b in parts], pa.binary()) for n, c in zip(("runs", "keys", "asked"), (table[0], table[1], table[2].astype(np.int8)), strict=True)}
         return pa.table(columns)
 
     def answered(table: pa.Table) -> pa.Table:
-        """For each group its runs that pages with other keys have, with the least and greatest of these keys."""
-        many = np.array([len(x) for x in table.column("idle").to_pylist()])
+        """For each group the extreme keys of its runs asked about that it has not itself."""
+        many = np.array([len(x) for x in table.column("asked").to_pylist()])
         run, key = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int64) for c in ("runs", "keys"))
-        idle = np.frombuffer(b"".join(table.column("idle").to_pylist()), dtype=np.int8)
-        hit, low, high = others(run, key)
-        use = hit & (idle == 0)
+        asked = np.frombuffer(b"".join(table.column("asked").to_pylist()), dtype=np.int8)
+        _, which, known = extremes(run, key)
         ends = offsets_of(many)
-        edges = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-        columns = [[x[a:b][use[a:b]].tobytes() for a, b in edges] for x in (run, key, low, high)]
-        return pa.table({"unit": table.column("unit"), **{n: pa.array(c, pa.binary()) for n, c in zip(("runs", "keys", "low", "high"), columns, strict=True)}})
+        # the keys of a run stand one after the other in what a group sent
+        new = np.r_[True, run[1:] != run[:-1]]
+        new[ends[:-1]] = True
+        first, number = np.flatnonzero(new), np.cumsum(new) - 1
+        known = known[:, which[first]]
+        has = np.stack([np.bincount(number, key == k[number]) > 0 for k in known])
+        use = different(known) & ~has & (asked[first] > 0)
+        runs, keys = np.broadcast_to(run[first], use.shape).T[use.T], known.T[use.T]
+        ends = offsets_of(use.sum(axis=0))[np.searchsorted(first, ends)].tolist()
+        columns = [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (runs, keys)]
+        return pa.table({"unit": table.column("unit"), **{n: pa.array(c, pa.binary()) for n, c in zip(("runs", "keys"), columns, strict=True)}})
 
     def last(pages: pa.Table, answers: pa.Table) -> pa.Table:
         if not pages.num_rows:
@@ -477,8 +503,8 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     groups = blocks.select("page_id", "url", "host", "zones", "texts", F.coalesce("exchange", F.lit(False)).alias("exchange"), unit.alias("unit"))
     by_unit = groups.groupBy("unit")
     if seen.exchange:
-        runs = groups.where("exchange").groupBy("unit").applyInArrow(sent, "unit long, bucket long, runs binary, keys binary, idle binary")
-        answers = runs.groupBy("bucket").applyInArrow(answered, "unit long, runs binary, keys binary, low binary, high binary")
+        runs = groups.where("exchange").groupBy("unit").applyInArrow(sent, "unit long, bucket long, runs binary, keys binary, asked binary")
+        answers = runs.groupBy("bucket").applyInArrow(answered, "unit long, runs binary, keys binary")
         done = by_unit.cogroup(answers.groupBy("unit")).applyInArrow(last, out)
     else:
         done = by_unit.applyInArrow(lambda pages: decided(pages), out)

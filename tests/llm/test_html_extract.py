@@ -169,3 +169,45 @@ def test_copies_and_phrases_without_articles(spark):
     rows = [(i, f"http://a.example/{i}", f"{chrome}<p>{t}") for i, t in texts.items()]
     out = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     assert out == texts | {6: "a few unique words of its own", 7: "some other words of this page"}
+
+
+def test_extreme_keys_of_runs():
+    rnd = random.Random(4)
+    for _ in range(50):
+        rows = [(rnd.randrange(6), rnd.randrange(7)) for _ in range(rnd.randrange(1, 30))]
+        place, which, known = h.extremes(*np.array(rows, dtype=np.int64).T)
+        for (run, _), w in zip(rows, which):
+            keys = sorted({k for r, k in rows if r == run})
+            assert rows[place[w]][0] == run and known[:, w].tolist() == [keys[0], keys[min(1, len(keys) - 1)], keys[max(len(keys) - 2, 0)], keys[-1]]
+
+
+def test_copies_on_a_host_of_any_size(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = lambda name, many: [f"{name}x{k}" for k in range(many)]
+    pages, kept = [], {}
+    for n in range(30):
+        story, box = words(f"s{n}", rnd.randrange(150, 250)), " ".join(words(f"b{n % 20}", 20))
+        near = story[:-9] + [f"changed{n}"] + story[-8:]
+        for i, w in ((2 * n, story), (2 * n + 1, near)):
+            tag = "article" if n % 3 else "div"
+            pages.append((i, "http://a.example/x", f"<nav>{box}</nav><{tag}><p>{' '.join(w)}</p><div class='related'>{box}</div></{tag}>"))
+            # boxes 0 to 9 are on pages of another story too; on others only the near copy has it, which leaves the page whole
+            if 10 <= n < 20:
+                kept[i] = " ".join(w) + "\n" + box
+            elif n % 3:
+                kept[i] = " ".join(w)
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    seen = []
+    for chars in (2_000_000, 60_000, 20_000, 2_000):
+        monkeypatch.setattr(h, "GROUP_CHARS", chars)
+        seen.append({r.page_id: r.text for r in h.extract(df).collect()})
+        assert {i: seen[-1][i] for i in kept} == kept and seen[-1] == seen[0]
+
+
+def test_a_very_long_page_that_holds_another(spark, monkeypatch):
+    part = " ".join(f"w{k % 997}y{k % 31}" for k in range(480_000))
+    rows = [(0, "http://a.example/", f"<div>{part}</div><p>its own words"), (1, "http://a.example/", f"<div>{part} {part[::-1]}")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    for chars in (2_000_000, 200_000_000):
+        monkeypatch.setattr(h, "GROUP_CHARS", chars)
+        assert {r.page_id: r.text for r in h.extract(df).collect()} == {0: "its own words", 1: part[::-1]}
