@@ -535,8 +535,10 @@ def reflection_requests(s, d):
 
 @query(sql("select question_id, chunk_id, cast(row_number() over (partition by question_id order by l, rank) as integer) as pos from (select *, row_number() over (partition by question_id, chunk_id order by l, rank) as n from (select 0 as l, question_id, chunk_id, pos as rank from reranked union all select 1, question_id, chunk_id, rank from list_hybrid where question_id % 2 = 1)) where n = 1", *LISTS, "score_responses", **AFTER))
 def reflect_merge(s, d):
-    said = i.targets(s, d).select("question_id", (F.col("question_id") % 2 == 0).alias("sufficient"))
-    return asm.reflect_merge(_reranked(s, d), said, i.candidates(s, d, "hybrid"))
+    hits = i.candidates(s, d, "hybrid")
+    # of all questions with hits: the last one can have hits and no target
+    said = hits.select("question_id", (F.col("question_id") % 2 == 0).alias("sufficient")).distinct()
+    return asm.reflect_merge(_reranked(s, d), said, hits)
 
 
 FINAL = """select question_id, chunk_id, pos from (select question_id, chunk_id, cast(row_number() over (partition by question_id order by pos) as integer) as pos from

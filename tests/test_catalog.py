@@ -58,3 +58,14 @@ def test_results_do_not_depend_on_partitions(spark, name):
         found.append(collections.Counter(map(str, catalog.QUERIES[name](spark, TABLES).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def test_last_question_without_a_target_is_reflected_on(spark, tmp_path):
+    # of 520 vectors 27 are hits of question 13, which no vector has as its own
+    t = "embeddings"
+    spark.read.parquet(f"{TABLES}/{t}.parquet").crossJoin(spark.range(2)).selectExpr("vec_id + 500 * id as vec_id", "embedding", "label").where("vec_id < 520").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = {tuple(r) for r in catalog.QUERIES["reflect_merge"](spark, str(tmp_path)).select("question_id", "chunk_id", "pos").collect()}
+    c = duckdb.connect()
+    c.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = set(c.execute(f"select question_id, chunk_id, pos from ({catalog.SQL['reflect_merge']})").fetchall())
+    assert got == want and sum(q == 13 for q, _, _ in got) == 27
