@@ -769,7 +769,7 @@ def score_pairs(s, d):
 
 @query(sql("select chunk_id, term, positions from (select chunk_id, regexp_replace(term, '(ing|ed|s)$', '') as term, list_sort(flatten(list(positions))) as positions from postings group by 1, 2)", "chunks", postings=POSTINGS))
 def stem(s, d):
-    return ft.stem(ft.tokenize(i.chunks(s, d), None), lambda t: re.sub("(ing|ed|s)$", "", t))
+    return ft.tokenize(i.chunks(s, d), lambda t: re.sub("(ing|ed|s)$", "", t))
 
 
 # the search of the library as it is by default, with English stems, which SQL does not have; tests/test_operators.py compares it with a loop
