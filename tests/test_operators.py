@@ -320,3 +320,17 @@ def test_feedback_edges(spark):
     assert tuple(fb.feedback_summary(df).first()) == (4, 1, 3, 25.0)
     assert tuple(fb.feedback_summary(df.limit(0)).first()) == (0, 0, 0, None)
     assert set(fb.dashboard(df)) == {"summary", "top_questions", "failing_questions", "negative_feedback"}
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    rows = [("a", "The ties tied a tie"), ("b", None), ("c", ""), ("d", "of the"), ("e", "x " * 3000 + "tie")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string")
+    for stem_fn in (None, ft.english, lambda t: t[:1]):
+        df = ft.tokenize(chunks, stem_fn)
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for c, text in rows:
+            for p, w in enumerate((text or "").lower().split()):
+                if w not in ("the", "a", "of"):
+                    want.setdefault((c, stem_fn(w) if stem_fn else w), []).append(p)
+        assert {(r.chunk_id, r.term): r.positions for r in df.collect()} == want
