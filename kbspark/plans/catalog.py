@@ -784,7 +784,7 @@ def stem_english(s, d):
 
 @query()
 def stemmed_search(s, d):
-    return ft.keyword_topk(i.queries(s, d), ft.tokenize(i.chunks(s, d)), 10, ["query_id"]).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return ft.keyword_topk(i.queries(s, d), written(blocks_of_chunks(i.chunks(s, d))), 10, ["query_id"]).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(sql("select question_id, chunk_id, cast(row_number() over (partition by question_id order by p) as integer) as pos from (select question_id, chunk_id, min(rank) as p from (select question_id, chunk_id, rank from list_page union all select question_id, chunk_id, 100 + rank from list_hybrid) group by all)", "list_page", "list_hybrid"))
