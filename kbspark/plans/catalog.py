@@ -295,7 +295,7 @@ def rrf_fuse(s, d):
 
 def _hits(s, d, k=5):
     chunks = i.chunks(s, d)
-    return se.hybrid_search(i.queries(s, d), chunks, ft.tokenize(chunks, None), k, stem_fn=None)
+    return se.hybrid_search(i.queries(s, d), chunks, written(blocks_of_chunks(chunks, None)), k, stem_fn=None)
 
 
 @query(sql("select query_id, chunk_id, round(score, 6) as score, rank from hits", "queries", "chunks", **HYBRID))
