@@ -70,9 +70,9 @@ def rerank(candidates: DataFrame, scores: DataFrame, k: int = FINAL_K) -> DataFr
 
 def reflection_requests(questions: DataFrame, reranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, question, excerpts, sufficient, extra_queries): what a model is asked, or the answer where nothing was found."""
-    top = reranked.where(F.col("pos") <= REFLECT_TOP).join(chunks.select("chunk_id", "title", "content"), "chunk_id")
     line = F.concat(F.coalesce("title", F.lit("")), F.lit(": "), F.substring("content", 1, REFLECT_CHARS))
-    packed = top.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))
+    top = reranked.where(F.col("pos") <= REFLECT_TOP).join(chunks.select("chunk_id", line.alias("line")), "chunk_id")
+    packed = top.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("x"))
     joined = questions.select("question_id", "question").join(packed, "question_id", "left")
     none = F.col("x").isNull()
     more = F.array(*[F.concat("question", F.lit(f" {w}")) for w in ("overview", "details", "documentation")])

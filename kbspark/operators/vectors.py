@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.functions.shared import written
 from kbspark.functions.sort import best_k
 
 #: Rows of a block of queries and of a block of chunks; a task compares one of each.
@@ -79,15 +80,48 @@ def _best_of_blocks(a: DataFrame, b: DataFrame, on: str, query_key: str, k: int,
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, min_score: float | None = MIN_SCORE, query_key: str = "query_id") -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest chunks of each query by cosine, over ``min_score``.
 
-    Both sides are packed into blocks. A block of queries goes to every block of chunks, where a matrix product
-    and a local top-k leave k rows a query; only these are shuffled and ranked. Equal scores (to 12
+    Both sides are packed into blocks, which are tables whose parts meet in pairs without a shuffle. A matrix product gives what may be among a
+    query's k best, after those of the blocks that its task has seen; only these are shuffled and ranked. Equal scores (to 12
     digits) are in the order of the chunk ids.
     """
     a, b = (usable(x).select(F.col(key).alias("k"), F.col("embedding").alias("v")) for x, key in ((queries, query_key), (chunks, "chunk_id")))
     places, groups = (max(1, -(-x.count() // size)) for x, size in ((b, CHUNK_BLOCK), (a, QUERY_BLOCK)))
-    asked = _packed(a.withColumn("qb", F.pmod(F.xxhash64("k"), F.lit(groups))), ["qb"])
-    known = _packed(b.withColumn("cb", F.pmod(F.xxhash64("k"), F.lit(places))), ["cb"])
-    return _best_of_blocks(asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(places - 1)).cast("array<long>"))), known, "cb", query_key, k, min_score)
+    asked = _packed(a.withColumn("qb", F.pmod(F.xxhash64("k"), F.lit(groups))), ["qb"]).withColumnsRenamed({"keys": "qkeys", "data": "qdata", "dim": "qdim"})
+    known = _packed(b.withColumn("cb", F.pmod(F.xxhash64("k"), F.lit(places))), ["cb"]).drop("cb")
+    kinds = [x.schema[c].dataType.elementType.simpleString() for x, c in ((asked, "qkeys"), (known, "keys"))]
+
+    def run(batches):
+        tops: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (dim := batch.column("dim")[i].as_py()) != batch.column("qdim")[i].as_py():
+                    continue
+                q, c = (np.frombuffer(batch.column(name)[i].as_py()).reshape(-1, dim) for name in ("qdata", "data"))
+                block = (batch.column("qb")[i].as_py(), dim)
+                best = tops.get(block, np.full((len(q), k), -np.inf if min_score is None else min_score))
+                at, place, value, tops[block] = _candidates(q @ c.T, best)
+                value = np.round(value, 12)
+                if min_score is not None:
+                    over = value > min_score
+                    at, place, value = at[over], place[over], value[over]
+                yield pa.RecordBatch.from_arrays([batch.column("qkeys")[i].values.take(pa.array(at)), batch.column("keys")[i].values.take(pa.array(place)), pa.array(value)], names=[query_key, "chunk_id", "score"])
+
+    found = written(asked).crossJoin(written(known)).mapInArrow(run, f"{query_key} {kinds[0]}, chunk_id {kinds[1]}, score double")
+    return best_k(found, [query_key], [F.desc("score"), "chunk_id"], k)
+
+
+def _candidates(score: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of what may be among the k best of each row, of which the k columns of ``best`` were seen before, ties included; and ``best`` anew."""
+    k = best.shape[1]
+    least = best.min(axis=1)
+    if score.shape[1] > k and np.count_nonzero(score >= least[:, None]) > 8 * k * len(score):
+        least = np.maximum(least, np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k])
+    at, place = np.nonzero(score >= least[:, None] - 1e-11)  # scores are equal to 12 digits
+    value = score[at, place]
+    many = np.bincount(at, minlength=len(score))
+    wide = np.full((len(score), int(many.max(initial=0))), -np.inf)
+    wide[at, np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)] = value
+    return at, place, value, np.partition(np.hstack([best, wide]), wide.shape[1], axis=1)[:, wide.shape[1] :]
 
 
 def fit_cells(chunks: DataFrame, n_cells: int, fit_rows: int = FIT_ROWS, seed: int = 1) -> np.ndarray:

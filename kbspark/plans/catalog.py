@@ -708,7 +708,7 @@ def retrieve(s, d):
     from kbspark.plans.jobs import retrieve
 
     q = i.questions(s, d)
-    return retrieve(q.select("question_id", "conversation_id", "turn", "question"), q.select("question_id", "response"), i.question_vectors(s, d), i.chunks(s, d), i.question_scores(s, d), i.question_reflections(s, d), stem_fn=None)["final"]
+    return retrieve(q.select("question_id", "conversation_id", "turn", "question"), q.select("question_id", "response"), i.question_vectors(s, d), written(i.chunks(s, d)), i.question_scores(s, d), i.question_reflections(s, d), stem_fn=None)["final"]
 
 
 # sources, sinks, user functions

@@ -13,10 +13,10 @@ from kbspark.functions.stemmer import english
 from kbspark.operators.assembly import REFLECT_K, REFLECT_ROUNDS, add_title_fallback, build_context, citations, expand_parents, merge_candidates, reflect_merge, reflection_requests, rerank, select_final
 from kbspark.operators.chunking import chunk_pages
 from kbspark.operators.conversation import chat_memory, context_hint, conversation_state, conversational_reply, flag_conversational, state_after
-from kbspark.operators.fulltext import tokenize
 from kbspark.operators.pages import apply_enrichment, drop_boilerplate, drop_empty, page_metadata
 from kbspark.operators.responses import parse_plans, parse_reflections, parse_scores
 from kbspark.operators.search import chunks_by_title, hybrid_search, multi_query_search, page_chunks, table_chunks
+from kbspark.operators.word_blocks import blocks_of_chunks
 from kbspark.sources.html import html_to_text
 
 
@@ -80,7 +80,7 @@ def retrieve(questions: DataFrame, plans: DataFrame, vectors: DataFrame, chunks:
     planned = written(asked.join(parse_plans(asked.select("question_id", "question").join(plans.select("question_id", "response"), "question_id", "left")), "question_id"))
     states = written(context_hint(conversation_state(planned.select("question_id", "conversation_id", "turn", "intent", "entities", "needs_full_page", "is_follow_up"), known_states)))
     targets = states.select("question_id", "target")
-    postings = written(tokenize(chunks, stem_fn)) if postings is None else postings
+    postings = written(blocks_of_chunks(chunks, stem_fn)) if postings is None else postings
     queries = planned.select("question_id", F.posexplode("queries").alias("query_no", "query")).join(vectors.where("round = 0").select("question_id", "query_no", "embedding"), ["question_id", "query_no"], "left")
     searched = search_questions(queries, chunks, postings, k, stem_fn)
     wanted = targets.where("target is not null").select("question_id", F.col("target").alias("key"))

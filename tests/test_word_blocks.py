@@ -66,3 +66,26 @@ def test_blocks_are_bounded_and_whole(spark):
     asked = spark.createDataFrame([(0, "the"), (1, "x"), (2, None)], "query_id int, query string")
     for postings in (wb.blocks_of_chunks(none), ft.tokenize(none)):
         assert ft.keyword_topk(asked, written(postings), 3, ["query_id"]).collect() == []
+
+
+def test_blocks_of_vectors_are_not_copied(spark, monkeypatch):
+    from kbspark.operators import vectors as vs
+
+    monkeypatch.setattr(vs, "CHUNK_BLOCK", 50)
+    monkeypatch.setattr(vs, "QUERY_BLOCK", 200)
+    rng = np.random.default_rng(3)
+    c, q = rng.normal(size=(1000, 16)), rng.normal(size=(1000, 16))
+    c[500:520] = c[480:500]  # ties
+    chunks = spark.createDataFrame([(f"c{i:04d}", x.tolist()) for i, x in enumerate(c)], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = shuffled(spark)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in vs.vector_topk(asked, chunks, 3, 0.1).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert shuffled(spark) - before < 1_200_000  # twenty copies of the queries are 2.5 MB
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit(q) @ unit(c).T, 12)
+    for i in range(1000):
+        best = np.argsort(-score[i], kind="stable")[:3]
+        assert [got[i, n + 1][0] for n in range(3)] == [f"c{j:04d}" for j in best]
