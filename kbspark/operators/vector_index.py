@@ -2,7 +2,8 @@
 
 A vector of unit length is its cell's centre plus a residual; the residual is cut into parts of ``PART`` dimensions and each part is the number
 of the nearest of at most 256 entries in that part's book, one byte. So a vector of 768 dimensions takes 192 bytes for 3,072. A query's score of a
-code is its product with the centre plus, for each part, one look-up in the query's table of products with the book. The ``survivors`` best of a
+code is its product with the centre plus, for each part, one look-up in the query's table of products with the book. Blocks of queries meet the rows of codes without a
+shuffle; a task gives the best of some ``HELD`` codes. The ``survivors`` best of a
 query are joined with their vectors and scored exactly; only these vectors are read.
 
 The codec (centres and books) is fitted on at most ``FIT_ROWS`` vectors chosen by a hash of their id, is kept with the index and does not change: later vectors are
@@ -30,6 +31,8 @@ from kbspark.operators.vectors import CHUNK_BLOCK, FIT_ROWS, MIN_SCORE, MOST_CEL
 PART, ENTRIES, ROUNDS = 4, 256, 12
 #: Survivors of a query for each of the k wanted.
 SURVIVORS = 20
+#: Codes that a task holds for a block of queries before it scores them, blocks of queries that it holds codes for, and queries that are scored at once.
+HELD, HELD_BLOCKS, TOGETHER = 65_536, 64, 64
 
 
 class Codec(NamedTuple):
@@ -141,37 +144,56 @@ def survivors(queries: DataFrame, index: str, many: int, n_probe: int | None = N
     if not len(codec.centres):
         return queries.select(query_key, F.lit(None).cast("string").alias("chunk_id"), F.lit(0.0).alias("score")).where("false")
     near = min(n_probe or len(codec.centres), len(codec.centres))
-
-    def probe(batches):
-        for b in batches:
-            if b.num_rows:
-                best = np.argsort(-(_rows(b.column("v")) @ codec.centres.T), axis=1, kind="stable")[:, :near]
-                take = pa.array(np.repeat(np.arange(b.num_rows), near))
-                yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("v").take(take), pa.array(best.ravel().astype(np.int32))], names=["k", "v", "cell"])
-
     asked = usable(queries).where(F.size("embedding") == codec.centres.shape[1]).select(F.col(query_key).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    dealt = asked.mapInArrow(probe, f"k {kind}, v array<double>, cell int").withColumn("qb", F.pmod(F.xxhash64("k"), F.lit(groups)))
-    blocks = _packed(dealt, ["cell", "qb"]).withColumnsRenamed({"keys": "qkeys", "data": "qdata", "dim": "qdim"})
+    blocks = _packed(asked.withColumn("qb", F.pmod(F.xxhash64("k"), F.lit(groups))), ["qb"]).withColumnsRenamed({"keys": "qkeys", "data": "qdata"}).drop("dim")
     codes = spark.read.parquet(f"{index}/codes")
     chunk_kind = codes.schema["keys"].dataType.elementType.simpleString()
 
     def run(batches):
+        held: dict[int, list] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                q = np.frombuffer(row["qdata"]).reshape(-1, row["qdim"])
-                code = np.frombuffer(row["codes"], dtype=np.uint8).reshape(len(row["keys"]), -1)
-                score = np.repeat((q @ codec.centres[row["cell"]])[:, None], len(code), axis=1)
-                for table, column in zip(codec.tables(q), code.T, strict=True):
-                    score += table[:, column]
-                top = min(many, len(code))
-                best = np.argpartition(-score, top - 1, axis=1)[:, :top]
-                keys = np.array(row["keys"], dtype=object)
-                qk = np.repeat(np.array(row["qkeys"], dtype=object), top)
-                yield pa.RecordBatch.from_arrays([pa.array(qk.tolist(), batch.schema.field("qkeys").type.value_type), pa.array(keys[best.ravel()].tolist(), batch.schema.field("keys").type.value_type), pa.array(np.take_along_axis(score, best, axis=1).ravel())], names=[query_key, "chunk_id", "score"])
-
-    found = blocks.join(codes, "cell").mapInArrow(run, f"{query_key} {kind}, chunk_id {chunk_kind}, score double")
+                row = batch.slice(i, 1)
+                qb = row.column("qb")[0].as_py()
+                if qb not in held and len(held) >= HELD_BLOCKS:
+                    yield from made(held.pop(next(iter(held))))
+                mine = held.setdefault(qb, [row.column("qkeys")[0].values, row.column("qdata")[0].as_py(), []])
+                mine[2].append((row.column("cell")[0].as_py(), row.column("keys")[0].values, row.column("codes")[0].as_py()))
+                if sum(len(x[1]) for x in mine[2]) >= HELD:
+                    yield from made(held.pop(qb))
+        for mine in held.values():
+            yield from made(mine)
+
+    def made(block):
+        """The best of a block of queries among the codes of some rows, each chunk once."""
+        qkeys, qdata, rows = block
+        cell = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
+        code = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).reshape(len(cell), -1).T
+        keys = pa.concat_arrays([r[1] for r in rows]).dictionary_encode()
+        known, number = keys.dictionary, keys.indices.to_numpy()
+        order = np.argsort(number, kind="stable")
+        starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+        top = min(many, len(known))
+        q = np.frombuffer(qdata).reshape(len(qkeys), -1)
+        for at in range(0, len(q), TOGETHER):
+            some = q[at : at + TOGETHER]
+            centre = some @ codec.centres.T
+            if near < centre.shape[1]:
+                far = np.argsort(-centre, axis=1, kind="stable")[:, near:]
+                np.put_along_axis(centre, far, -np.inf, axis=1)
+            score = centre[:, cell]
+            for table, column in zip(codec.tables(some), code, strict=True):
+                score += table[:, column]
+            if len(known) < len(cell):
+                score = np.maximum.reduceat(score[:, order], starts, axis=1)
+            best = np.argpartition(-score, top - 1, axis=1)[:, :top]
+            value = np.take_along_axis(score, best, axis=1)
+            row, place = np.nonzero(np.isfinite(value))
+            yield pa.RecordBatch.from_arrays([qkeys.take(pa.array(at + row)), known.take(pa.array(best[row, place])), pa.array(value[row, place])], names=[query_key, "chunk_id", "score"])
+
+    # one shuffle, by query, serves both the chunks that are in several parts and the ranks
+    found = written(blocks).crossJoin(codes).mapInArrow(run, f"{query_key} {kind}, chunk_id {chunk_kind}, score double").repartition(query_key)
     once = found.groupBy(query_key, "chunk_id").agg(F.max("score").alias("score"))
     return best_k(once, [query_key], [F.desc("score"), "chunk_id"], many).drop("rank")
 
@@ -179,11 +201,16 @@ def survivors(queries: DataFrame, index: str, many: int, n_probe: int | None = N
 def indexed_topk(queries: DataFrame, chunks: DataFrame, index: str, k: int, n_probe: int | None = None, per_k: int = SURVIVORS, min_score: float | None = MIN_SCORE, query_key: str = "query_id") -> DataFrame:
     """(query_id, chunk_id, score, rank), as ``vector_topk``: of the ``per_k * k`` best by their codes, the k best by their vectors in ``chunks``."""
     left = survivors(queries, index, per_k * k, n_probe, query_key).drop("score")
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    # scaled first, so that squares neither overflow nor vanish
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.array_max(F.transform(v, F.abs)))
-    a = usable(queries).select(query_key, unit(F.col("embedding")).alias("__q"))
-    b = usable(chunks).select("chunk_id", unit(F.col("embedding")).alias("__c"))
-    product = F.aggregate(F.zip_with("__q", "__c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = left.join(a, query_key).join(b, "chunk_id").where(F.size("__q") == F.size("__c")).select(query_key, "chunk_id", F.round(product / (length(F.col("__q")) * length(F.col("__c"))), 12).alias("score"))
+    kinds = [left.schema[c].dataType.simpleString() for c in (query_key, "chunk_id")]
+    a = usable(queries).select(query_key, F.col("embedding").cast("array<double>").alias("q"))
+    b = usable(chunks).select("chunk_id", F.col("embedding").cast("array<double>").alias("c"))
+
+    def run(batches):
+        for x in batches:
+            if x.num_rows:  # all of the queries, and so of the rows, have as many dimensions as the codec
+                score = np.einsum("rd,rd->r", _rows(x.column("q")), _rows(x.column("c")))
+                yield pa.RecordBatch.from_arrays([x.column(query_key), x.column("chunk_id"), pa.array(np.round(score, 12))], names=[query_key, "chunk_id", "score"])
+
+    pairs = left.join(a, query_key).join(b, "chunk_id").where(F.size("q") == F.size("c"))
+    scored = pairs.select(query_key, "chunk_id", "q", "c").mapInArrow(run, f"{query_key} {kinds[0]}, chunk_id {kinds[1]}, score double")
     return best_k(scored if min_score is None else scored.where(F.col("score") > min_score), [query_key], [F.desc("score"), "chunk_id"], k)

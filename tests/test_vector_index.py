@@ -80,3 +80,20 @@ def test_vectors_that_cannot_be_compared(spark, tmp_path):
     empty = str(tmp_path / "empty")
     vi.build_index(chunks.limit(0), empty)
     assert vi.indexed_topk(queries, chunks, empty, 5).count() == 0
+
+
+def test_survivors_of_many_small_cells_are_cut_where_they_are_scored(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 8))
+    chunks = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:300])], "query_id int, embedding array<double>")
+    index = str(tmp_path / "index")
+    vi.build_index(chunks, index, n_cells=40)
+
+    def shuffled():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(n).totalShuffleWrite() for n in range(found.size()))
+
+    before = shuffled()
+    assert vi.survivors(queries, index, 20).count() == 6000
+    assert shuffled() - before < 2_500_000  # the best 20 of each of 40 cells are 240,000 rows
